@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media_ogg, secrets, tokencount
+from . import bpe, langid, media_ogg, minhash, secrets, tokencount
 from .common import table
 
 #: Tokens beyond which a document is over the limit.
@@ -22,6 +22,10 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_ogg": op4_ogg,
+    "op5_minhash": op5_minhash,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
     "op10_langid": op10_langid,
