@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, media_ogg, minhash, secrets, tokencount
+from . import bpe, decontam, langid, linededup, media_ogg, minhash, secrets, tokencount
 from .common import table
 
 #: Tokens beyond which a document is over the limit.
@@ -34,6 +34,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_ogg": op4_ogg,
     "op5_minhash": op5_minhash,
+    "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
     "op10_langid": op10_langid,
