@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, media_ogg, minhash, secrets, tokencount
+from . import bpe, decontam, langid, linededup, media_ogg, minhash, secrets, suffix, tokencount
 from .common import table
 
 #: Tokens beyond which a document is over the limit.
@@ -48,6 +48,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
+    "op9_suffix": op9_suffix,
     "op10_langid": op10_langid,
 }
 
