@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one Python step holds at a time.
 STEP_BYTES = 4 << 20
@@ -55,6 +56,22 @@ def only(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c] for c in more])
 
 
+def most_frequent(df: DataFrame, n: Column, most: int) -> DataFrame:
+    """Rows of ``df`` with the highest counts ``n``: all from a count on, such that these are at most ``most``.
+
+    A histogram of counts (about 10,000 bars at most, whatever the table's size) gives that count, so nothing is sorted
+    and no task or driver gathers candidates.
+    """
+    bar = F.when(n < 1024, n).otherwise(1024 + F.floor(F.log(n) * 256)).cast("long")
+    low, total = None, 0
+    for row in sorted(df.groupBy(bar.alias("bar")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["bar"]):
+        total += row["rows"]
+        if total > most:
+            break
+        low = row["bar"]
+    return df.filter(bar >= low) if low is not None else df.limit(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of ``column`` or one row."""
     for batch in batches:

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, media_ogg, minhash, secrets, suffix, tokencount
+from . import bpe, decontam, langid, linededup, lm_score, media_ogg, minhash, secrets, suffix, tokencount
 from .common import table
 
 #: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 512
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as of high quality are the target."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.score_against(table(spark, sf_dir, "documents"), good)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_ogg": op4_ogg,
