@@ -28,7 +28,7 @@ _RULES = re.compile(
     r"|(?P<link>\[(?P<label>(?:\\.|[^\]\\])+)\]\((?P<href>(?:\\.|[^()\s\\]|\([^()]*\))+)(?:\s+\"(?P<title>[^\"]*)\")?\))"
     r"|(?P<del>~~(?P<dv>.+?)~~)"
     r"|(?P<both>\*\*\*(?P<bv>\S.*?)\*\*\*)"
-    r"|(?P<strong>(?P<sm>\*\*|__)(?P<sv>\S.*?)(?P=sm))"
+    r"|(?P<strong>(?P<sm>\*\*|__)(?P<sv>\S.*?)(?P=sm)(?!\*))"
     r"|(?P<em>(?P<emk>\*|_)(?P<ev>\S.*?)(?P=emk))"
     r"|(?P<break>  \n|\n)",
     re.S,
