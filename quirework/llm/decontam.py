@@ -5,7 +5,8 @@ words is one window. A window can only occur where its rarest word does, so
 that word alone, with its offset, is the necessary prefix: windows order their
 words by frequency over all documents, document words join with the rarest
 ones, window length and offset bound the place, and the words at that place
-are compared with the window.
+are compared with the window. (Words are exploded by the outer variant: for the
+inner one the optimizer adds a filter on their number, which splits each text twice.)
 
 Cases: null and empty texts have no words and no hits; an item without words
 has no window; repeated rows get equal results; rows with one id and other
@@ -20,9 +21,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WIDTH = 10
-#: Fixed value: the words of a text after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what parts words after A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to which the benchmark's side of a join is sent to all tasks: some 40 MB; beyond, both sides are shuffled.
 SENT_WINDOWS = 200_000
 
@@ -32,7 +35,7 @@ def lowered(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
 def windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -50,7 +53,7 @@ def prefixes(docs: DataFrame, win: DataFrame, fits: bool) -> DataFrame:
     """(word, offset, window, len): the rarest word of each distinct window over ``docs`` (a column ``w`` of words)."""
     distinct = win.select("window").distinct()
     parts = distinct.select("window", F.posexplode("window").alias("offset", "word"))
-    seen = docs.select(F.explode("w").alias("word")).join(_sent(parts.select("word").distinct(), fits), "word").groupBy("word").agg(F.count("*").alias("n"))
+    seen = docs.select(F.explode_outer("w").alias("word")).join(_sent(parts.select("word").distinct(), fits), "word").groupBy("word").agg(F.count("*").alias("n"))
     rare = parts.join(seen, "word", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p"))
     # A word that no document has rules its window out.
     return rare.filter("p.n > 0").select("p.word", "p.offset", "window", F.size("window").alias("len"))
@@ -60,13 +63,13 @@ def hits(docs: DataFrame, prefix: DataFrame, fits: bool) -> DataFrame:
     """(key columns of docs, window, start, len) of every occurrence; ``docs`` has doc_id, digest and words ``w``."""
     start = F.col("pos") - F.col("offset")
     if fits:
-        at = docs.select("doc_id", "digest", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(prefix), "word")
+        at = docs.select("doc_id", "digest", "w", F.posexplode_outer("w").alias("pos", "word")).join(F.broadcast(prefix), "word")
         bounded = at.filter((start >= 0) & (start + F.col("len") <= F.size("w")))
         found = bounded.filter(F.slice("w", start + 1, F.col("len")) == F.col("window"))
         return found.select("doc_id", "digest", "window", start.alias("start"), "len")
     # Both sides are shuffled: a word goes with its neighbours only, not with the whole text.
     reach = WIDTH - 1
-    near = docs.select("doc_id", "digest", "w", F.posexplode("w").alias("pos", "word"))
+    near = docs.select("doc_id", "digest", "w", F.posexplode_outer("w").alias("pos", "word"))
     first = F.greatest(F.col("pos") - reach, F.lit(0))
     near = near.select("doc_id", "digest", "pos", "word", first.alias("first"), F.slice("w", first + 1, F.lit(2 * reach + 1)).alias("near"))
     at = near.join(prefix, "word").filter((start >= F.col("first")) & (start + F.col("len") <= F.col("first") + F.size("near")))
@@ -79,16 +82,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     keyed = base.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     split = keyed.select("doc_id", "digest", words(F.col("text")).alias("w"))
-    win = windows(items, item_col, item_text, width)
+    win = cut(windows(items, item_col, item_text, width), "windows")
     fits = win.count() <= sent
-    found = hits(split, prefixes(split, win, fits), fits)
+    prefix = cut(prefixes(split, win, fits), "prefixes")
+    found = cut(hits(split, prefix, fits), "hits")
     places = found.select("doc_id", "digest", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"))
     covered = places.distinct().groupBy("doc_id", "digest").agg(F.count("*").alias("n_hit"))
     named = found.select("doc_id", "digest", "window").distinct().join(_sent(win, fits), "window")
     listed = named.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     tally = covered.join(listed, (covered.doc_id.eqNullSafe(listed.doc_id)) & (covered.digest == listed.digest)).select(covered.doc_id, covered.digest, "n_hit", "item_ids")
-    n_words = F.coalesce(F.regexp_count(lowered(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = keyed.select("doc_id", "digest", n_words.alias("n_words"))
+    rows = split.select("doc_id", "digest", F.size("w").cast("long").alias("n_words"))
     joined = rows.join(tally, rows.doc_id.eqNullSafe(tally.doc_id) & (rows.digest == tally.digest), "left")
     return joined.select(rows.doc_id, rows.digest, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
