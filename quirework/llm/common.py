@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,9 +38,25 @@ def cut(df: DataFrame, hint: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{hint}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # the table replaces the plan, so its shuffle files can go when it is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more, and let Spark drop shuffle files of plans that are done."""
+    for df in cuts:
+        _remove(df.sparkSession, df._cut_path)
+    gc.collect()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -24,7 +24,6 @@ that overlap by a window; empty tables give empty results; other columns are ign
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, steps
+from .common import cut, drop, only, steps
 from .shingles import mix
 
 SPAN, GRAM, GROUP = 200, 64, 16
@@ -190,22 +189,17 @@ def _dropped(digests: bool):
     return run
 
 
-def _release(df: DataFrame) -> None:
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, spans) of texts with repeated bytes, and all texts as in ``_whole``."""
     kind = dict(docs.dtypes)["doc_id"]
     common = docs.select("text").mapInArrow(_triggers, "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).filter("c > 1").select("a")
     rows = docs.mapInArrow(_phrase_rows, f"doc_id {kind}, digest long, a long, u long, lo long, n int, off int")
     rows = cut(rows.join(common, "a", "left_semi"), "phrases")
-    _release(docs)
+    drop()
     named = rows.select("doc_id", "digest").distinct().select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.lit(True).alias("some"))
     texts = docs.join(named, docs.doc_id.eqNullSafe(F.col("d")) & (docs.digest == F.col("g")), "left").select("doc_id", "digest", "text", "some")
     texts = cut(texts.mapInArrow(_whole, f"doc_id {kind}, digest long, text string, n_bytes long, sha string"), "phrase-texts")
-    _release(docs)
+    drop()
     distinct = rows.groupBy("a", "u").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "digest", "lo", "n", "off")).alias("p"))
     distinct = cut(distinct, "dictionary")
     mixed = distinct.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a")
@@ -213,7 +207,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = texts.filter("text is not null").select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "text")
     opened = places.join(held, places.doc_id.eqNullSafe(F.col("d")) & (places.digest == F.col("g"))).select("text", "places")
     opened = cut(opened.mapInArrow(_opened, "a long, u long, g int, core long, left binary, right binary, first int, last int, m long"), "groups")
-    _release(docs)
+    drop()
     key, edges = ["a", "g", "core"], ["left", "right", "first", "last"]
     alike = opened.groupBy(*key, *edges).agg(F.sum("m").alias("mm"))
     alone = cut(alike.groupBy(*key).agg(F.count("*").alias("kinds"), F.sum("mm").alias("all")), "cores")
@@ -227,10 +221,14 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_one = inside.filter("m = 1").join(same, ["a", "off", "core", "l", "r"]).select("a", "u", "off")
     parts = full.union(by_one).groupBy("a", "u").agg(F.collect_set("off").alias("offs"))
     status = distinct.filter("m > 1").select("a", "u", F.lit(None).cast("array<int>").alias("offs")).union(parts)
-    found = rows.join(cut(status, "repeats"), ["a", "u"])
+    status = cut(status, "repeats")
+    drop(distinct, opened, alone)
+    found = rows.join(status, ["a", "u"])
     windows = F.when(F.col("offs").isNull(), F.array(F.struct(F.col("lo").alias("at"), (F.col("n") + SPAN - 1).cast("long").alias("n"))))
     windows = windows.otherwise(F.transform("offs", lambda o: F.struct((F.col("lo") + F.col("off") - o).alias("at"), F.lit(SPAN).cast("long").alias("n"))))
     spans = found.select("doc_id", "digest", F.explode(windows).alias("s")).groupBy("doc_id", "digest").agg(F.collect_list("s").alias("spans"))
+    spans = cut(spans, "spans")
+    drop(rows, status)
     return spans, texts
 
 
