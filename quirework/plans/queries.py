@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, images, layout, repair, tables, verify
+from ..operators import audit, fixed, images, layout, lookups, ocr, repair, tables, verify
 from ..sources import readers
 from . import catalog, convert
 
@@ -143,7 +143,7 @@ def route_temperature(spark, d):
     return catalog.routes(spark).select("source", "target", "temperature", "route_class")
 
 
-@query(f"""SELECT * FROM (VALUES {_VALUES([(f.name, f.writable, f.produces[0], f.max_input_bytes) for f in catalog.FORMATS.values()])}) AS c(format, writable, primary_model, max_input_bytes)""".replace("max_input_bytes)", "max_input_bytes)"))
+@query(f"""SELECT * FROM (VALUES {_VALUES([(f.name, f.writable, f.produces[0], f.max_input_bytes) for f in catalog.FORMATS.values()])}) AS c(format, writable, primary_model, max_input_bytes)""")
 def capabilities(spark, d):
     return catalog.capabilities(spark).select("format", "writable", "primary_model", F.col("max_input_bytes").cast("int").alias("max_input_bytes"))
 
@@ -424,7 +424,7 @@ def credible_text(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", layout.credible(F.col("text")).alias("credible"))
 
 
-@query("""SELECT user_id, max_by(event_id, value * 1000000 + event_id / 1000000000) AS best FROM events GROUP BY user_id""".replace("max_by(event_id, value * 1000000 + event_id / 1000000000)", "arg_max(event_id, (value, event_id))"))
+@query("""SELECT user_id, arg_max(event_id, (value, event_id)) AS best FROM events GROUP BY user_id""")
 def best_candidate(spark, d):
     return tables.best(_t(spark, d, "events"), F.col("event_id"), F.struct("value", "event_id"), "user_id")
 
@@ -466,6 +466,77 @@ def skew_angle(spark, d):
     return images.skew(_pixels(spark, d).filter("a > 0"), "vec_id")
 
 
+# --- recognition and lookups --------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT l_orderkey, greatest(0, least(1, l_discount * 10)) AS c, l_discount * 10 < 0.6 AS low, l_tax > 0.05 AS turned FROM lineitem),
+s AS (SELECT l_orderkey, count(*) AS n_lines, avg(c) AS average, min(c) AS least, count(*) FILTER (low) AS low, count(*) FILTER (turned) AS turned FROM c GROUP BY ALL)
+SELECT l_orderkey, n_lines, round(average, 6) AS average, round(least, 6) AS least, low, turned, CASE WHEN round(average, 9) >= 0.9 AND low = 0 THEN 'high' WHEN round(average, 9) >= 0.7 THEN 'medium' ELSE 'low' END AS grade FROM s WHERE round(average, 6) NOT IN (0.9, 0.7)""")
+def ocr_summary(spark, d):
+    lines = _t(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") * 10).alias("confidence"), F.when(F.col("l_tax") > 0.05, "90").otherwise("0").alias("orientation"))
+    out = ocr.summary(lines, "l_orderkey").withColumns({"average": F.round("average", 6), "least": F.round("least", 6)})
+    return out.filter("average not in (0.9, 0.7)")
+
+
+@query("""SELECT o_custkey, count(*) AS pages, sum(o_orderkey % 9)::BIGINT AS runs, round(avg((o_orderkey % 11) / 10), 6) AS average, sum(o_orderkey)::BIGINT AS runtime_ms FROM orders GROUP BY ALL""")
+def ocr_merge_pages(spark, d):
+    pages = _t(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 9).alias("n_lines"), ((F.col("o_orderkey") % 11) / 10).alias("average"), F.col("o_orderkey").alias("runtime_ms"))
+    return ocr.merge_pages(pages, "o_custkey").withColumn("average", F.round("average", 6))
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'zh' THEN 'zh-CN' ELSE 'auto' END AS language, CASE lang WHEN 'en' THEN 'eng' WHEN 'zh' THEN 'chi_sim' END AS data_code FROM documents""")
+def ocr_languages(spark, d):
+    return _t(spark, d, "documents").select("doc_id", ocr.language(F.col("lang"), strict=True).alias("language"), ocr.data_code(F.col("lang")).alias("data_code"))
+
+
+@query()
+def ocr_line_blocks(spark, d):
+    talk = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_idx"), F.concat(F.lit("b"), "turn").alias("block_id"), "text")
+    lines = talk.select("doc_id", (F.col("block_idx") * 2).alias("line"), F.substring("text", 3, 12).alias("text"))
+    return ocr.line_blocks(lines, talk)
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber, coalesce(p_name, '') AS value FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size % 2 = 0""")
+def shared_string_lookup(spark, d):
+    cells = _t(spark, d, "lineitem").select(F.lit(0).alias("doc_id"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("idx"))
+    strings = _t(spark, d, "part").filter("p_size % 2 = 0").select(F.lit(0).alias("doc_id"), F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"))
+    return lookups.by_index(cells, strings).select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "value")
+
+
+@query("""SELECT c_custkey, c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey % 2 = 0) AS is_date FROM customer""")
+def style_date_lookup(spark, d):
+    cells = _t(spark, d, "customer").select(F.lit(0).alias("doc_id"), "c_custkey", F.col("c_nationkey").alias("style"))
+    styles = _t(spark, d, "nation").select(F.lit(0).alias("doc_id"), F.col("n_nationkey").alias("style"), F.col("n_regionkey").alias("format_id"))
+    formats = _t(spark, d, "region").select(F.lit(0).alias("doc_id"), F.col("r_regionkey").alias("format_id"), F.when(F.col("r_regionkey") % 2 == 0, "yyyy-mm-dd").otherwise('h:mm "day"').alias("code"))
+    return lookups.dated(cells, styles, formats).select("c_custkey", "is_date")
+
+
+@query("""SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey)::INTEGER AS place, n_name AS href FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def spine_order(spark, d):
+    region = _t(spark, d, "nation")
+    refs = _t(spark, d, "customer").join(region, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc_id"), F.col("c_custkey").alias("pos"), F.col("c_nationkey").alias("item_id"))
+    return lookups.spine(refs, region.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("item_id"), F.col("n_name").alias("href")))
+
+
+@query("""SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'entries' ELSE 'directory' END AS missing_in FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 > 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+def archive_directory_errors(spark, d):
+    entries = _t(spark, d, "orders").select(F.lit(0).alias("doc_id"), F.col("o_custkey").alias("name"))
+    central = _t(spark, d, "customer").filter("c_custkey % 5 > 0").select(F.lit(0).alias("doc_id"), F.col("c_custkey").alias("name"))
+    return lookups.directory_errors(entries, central).select("name", "missing_in")
+
+
+@query(r"""WITH c AS (SELECT lang, unnest(regexp_extract_all(text, '[^\x00-\x7F]')) AS ch FROM documents), n AS (SELECT lang, ch, count(*) AS n FROM c GROUP BY ALL)
+SELECT lang, ch, n FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, ch) <= 10""".replace("\\\\", "\\"))
+def dropped_characters(spark, d):
+    return lookups.dropped_characters(_t(spark, d, "documents"), r"\x00-\x7F", "lang")
+
+
+@query()
+def fixed_layout_blocks(spark, d):
+    talk = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("block_idx"), F.when(F.col("turn") == 0, "heading").otherwise("paragraph").alias("type"), F.when(F.col("turn") == 0, 1).alias("level"), "text")
+    return fixed.to_semantic(fixed.from_semantic(talk))
+
+
 # --- readers, writers, conversions --------------------------------------------------------------------------
 
 
