@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import audit, fixed, images, layout, lookups, ocr, repair, tables, verify
 from ..sources import readers
-from . import catalog, convert
+from . import catalog, convert, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,7 +526,7 @@ def archive_directory_errors(spark, d):
 
 
 @query(r"""WITH c AS (SELECT lang, unnest(regexp_extract_all(text, '[^\x00-\x7F]')) AS ch FROM documents), n AS (SELECT lang, ch, count(*) AS n FROM c GROUP BY ALL)
-SELECT lang, ch, n FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, ch) <= 10""".replace("\\\\", "\\"))
+SELECT lang, ch, n FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, ch) <= 10""")
 def dropped_characters(spark, d):
     return lookups.dropped_characters(_t(spark, d, "documents"), r"\x00-\x7F", "lang")
 
@@ -612,3 +612,22 @@ for _x in ("md", "html", "json", "docx", "epub", "pdf"):
 @query()
 def conversion_quality(spark, d):
     return convert.report(readers.read(_t(spark, d, "pages"), "html", "html", "page_id"))
+
+
+@query(f"""SELECT source, target, CASE WHEN source NOT IN ('md', 'html', 'txt', 'json', 'xml', 'csv') OR target NOT IN ('md', 'html', 'txt', 'json', 'xml', 'csv') THEN 'writer-not-text-canonical' END AS rule_diff,
+ CASE WHEN source NOT IN ('pdf', 'png', 'html', 'docx', 'pptx') OR target NOT IN ('pdf', 'png', 'html', 'docx', 'pptx') THEN 'format-not-drawn' END AS visual FROM (VALUES {_VALUES([(s, t) for s, to in catalog.MATRIX.items() for t in to])}) AS m(source, target)""")
+def verification_gates(spark, d):
+    return stage.gates(catalog.matrix(spark))
+
+
+@query()
+def verify_html_to_md(spark, d):
+    return stage.rule_diff(readers.read(_t(spark, d, "pages"), "html", "html", "page_id"), "html", "md")
+
+
+@query(r"""WITH n AS (SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS l, length(regexp_replace(replace(text, 'e', ''), '\s+', '', 'g')) AS r FROM documents),
+f AS (SELECT doc_id, round(CASE WHEN l = 0 THEN 1 WHEN r = 0 THEN 0 ELSE 2 * (r / l) / (r / l + 1) END, 9) AS f1 FROM n)
+SELECT doc_id, f1, f1 >= 0.7 AS passed, CASE WHEN f1 < 0.7 THEN 'OCR_READBACK_DRIFT' END AS warning FROM f""")
+def ocr_read_back(spark, d):
+    pairs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("expected"), F.replace("text", F.lit("e"), F.lit("")).alias("read"))
+    return stage.read_text(pairs).withColumn("f1", F.round("f1", 9))

@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework import model as m
-from quirework.operators import audit, images, layout, repair, tables, verify
-from quirework.plans import catalog, convert
-from quirework.sources import readers, writers
+from quirework.operators import audit, fixed, images, layout, lookups, ocr, repair, tables, verify
+from quirework.plans import catalog, convert, stage
+from quirework.sources import containers, readers, writers
 from quirework.streaming import ingest
 
 
@@ -164,3 +164,47 @@ def test_files_and_sink(spark, tmp_path):
 def test_own_formats(spark):
     readers.register_reader("upper", lambda text, title: (title, [m.paragraph(text.upper())], []))
     assert readers.read(spark.createDataFrame([(1, "a")], "doc_id long, content string"), "upper").first().blocks[0].text == "A"
+
+
+def test_stage(spark):
+    docs = readers.read(spark.createDataFrame([(1, "# T\n\n- a\n- b"), (2, ""), (3, "```js\nx\n```")], "doc_id long, content string"), "md")
+    got = {r.doc_id: (r.fidelity, r.warning) for r in stage.rule_diff(docs, "md", "html").collect()}
+    assert got == {1: ("exact", None), 2: ("exact", None), 3: ("major-drift", "ROUND_TRIP_DRIFT")}
+    assert stage.rule_diff(docs, "md", "pdf").filter("eligible").count() == 0
+    acts = spark.createDataFrame([(1, 0, 1, "T", "Title", 0.9)], "doc_id long, block_idx int, seq int, before string, after string, confidence double")
+    assert {r.doc_id: (r.attempted, r.decision) for r in stage.repair_cycle(docs, "md", acts).collect()}[1] == (True, "verified")
+    both = stage.envelope(("rule-diff", stage.rule_diff(docs, "md", "html")), ("read", stage.read_text(spark.createDataFrame([(1, "abc", "xyz")], "doc_id long, expected string, read string"))))
+    assert {r.doc_id: (r.layers, r.warnings) for r in both.collect()}[1] == (["read", "rule-diff"], ["OCR_READBACK_DRIFT"])
+
+
+def test_recognition(spark):
+    pages = spark.createDataFrame([(1, 0, bytes(12), 4, 3, "en"), (2, 0, b"", 4, 3, None)], "doc_id long, page int, pixels binary, width int, height int, language string")
+    assert {r.warning for r in ocr.recognise(pages, None).collect()} == {"OCR_UNAVAILABLE"}
+    ocr.register(ocr.Engine("low", lambda image, lang: [("weak", 0.2, 0.0, 0.0, 1.0, 1.0)], 5))
+    ocr.register(ocr.Engine("mock", lambda image, lang: [(f"{image.shape} {lang}", 0.9 if image.shape == (4, 3) else 0.4, 0.0, 0.0, 1.0, 1.0)], 10))
+    ocr.register(ocr.Engine("absent", lambda image, lang: [], 99, lambda: False))
+    assert ocr.choose().name == "mock"
+    got = {r.doc_id: r for r in ocr.recognise(pages, ocr.choose()).collect()}
+    assert got[1].lines[0].text == "(4, 3) en" and got[1].lines[0].orientation == "90" and got[2].warning == "OCR_FAILED"
+    blocks = spark.createDataFrame([(1, 0, "a", "one two"), (1, 1, "b", "three one")], "doc_id long, block_idx int, block_id string, text string")
+    lines = spark.createDataFrame([(1, 0, " three "), (1, 1, "one"), (1, 2, "two"), (1, 3, " "), (1, 4, "none")], "doc_id long, line long, text string")
+    assert [r.block_id for r in ocr.line_blocks(lines, blocks).orderBy("line").collect()] == ["b", "b", "a", "", ""]
+
+
+def test_lookups(spark):
+    refs = spark.createDataFrame([(1, "xl/workbook.xml", "r1")], "doc_id long, part string, rel_id string")
+    rels = spark.createDataFrame([(1, "xl/workbook.xml", "r1", "worksheets/s.xml")], "doc_id long, part string, rel_id string, target string")
+    assert lookups.by_relationship(refs, rels).first().path == "xl/worksheets/s.xml"
+    cells = spark.createDataFrame([(1, "a1", "x"), (1, "B2", "y")], "doc_id long, ref string, value string")
+    forms = spark.createDataFrame([(1, "A1", "1+1")], "doc_id long, ref string, formula string")
+    assert {r.ref: r.formula for r in lookups.with_formulas(cells, forms).collect()} == {"a1": "1+1", "B2": None}
+    maps = spark.createDataFrame([(1, "F1", "m"), (2, "F1", "m"), (2, "F2", "n")], "doc_id long, font string, map string")
+    rows = spark.createDataFrame([(1, "F9"), (2, "F9"), (2, "F2")], "doc_id long, font string")
+    assert sorted((r.doc_id, r.font, r.map or "") for r in lookups.with_default(rows, maps, "font").collect()) == [(1, "F9", "m"), (2, "F2", "n"), (2, "F9", "")]
+
+
+def test_fixed_layout(spark):
+    runs = spark.createDataFrame([(1, 1, 50.0, 700.0, 24.0, "Head"), (1, 1, 90.0, 660.0, 12.0, "world"), (1, 1, 50.0, 661.0, 12.0, "hello")], "doc_id long, page int, x double, y double, h double, text string")
+    assert [(r.type, r.text) for r in fixed.to_semantic(runs).orderBy("block_idx").collect()] == [("heading", "Head"), ("paragraph", "hello world")]
+    made = fixed.page_files(runs.withColumn("font", F.lit("Arial"))).first()
+    assert made.fonts == ["Arial"] and "hello" in writers.plain_text(containers.parse_pdf(bytes(made.data), "t")[1])
