@@ -7,9 +7,10 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def adler32(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else zlib.adler32(b))
 
