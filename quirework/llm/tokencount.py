@@ -1,7 +1,7 @@
 """Token counts without ids: each distinct pre-token is merged once, and documents sum its piece count.
 
 1. Distinct pre-tokens of all texts, with map-side combine; each is merged once (numpy rounds of ``bpe``).
-2. The ``hot`` most frequent ones, a fixed number, go to all tasks: about nine tenths of all occurrences, so
+2. The ``hot`` most frequent ones, at most a fixed number, go to all tasks: about nine tenths of all occurrences, so
    that no frequent key is ever shuffled.
 3. Each document sums the hot ones where it stands and gives a (pre-token, document, frequency) row for each
    other one; these join with the piece counts and are summed by document.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, only, steps
+from .common import cut, most_frequent, only, steps
 from .pretoken import pieces
 
 #: Pre-tokens sent to all tasks: about 1 MB.
@@ -105,7 +105,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     words = base.select("text").mapInArrow(_distinct(path), "word string, n long")
     counted = words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_pieces(path), "word string, n long, pieces int")
     counted = cut(counted, "pieces")
-    top = counted.orderBy(F.desc("n"), "word").limit(hot).select("word", "pieces").toPandas()
+    top = most_frequent(counted, F.col("n"), hot).select("word", "pieces").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(top["word"], top["pieces"].tolist(), strict=True)))
     kind = dict(base.dtypes)["doc_id"]
     rows = base.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row_id"), "text").mapInArrow(
