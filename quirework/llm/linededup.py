@@ -1,15 +1,15 @@
 """Fuzzy line dedup in DataFrame operations only: MinHash of character shingles, exact Jaccard, union-find.
 
-A line is compared in lower case without outer white space; lines shorter than
-``least`` characters are left alone. Its shingles are the runs of ``WIDTH``
-characters that start where no Latin letter stands before, so that words anchor
-them and scripts without spaces start one at every character.
+A line is compared in lower case without outer blanks; lines shorter than
+``LEAST`` characters are left alone. Its shingles are the ``WIDTH`` characters
+from each word on, over ``REACH`` words at most: words anchor character
+shingles, and scripts without spaces start one at every character.
 
 1. Equal lines become one distinct line with its first place (map-side combine).
 2. One hash of each shingle, xored with 48 constants: the minima are the signature, 12 bands of four.
    All of it is one generated loop over exploded shingles.
-3. In each band bucket lines are paired with the bucket's smallest and largest member only; shingle sets
-   confirm pairs at a Jaccard index of 0.8. At that index a pair shares no band in 2 of 1000 cases, at 0.9
+3. In each band bucket lines are paired with the bucket's smallest and largest member only; pairs whose
+   signatures agree in 28 places are confirmed on shingle sets at a Jaccard index of 0.8. At that index a pair shares no band in 2 of 1000 cases, at 0.9
    in fewer than one in 10^5; a pair in a bucket that is not linked with either end can be missed.
 4. Components of links by rounds; the first place of a component stays, all its other lines go.
 
@@ -21,109 +21,143 @@ stay as they are.
 
 from __future__ import annotations
 
-import gc
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 from .components import merge
 
 WIDTH = 8
+#: Words that a shingle reaches over at most.
+REACH = 2
 LEAST = 24
 #: Link if 100 * common >= LINK * united.
 LINK = 80
 BANDS, ROWS = 12, 4
-_SHINGLE = rf"(?=((?<![A-Za-zÀ-ɏ])[\s\S]{{{WIDTH}}}))"
+#: Of 48 minima, so many must agree before shingle sets are compared: 3.7 standard deviations less than at the threshold.
+AGREE = 28
+#: Bands that are paired at once.
+AT_ONCE = 4
 _NEWLINE = "\n"
+_SPACE = " \t\x0b\x0c\r\xa0\u2002\u2003\u2009\u3000\ufeff"
 
 
 def _constants(n: int) -> list[int]:
-    """Constants whose top bits differ evenly, so that xor moves each minimum elsewhere."""
+    """32-bit constants whose top bits differ evenly, so that xor moves each minimum elsewhere."""
     out, x = [], 0x9E3779B97F4A7C15
     for k in range(n):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        c = (k * 2**64 // n & 0xFC00000000000000) | (x >> 6)
-        out.append(c - 2**64 if c >= 2**63 else c)
+        c = (k * 2**32 // n & 0xFC000000) | (x >> 38)
+        out.append(c - 2**32 if c >= 2**31 else c)
     return out
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(line, F.lit(_SPACE)))
+
+
+def anchors(line: Column) -> Column:
+    """Words of a line; in lines with many characters beyond Latin each character is one."""
+    wide = F.octet_length(line) > 1.5 * F.length(line)
+    return F.when(wide, F.split(line, "(?<=[^\\x00-\\u024F])", -1)).otherwise(F.split(line, " ", -1))
 
 
 def shingles(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(line))
+    """Distinct shingles as an array of hashes, for lines to be compared."""
+    w = anchors(line)
+    return F.array_distinct(F.transform(w, lambda s, i: F.xxhash64(F.left(F.array_join(F.slice(w, i + 1, REACH), " "), F.lit(WIDTH)))))
 
 
 def _places(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, pos, line): the lines that take part."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", _NEWLINE, -1)).alias("pos", "raw"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode_outer(F.split("text", _NEWLINE, -1)).alias("pos", "raw"))
     lines = lines.filter(F.length("raw") >= LEAST).withColumn("line", normal(F.col("raw"))).drop("raw")
     return lines.filter(F.length("line") >= LEAST)
 
 
-def _key(line: Column) -> Column:
-    """Two hashes name a line; 128 bits, as lines are many."""
-    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"))
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): confirmed links among distinct lines (key, line)."""
-    each = distinct.select("key", F.explode(shingles(F.col("line"))).alias("s")).select("key", F.xxhash64("s").alias("x"))
-    signed = each.groupBy("key").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(BANDS * ROWS))])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    slots = signed.select("key", F.explode(F.array(*keys)).alias("bucket"))
-    ends = slots.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    near = slots.join(ends, "bucket")
-    pairs = near.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("key").alias("b")), F.struct(F.col("high").alias("a"), F.col("key").alias("b")))).alias("p")).select("p.a", "p.b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    pairs = cut(pairs, "line-pairs")
-    _release(distinct)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = cut(distinct.join(named, "key").select("key", "line"), "line-texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= LINK * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that are done."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def _pairs(signed: DataFrame) -> DataFrame:
+    """(a, b): in each bucket its smallest and largest member with every other; a few bands at a time, to hold little at once."""
+    out = []
+    for start in range(0, BANDS, AT_ONCE):
+        slots = signed.select("id", F.explode(F.array(*[f"k{b}" for b in range(start, start + AT_ONCE)])).alias("bucket"))
+        ends = slots.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+        pairs = slots.join(ends, "bucket").select("id", F.explode(F.array("low", "high")).alias("end")).filter("id <> end")
+        out.append(cut(pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "line-pairs"))
+        drop()
+    return cut(functools.reduce(DataFrame.union, out).distinct(), "line-pairs")
+
+
+def _packed(values: list[Column]) -> list[Column]:
+    """The low byte of each value, eight to a word."""
+    low = [F.shiftleft(v.cast("long").bitwiseAND(F.lit(255)), 8 * (k % 8)) for k, v in enumerate(values)]
+    return [functools.reduce(lambda x, y: x.bitwiseOR(y), low[k : k + 8]) for k in range(0, len(low), 8)]
+
+
+def _agree(words: int) -> Column:
+    """How many bytes of the words x0, x1 ... and y0, y1 ... are the same."""
+    differ = F.lit(0)
+    for k in range(words):
+        z = F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))
+        for by in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, by))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(8 * words) - differ
+
+
+def links(lines: DataFrame) -> DataFrame:
+    """(a, b): confirmed links among distinct lines (id, line)."""
+    each = lines.select("id", anchors(F.col("line")).alias("w")).select("id", "w", F.posexplode_outer("w").alias("i", "s"))
+    shingle = F.left(F.concat_ws(" ", "s", *[F.get("w", F.col("i") + k) for k in range(1, REACH)]), F.lit(WIDTH))
+    each = each.select("id", F.hash(shingle).alias("x"))
+    least = each.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(BANDS * ROWS))])
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)]
+    sketch = _packed([F.col(f"m{k}") for k in range(BANDS * ROWS)])
+    signed = cut(least.select("id", *keys, *[w.alias(f"s{k}") for k, w in enumerate(sketch)]), "line-signed")
+    drop()
+    pairs = _pairs(signed)
+    sketches = lambda end, name: signed.select(F.col("id").alias(end), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(len(sketch))])
+    near = cut(pairs.join(sketches("a", "x"), "a").join(sketches("b", "y"), "b").filter(_agree(len(sketch)) >= AGREE).select("a", "b"), "line-near")
+    drop(signed, pairs)
+    named = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut(lines.join(named, "id").select("id", shingles(F.col("line")).alias("s")), "line-sets")
+    drop()
+    sized = lambda end, name: sets.select(F.col("id").alias(end), F.col("s").alias(name))
+    both = near.join(sized("a", "x"), "a").join(sized("b", "y"), "b")
+    exact = (100 + LINK) * F.size(F.array_intersect("x", "y")) >= LINK * (F.size("x") + F.size("y"))
+    found = cut(both.filter(exact).select("a", "b"), "line-links")
+    drop(sets, near)
+    return found
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, gone array of line numbers from 0): places that repeat an earlier line."""
     places = _places(docs).filter("doc_id is not null")
-    first = F.min(F.struct("doc_id", "digest", "pos"))
-    lines = places.withColumn("key", _key(F.col("line")))
-    distinct = lines.groupBy("key").agg(F.first("line").alias("line"), first.alias("first"), F.count("*").alias("n"))
-    distinct = cut(distinct, "lines")
-    found = cut(links(distinct), "line-links")
-    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = cut(nodes.select("node", F.col("node").alias("comp")), "line-labels")
-    labels = cut(merge(labels, found), "line-labels")
-    _release(docs)
-    many = distinct.select("key", "first", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    # Lines that have company, and the first place of each component.
-    stays = many.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).filter("n > 1").select("comp", "stays")
-    known = cut(many.select("key", "comp").join(stays, "comp").select("key", "stays"), "line-stays")
-    here = lines.select("doc_id", "digest", "pos", "key").join(known, "key")
-    gone = here.filter(F.struct("doc_id", "digest", "pos") != F.col("stays"))
+    lines = cut(places.groupBy("line").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "lines")
+    found = links(lines.select("id", "line"))
+    nodes = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    labels = cut(merge(nodes.select(F.col("id").alias("node"), F.col("id").alias("comp")), found), "line-labels")
+    # Two hashes name a line: 128 bits, as lines are many. Those that stand once and are linked with none stay anyway.
+    names = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
+    linked = lines.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or comp is not null")
+    known = cut(linked.select(*names, F.coalesce("comp", "id").alias("comp")), "line-comps")
+    drop(lines)
+    here = cut(places.select("doc_id", "digest", "pos", *names).join(known, ["h", "g"]).select("comp", "doc_id", "digest", "pos"), "line-places")
+    stays = here.groupBy("comp").agg(F.min(F.struct("doc_id", "digest", "pos")).alias("stays"))
+    gone = here.join(stays, "comp").filter(F.struct("doc_id", "digest", "pos") != F.col("stays"))
     return gone.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines that repeat an earlier one taken out of ``text``, and n_lines, n_removed."""
-    gone = cut(removals(docs), "line-gone").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
-    _release(docs)
-    joined = docs.join(gone, (docs.doc_id == gone.gone_id) & (F.xxhash64(docs.text) == gone.gone_digest), "left")
-    lines = F.split("text", _NEWLINE, -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
-    out = joined.withColumn("lines", lines).withColumn("new", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, _NEWLINE)))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    others = [docs[c] if c != "text" else F.col("new").alias("text") for c in docs.columns]
-    return out.select(*others, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    """``docs`` with the lines that repeat an earlier one taken out of ``text``, and n_lines, n_removed (in place of such columns of its own)."""
+    gone = cut(removals(docs), "line-gone").toDF("_gone_id", "_gone_digest", "_gone")
+    drop()
+    joined = docs.join(gone, (docs.doc_id == gone["_gone_id"]) & (F.xxhash64(docs.text) == gone["_gone_digest"]), "left")
+    joined = joined.withColumn("_lines", F.split(docs.text, _NEWLINE, -1))  # a column of its own, so that it is made once and not at every line
+    lines = F.col("_lines")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
+    text = F.when(F.col("_gone").isNull(), docs.text).otherwise(F.array_join(kept, _NEWLINE))
+    others = [docs[c] if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(docs.text.isNull(), 0).otherwise(F.size(lines))
+    return joined.select(*others, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
