@@ -37,7 +37,12 @@ _CURRENCY = re.compile(r"^\d[\d,.]*(?:\s|$)")
 _PUNCTUATION = re.compile(r"([\\`*_\[\]<>~$])")
 
 
+_MARK = re.compile(r"[$\\\[`*_~\n]")
+
+
 def parse(text: str) -> tuple[Token, ...]:
+    if not _MARK.search(text):
+        return (Token("text", text),) if text else ()
     out: list[Token] = []
     plain: list[str] = []
 
