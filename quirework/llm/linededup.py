@@ -64,10 +64,9 @@ def anchors(line: Column) -> Column:
     return F.when(wide, F.split(line, "(?<=[^\\x00-\\u024F])", -1)).otherwise(F.split(line, " ", -1))
 
 
-def shingles(line: Column) -> Column:
-    """Distinct shingles as an array of hashes, for lines to be compared."""
-    w = anchors(line)
-    return F.array_distinct(F.transform(w, lambda s, i: F.xxhash64(F.left(F.array_join(F.slice(w, i + 1, REACH), " "), F.lit(WIDTH)))))
+def shingles(words: str) -> Column:
+    """Distinct shingles as an array of hashes, from a column of ``anchors``; an expression would be made anew at every word."""
+    return F.array_distinct(F.transform(words, lambda s, i: F.xxhash64(F.left(F.array_join(F.slice(words, i + 1, REACH), " "), F.lit(WIDTH)))))
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -121,7 +120,7 @@ def links(lines: DataFrame) -> DataFrame:
     near = cut(pairs.join(sketches("a", "x"), "a").join(sketches("b", "y"), "b").filter(_agree(len(sketch)) >= AGREE).select("a", "b"), "line-near")
     drop(signed, pairs)
     named = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(lines.join(named, "id").select("id", shingles(F.col("line")).alias("s")), "line-sets")
+    sets = cut(lines.join(named, "id").select("id", anchors(F.col("line")).alias("w")).select("id", shingles("w").alias("s")), "line-sets")
     drop()
     sized = lambda end, name: sets.select(F.col("id").alias(end), F.col("s").alias(name))
     both = near.join(sized("a", "x"), "a").join(sized("b", "y"), "b")
