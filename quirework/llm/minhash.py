@@ -8,9 +8,9 @@ documents into buckets; at the similarity of 0.75 a pair shares fewer than two o
 Buckets are resolved without the pairs of their documents: in a round each
 bucket names its largest components as pivots, the other components of the
 bucket are compared with them on full shingle sets, and links unite components.
-After some rounds single documents are compared by sketches of 512 values
-inside the join of bucket mates, and only pairs that may be linked come out of
-it; two that share one band only do not, either. A bucket ends when every two
+Single documents are compared by sketches of 512 values inside the join of
+bucket mates, and only pairs that may be linked come out of it; in the last
+round two that share one band only do not, either. A bucket ends when every two
 of its components have been compared, so no other link between mates is lost. Large
 pivots and their partners are cut into blocks of bounded size.
 
@@ -40,8 +40,8 @@ WIDTH = 5
 #: Link if 100 * common >= LINK * united.
 LINK = 75
 PERMUTATIONS, BANDS = 64, 32
-#: Rounds with one pivot a bucket; then the sketches of all pairs of components are compared, if these are at most so many
-#: for each place in a bucket, or else those of four times as many pivots in every round; alike ones are confirmed.
+#: Rounds with one pivot a bucket; then all pairs of components are looked at, if these are at most so many for each
+#: place in a bucket, or else those of four times as many pivots in every round.
 PIVOT_TURNS, PAIRS_PER_SLOT = 3, 64
 #: Shingles of one side in a block of comparisons.
 BLOCK = 400_000
@@ -50,7 +50,7 @@ _RNG = np.random.default_rng(74_207_281)
 _A = _RNG.integers(1, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _BAND = _RNG.integers(1, 2**62, (BANDS, 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Values of the wide sketch of documents that no pivot settled, and how many of them must agree before two single
+#: Values of the wide sketch of documents that share a bucket, and how many of them must agree before two single
 #: documents are compared: 4 standard deviations less than at the threshold (31 of 1,000,000 pairs there).
 WIDE, AGREE = 512, 353
 _WIDE_A = _RNG.integers(1, 2**62, WIDE // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,6 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(texts.join(labels.select("node"), "node", "left_semi").join(sizes, "node"), "texts")
     done = spark.createDataFrame([], "bucket long, comp long, size long")
     all_slots = slots.count()
+    sketches = cut(texts.select("node", "text").mapInArrow(_wide, "node long, sketch array<long>"), "sketches")
+    one_text = sketches.groupBy("node").agg(F.first("sketch").alias("sketch"), F.count("*").alias("n")).filter("n = 1")  # others are always compared
     for turn in itertools.count():
         sized = labels.groupBy("comp").agg(F.count("*").alias("size"))
         held = slots.join(labels, "node").select("bucket", "comp").distinct().join(sized, "comp")
@@ -194,15 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         last = turn >= PIVOT_TURNS and left <= PAIRS_PER_SLOT * all_slots
         pivots = ranked if last else ranked.filter(F.col("rank") <= 4 ** max(0, turn + 1 - PIVOT_TURNS))
         pivots = pivots.select("bucket", F.col("comp").alias("c1"), F.col("size").alias("s1"), F.col("rank").alias("r1"))
-        sketched = turn >= PIVOT_TURNS
-        if sketched:
-            alone = ranked.filter("size = 1").select(F.col("comp").alias("node")).distinct()
-            sketches = cut(texts.join(alone, "node", "left_semi").select("node", "text").mapInArrow(_wide, "node long, sketch array<long>").dropDuplicates(["node"]), "sketches")
-            named = lambda c, x: sketches.select(F.col("node").alias(c), F.col("sketch").alias(x))
-            met = pivots.join(named("c1", "x"), "c1", "left").join(ranked.join(named("comp", "y"), "comp", "left"), "bucket")
-            met = met.filter((F.col("r1") < F.col("rank")) & (F.col("x").isNull() | F.col("y").isNull() | (_agree("x", "y") >= AGREE)))
-        else:
-            met = pivots.join(ranked, "bucket").filter("r1 < rank")
+        named = lambda c, x: one_text.select(F.col("node").alias(c), F.col("sketch").alias(x))
+        met = pivots.join(named("c1", "x"), "c1", "left").join(ranked.join(named("comp", "y"), "comp", "left"), "bucket")
+        met = met.filter((F.col("r1") < F.col("rank")) & ((F.col("s1") > 1) | (F.col("size") > 1) | F.col("x").isNull() | F.col("y").isNull() | (_agree("x", "y") >= AGREE)))
         pairs = met.groupBy("c1", F.col("comp").alias("c2")).agg(F.count("*").alias("shared"), F.max(F.col("s1") + F.col("size")).alias("members"))
         if last:  # two documents that share one band alone are not alike enough but for 8 pairs of 100,000 at the threshold
             pairs = pairs.filter("members > 2 or shared > 1")
@@ -213,8 +209,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             drop(texts, slots, ranked, pairs, links, sketches)
             break
-        if sketched:
-            drop(sketches)
         done = cut(done.union(pivots.select("bucket", F.col("c1").alias("comp"), F.col("s1").alias("size"))), "done")
         drop(ranked, pairs, links)
     known = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
