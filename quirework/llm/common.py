@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import tempfile
 import uuid
@@ -23,11 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quirework-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+
+
+@functools.cache
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quirework-")
 
 
 def cut(df: DataFrame, hint: str = "cut") -> DataFrame:
