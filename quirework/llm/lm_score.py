@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, most_frequent, steps
+from .common import cut, drop, most_frequent, steps
 
 VOCABULARY = 65_535
 PAIRS = 1 << 20
@@ -129,8 +129,10 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> Mo
     """Both models from (text, target boolean)."""
     spark = docs.sparkSession
     counted = docs.mapInArrow(_word_counts, "word string, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    top = most_frequent(cut(counted, "words"), F.col("t") + F.col("b"), vocabulary).toArrow().sort_by("word")
-    totals = docs.mapInArrow(_totals, "t long, b long").agg(F.sum("t"), F.sum("b")).first()
+    counted = cut(counted, "words")
+    top = most_frequent(counted, F.col("t") + F.col("b"), vocabulary).toArrow().sort_by("word")
+    totals = counted.agg(F.sum("t"), F.sum("b")).first()
+    drop(counted)
     words = {w: i for i, w in enumerate(top["word"].to_pylist())}
     known = np.array([top["t"].to_numpy(), top["b"].to_numpy()], np.float64).reshape(2, len(words))
     rest = np.array([[(totals[k] or 0)] for k in range(2)], np.float64) - known.sum(axis=1, keepdims=True)
@@ -139,20 +141,13 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> Mo
     bare = Models(words, first, counts, np.zeros(0, np.int64), np.zeros((2, 0)))
     sent = spark.sparkContext.broadcast(bare)
     by_key = docs.mapInArrow(_pair_counts(sent), "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    best = most_frequent(cut(by_key, "pairs"), F.col("t") + F.col("b"), pairs).toArrow()
+    by_key = cut(by_key, "pairs")
+    best = most_frequent(by_key, F.col("t") + F.col("b"), pairs).toArrow()
+    drop(by_key)
     order = np.argsort(best["key"].to_numpy(), kind="stable")
     return Models(words, first, counts, best["key"].to_numpy()[order], np.array([best["t"].to_numpy()[order], best["b"].to_numpy()[order]], np.float32).reshape(2, -1))
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = b = 0
-    for batch in steps(batches, most=_STEP):
-        for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            n = len((text or "").split())
-            t, b = (t + n, b) if target else (t, b + n)
-    yield pa.RecordBatch.from_pydict({"t": pa.array([t], pa.int64()), "b": pa.array([b], pa.int64())})
-
-
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, score) of every row; map-only."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
@@ -165,5 +160,9 @@ def score_against(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", te
     """Scores of ``docs`` where the rows with an id in ``target`` (one column) are the target and all others the background."""
     ids = target.toDF("target_id").filter("target_id is not null").distinct().withColumn("target", F.lit(True))
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    corpus = base.join(ids, base.doc_id == ids.target_id, "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    return score(docs, fit(corpus, vocabulary, pairs), id_col, text_col)
+    # Ids are as many as the labels, so the join is by shuffle at every size, and done once.
+    corpus = base.join(ids.hint("merge"), base.doc_id == ids.target_id, "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    corpus = cut(corpus, "corpus")
+    models = fit(corpus, vocabulary, pairs)
+    drop(corpus)
+    return score(docs, models, id_col, text_col)
