@@ -337,6 +337,19 @@ def test_line_dedup(docs, none):
     assert got.count() == len(ROWS) and got.filter("lines <> 'lines' or gone <> 'gone'").count() == 0 and dict(got.dtypes)["n_lines"] == "bigint"
 
 
+def test_line_pairs_between_unrelated_mates(spark):
+    rnd = random.Random(8)
+    often, rows = [f"{k:02}frequent" for k in range(36)], []
+    for _ in range(150):
+        w = rnd.sample(often, 20)
+        rows += [" ".join(w), " ".join(w[:19] + [f"{rnd.randrange(10**6):06}xx"])]
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dedup_lines(rows)
+    assert [i for i in want if got[i] != want[i]] == []
+
+
 ITEMS = [(k, " ".join((ROWS[9 + 5 * k][1] or "").split()[20:60])) for k in range(3)] + [(10, "Tiny item"), (11, ""), (12, None), (13, "a b c d")]
 
 
