@@ -3,7 +3,8 @@
 A line is compared in lower case without outer blanks; lines shorter than
 ``LEAST`` characters are left alone. Its shingles are the ``WIDTH`` characters
 from each word on, over ``REACH`` words at most: words anchor character
-shingles, and scripts without spaces start one at every character.
+shingles. In lines of other scripts, or with words of over ``LONG`` characters in the mean,
+they are all windows of ``WIDTH`` characters.
 
 1. Equal lines become one distinct line with its first place (map-side combine).
 2. One hash of each shingle, xored with 48 constants: the minima are the signature, 12 bands of four.
@@ -35,6 +36,8 @@ WIDTH = 8
 #: Words that a shingle reaches over at most.
 REACH = 2
 LEAST = 24
+#: Mean characters of a word, its blank among them, from which on a line's shingles start at every character.
+LONG = 12
 #: Link if 100 * common >= LINK * united.
 LINK = 80
 BANDS, ROWS = 12, 4
@@ -63,9 +66,12 @@ def normal(line: Column) -> Column:
 
 
 def anchors(line: Column) -> Column:
-    """Words of a line; in lines with many characters beyond Latin each character is one."""
+    """Words of a line; of lines with many characters beyond Latin or with few blanks, where words would leave most unread, all windows."""
     wide = F.octet_length(line) > 1.5 * F.length(line)
-    return F.when(wide, F.split(line, "(?<=[^\\x00-\\u024F])", -1)).otherwise(F.split(line, " ", -1))
+    blanks = F.length(line) - F.length(F.replace(line, F.lit(" ")))
+    whole = wide | (F.length(line) > LONG * (blanks + 1))
+    # A match takes one character and looks ahead for its window, so that a line is read once, whatever its length.
+    return F.when(whole, F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))."), F.lit(1))).otherwise(F.split(line, " ", -1))
 
 
 def shingles(words: str) -> Column:

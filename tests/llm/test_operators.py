@@ -350,6 +350,17 @@ def test_line_pairs_between_unrelated_mates(spark):
     assert [i for i in want if got[i] != want[i]] == []
 
 
+def test_lines_are_read_whole(spark):
+    rnd = random.Random(9)
+    cyrillic = lambda n: " ".join("".join(rnd.choice("абвгдежзийклмнопрстуфхцчшщъыьэюя") for _ in range(rnd.randint(3, 9))) for _ in range(n))
+    long = cyrillic(3000)
+    apart = ["https://example.com/first/page", "https://other.org/quite-another/thing", "2024-03-01\tnorth\t17\topen-order", "2024-03-02\tsouthwest\t4\tclosed", long, cyrillic(3000), "\U0001f600" * 20 + "x" * 20]
+    alike = [f"{long} и", "https://example.com/first/page"]
+    rows = list(enumerate(apart + alike))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i < len(apart) else "" for i, t in rows}
+
+
 ITEMS = [(k, " ".join((ROWS[9 + 5 * k][1] or "").split()[20:60])) for k in range(3)] + [(10, "Tiny item"), (11, ""), (12, None), (13, "a b c d")]
 
 
