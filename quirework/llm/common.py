@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,11 +53,9 @@ def cut(df: DataFrame, hint: str = "cut") -> DataFrame:
 
 
 def drop(*cuts: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more, and let Spark drop shuffle files of plans that are done."""
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
     for df in cuts:
         _remove(df.sparkSession, df._cut_path)
-    gc.collect()
-    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -1,11 +1,35 @@
-"""Connected components of a link table as DataFrame rounds; links and labels never reach the driver."""
+"""Connected components of a link table as DataFrame rounds, and joins that hot keys don't slow; nothing reaches the driver but counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
+
+#: A key is hot if it has over one in so many of the rows, so there are no more hot keys than that; and at least so many rows.
+SHARE, LEAST = 1000, 5000
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` at equal ``keys``, of which the first is a long.
+
+    ``right`` is a table that ``cut`` wrote, with one row a key and the count ``n`` of rows of ``left`` that have it. Rows of
+    hot keys get theirs from a broadcast of at most SHARE rows and are dealt out by a hash of themselves, all others by shuffle.
+    """
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    bar = max((total or 0) // SHARE, LEAST)
+    if (most or 0) <= bar:
+        return left.join(right.drop(n), keys, how)
+    rest = F.struct(*[c for c in right.columns if c not in (*keys, n)])
+    hot = F.broadcast(right.filter(F.col(n) > bar).select(*keys, rest.alias("_hot")))
+    cold = right.filter(F.col(n) <= bar).select(*[F.col(k).alias(f"_{k}") for k in keys], rest.alias("_cold"))
+    marked = left.join(hot, keys, "left").withColumn("_first", F.when(F.col("_hot").isNotNull(), F.xxhash64(*left.columns)).otherwise(F.col(keys[0])))
+    on = [F.col("_first") == F.col(f"_{keys[0]}"), *[F.col(k) == F.col(f"_{k}") for k in keys[1:]]]
+    found = marked.join(cold, on, "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        found = found.filter("_found is not null")
+    return found.select(*left.columns, "_found.*")
 
 
 def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -19,14 +43,24 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     other = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     edges = links.join(own, "a").join(other, "b").filter("ca <> cb").select("ca", "cb")
     edges = cut(edges.union(edges.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct().toDF("u", "v"), "edges")
-    roots = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), "roots")
+    roots = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root"), F.count("*").alias("n")), "roots")
     while True:
-        near = edges.join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
-        jump = roots.select(F.col("node").alias("next"), F.col("root").alias("beyond"))
-        step = cut(step.join(jump, "next").select("node", F.least("next", "beyond").alias("root"), "was"), "roots")
-        roots = step.select("node", "root")
-        if step.filter("root <> was").isEmpty():
+        near = lookup(edges, roots.withColumnRenamed("node", "v"), ["v"], "n").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        step = cut(roots.join(near, "node").select("node", "n", F.least("root", "near").alias("next"), F.col("root").alias("was")), "steps")
+        jump = step.groupBy("next").agg(F.count("*").alias("m")).join(roots.select(F.col("node").alias("next"), F.col("root").alias("beyond")), "next")
+        jump = cut(jump, "jumps")
+        new = cut(lookup(step, jump, ["next"], "m").select("node", F.least("next", "beyond").alias("root"), "n", "was"), "roots")
+        drop(roots, step, jump)
+        roots = new
+        if roots.filter("root <> was").isEmpty():
             break
-    moved = roots.select(F.col("node").alias("comp"), F.col("root"))
-    return labels.join(moved, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+        roots = _as(roots, "node", "root", "n")
+    moved = labels.groupBy("comp").agg(F.count("*").alias("m")).join(roots.select(F.col("node").alias("comp"), "root"), "comp")
+    return lookup(labels, cut(moved, "moved"), ["comp"], "m", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+
+
+def _as(table: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a table that ``cut`` wrote, still to be dropped."""
+    out = table.select(*columns)
+    out._cut_path = table._cut_path
+    return out

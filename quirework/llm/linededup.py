@@ -1,24 +1,24 @@
 """Fuzzy line dedup in DataFrame operations only: MinHash of character shingles, exact Jaccard, union-find.
 
-A line is compared in lower case without outer blanks; lines shorter than
-``LEAST`` characters are left alone. Its shingles are the ``WIDTH`` characters
-from each word on, over ``REACH`` words at most: words anchor character
-shingles. In lines of other scripts, or with words of over ``LONG`` characters in the mean,
-they are all windows of ``WIDTH`` characters.
-
-1. Equal lines become one distinct line with its first place (map-side combine).
-2. One hash of each shingle, xored with 48 constants: the minima are the signature, 12 bands of four.
-   All of it is one generated loop over exploded shingles.
-3. In a round the lines of each band bucket are paired with two pivots of the bucket, in the last round with all
-   others that are not yet in one component with them; so no pair in a bucket is left out, and pivots only save pairs within
-   large groups of copies. Pairs whose signatures agree in 28 places are confirmed on shingle sets at a Jaccard index of 0.8.
-   At that index a pair shares no band in 2 of 1000 cases, at 0.9 in fewer than one in 10^5.
-4. Links unite components after each round; the first place of a component stays, all its other lines go.
-
-Cases: null texts stay null and empty ones empty; blank and short lines stay; a text whose lines all go
-becomes empty; ties go to the smaller id, then to the earlier line; repeated rows keep their lines once, in
-whichever of them, by a hash of the whole text, comes first; empty tables give empty results; all columns
-stay as they are.
+Every line that is not blank takes part, in lower case without outer blanks. Its shingles are all windows of ``WIDTH``
+characters (UTF-16 units); a shorter line is its own one shingle, so that only an equal line is like it.
+
+1. Equal lines become one distinct line, named by a hash, with its first place (map-side combine). Where they were
+   brought together their signatures are made, so that text is shuffled once: 16 shingles a row, 32 minima of their hashes under xor.
+2. 16 bands of four minima, each minimum in two bands. Pairs at a Jaccard index of 0.8 share no band in 2 of 1000 cases,
+   at 0.85 in 2 of 10,000, if minima are independent; the tests and the README have what was measured.
+3. The lines of each band bucket are compared with one of them; links unite components; then others of the bucket are the
+   pivots, and in the last round all lines of a bucket that are not in one component yet meet, by sketches inside the join,
+   in blocks where a bucket is large. So pivots only save pairs within large groups of copies, and no pair of a bucket is
+   left out. Every link is confirmed on full shingle sets at a Jaccard index of 0.8.
+4. The first place of a component stays, all its other lines go.
+
+Joins look keys up with ``lookup``: a key of over a thousandth of the rows is broadcast, and its rows are spread.
+
+Cases: null texts stay null and empty ones empty; blank lines stay; a text whose lines all go becomes empty; lines of
+rows without an id are left alone; ties go to the smaller id, then to the earlier line; rows with equal id and text are
+one document and get equal results; rows with one id and other texts are other documents; texts and lines of any length
+are read whole; empty tables give empty results; all columns stay as they are but for n_lines and n_removed.
 """
 
 from __future__ import annotations
@@ -26,38 +26,37 @@ from __future__ import annotations
 import functools
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop
-from .components import merge
+from .components import lookup, merge
 
 WIDTH = 8
-#: Words that a shingle reaches over at most.
-REACH = 2
-LEAST = 24
-#: Mean characters of a word, its blank among them, from which on a line's shingles start at every character.
-LONG = 12
 #: Link if 100 * common >= LINK * united.
 LINK = 80
-BANDS, ROWS = 12, 4
-#: Of 48 minima, so many must agree before shingle sets are compared: 3.7 standard deviations less than at the threshold.
-AGREE = 28
-#: Rounds with two pivots a bucket at most; fewer, but one, if the pairs of components left are at most so many for each place in a bucket.
+MINIMA, ROWS = 32, 4
+#: Places in the signature that make each band: rows of a table of 8 x 4 minima, then its diagonals.
+BANDS = [[ROWS * b + r for r in range(ROWS)] for b in range(MINIMA // ROWS)] + [[ROWS * ((b + 2 * r + r // 2) % (MINIMA // ROWS)) + r for r in range(ROWS)] for b in range(MINIMA // ROWS)]
+#: Of the minima, so many must agree before shingle sets are compared in the last round: 5 standard deviations less than at the threshold.
+AGREE = 14
+#: Rounds with pivots at most; fewer if the pairs of lines left are at most so many for each place in a bucket.
 PIVOT_TURNS, PAIRS_PER_SLOT = 4, 16
-#: Bands that are dealt out at once.
-AT_ONCE = 4
+#: Members of a bucket in a block of the last round.
+BLOCK = 512
+#: Shingles in one row of the signature's aggregation.
+AT_ONCE = 16
 _NEWLINE = "\n"
 _SPACE = " \t\x0b\x0c\r\xa0\u2002\u2003\u2009\u3000\ufeff"
 
 
 def _constants(n: int) -> list[int]:
-    """32-bit constants whose top bits differ evenly, so that xor moves each minimum elsewhere."""
+    """64-bit constants, of which no two have equal top bits, so that xor moves each minimum elsewhere."""
     out, x = [], 0x9E3779B97F4A7C15
     for k in range(n):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        c = (k * 2**32 // n & 0xFC000000) | (x >> 38)
-        out.append(c - 2**32 if c >= 2**31 else c)
+        c = (k * 2**64 // n & 0xF800000000000000) | (x >> 5)
+        out.append(c - 2**64 if c >= 2**63 else c)
     return out
 
 
@@ -65,139 +64,166 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(_SPACE)))
 
 
-def anchors(line: Column) -> Column:
-    """Words of a line; of lines with many characters beyond Latin or with few blanks, where words would leave most unread, all windows."""
-    wide = F.octet_length(line) > 1.5 * F.length(line)
-    blanks = F.length(line) - F.length(F.replace(line, F.lit(" ")))
-    whole = wide | (F.length(line) > LONG * (blanks + 1))
-    # A match takes one character and looks ahead for its window, so that a line is read once, whatever its length.
-    return F.when(whole, F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))."), F.lit(1))).otherwise(F.split(line, " ", -1))
+def units(line: Column) -> Column:
+    """Two bytes for each UTF-16 unit, so that a window is cut out without counting from the start."""
+    return F.encode(line, "UTF-16BE")
 
 
-def shingles(words: str) -> Column:
-    """Distinct shingles as an array of hashes, from a column of ``anchors``; an expression would be made anew at every word."""
-    return F.array_distinct(F.transform(words, lambda s, i: F.xxhash64(F.left(F.array_join(F.slice(words, i + 1, REACH), " "), F.lit(WIDTH)))))
+def _last(data: Column) -> Column:
+    """Start of the last shingle."""
+    return F.greatest((F.octet_length(data) / 2).cast("int") - WIDTH, F.lit(0))
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, pos, line): the lines that take part."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode_outer(F.split("text", _NEWLINE, -1)).alias("pos", "raw"))
-    lines = lines.filter(F.length("raw") >= LEAST).withColumn("line", normal(F.col("raw"))).drop("raw")
-    return lines.filter(F.length("line") >= LEAST)
-
-
-def _slots(signed: DataFrame, sketch: list[str]) -> tuple[DataFrame, list[DataFrame]]:
-    """(bucket, id, sketch), and the tables it is read from, of the members of buckets with two and more; a few bands at a time, to hold little at once."""
-    out = []
-    for start in range(0, BANDS, AT_ONCE):
-        slots = signed.select("id", F.explode(F.array(*[f"k{b}" for b in range(start, start + AT_ONCE)])).alias("bucket"))
-        shared = slots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        out.append(cut(slots.join(shared, "bucket").join(signed.select("id", *sketch), "id").select("bucket", "id", *sketch), "line-slots"))
-        drop()
-    return functools.reduce(DataFrame.union, out), out
+def _shingle(data: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(data, at * 2 + 1, F.lit(2 * WIDTH)))
 
 
-def _packed(values: list[Column]) -> list[Column]:
-    """The low byte of each value, eight to a word."""
-    low = [F.shiftleft(v.cast("long").bitwiseAND(F.lit(255)), 8 * (k % 8)) for k, v in enumerate(values)]
-    return [functools.reduce(lambda x, y: x.bitwiseOR(y), low[k : k + 8]) for k in range(0, len(low), 8)]
+def shingles(data: str) -> Column:
+    """Distinct shingles as an array of hashes, from a column of ``units``; an expression would be made anew at every shingle."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(data))), lambda i: _shingle(F.col(data), i)))
 
 
-def _agree(words: int) -> Column:
-    """How many bytes of the words x0, x1 ... and y0, y1 ... are the same."""
+def _places(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, pos, h, g, line): the lines that take part; h and g name a line."""
+    lines = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", _NEWLINE, -1)).alias("pos", "raw"))
+    lines = lines.select("doc_id", "digest", "pos", normal(F.col("raw")).alias("line")).filter("line <> ''")
+    return lines.select("doc_id", "digest", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(h, g, n, doc_id, digest, pos, keys, sketch): distinct lines, how often and where first they stand, and their signatures."""
+    place = F.min(F.struct("doc_id", "digest", "pos"))
+    lines = _places(docs).groupBy("h", "g").agg(F.first("line").alias("line"), F.count("*").alias("n"), place.alias("p"))
+    key = ["h", "g", "n", "p"]
+    data = lines.select(*key, units(F.col("line")).alias("data"))
+    rows = data.select(*key, "data", _last(F.col("data")).alias("last"), F.explode(F.sequence(F.lit(0), _last(F.col("data")), F.lit(AT_ONCE))).alias("i"))
+    rows = rows.select(*key, *[_shingle(F.col("data"), F.least(F.col("i") + k, F.col("last"))).alias(f"x{k}") for k in range(AT_ONCE)])
+    least = [F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(AT_ONCE)])).alias(f"m{j}") for j, c in enumerate(_constants(MINIMA))]
+    signs = rows.groupBy(*key).agg(*least)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in band]) for b, band in enumerate(BANDS)])
+    low = [F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(255)), 8 * (j % 8)) for j in range(MINIMA)]
+    words = [functools.reduce(lambda x, y: x.bitwiseOR(y), low[j : j + 8]).alias(f"s{j // 8}") for j in range(0, MINIMA, 8)]
+    return signs.select("h", "g", "n", "p.doc_id", "p.digest", "p.pos", keys.alias("keys"), F.struct(*words).alias("sketch"))
+
+
+def _agree(x: str, y: str) -> Column:
+    """How many bytes of two sketches are the same."""
     differ = F.lit(0)
-    for k in range(words):
-        z = F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))
+    for k in range(MINIMA // 8):
+        z = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
         for by in (4, 2, 1):
             z = z.bitwiseOR(F.shiftrightunsigned(z, by))
         differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(8 * words) - differ
-
-
-def _confirmed(near: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of the pairs ``near`` (a, b) whose shingle sets are alike."""
-    named = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(lines.join(named, "id").select("id", anchors(F.col("line")).alias("w")).select("id", shingles("w").alias("s")), "line-sets")
-    drop()
-    sized = lambda end, name: sets.select(F.col("id").alias(end), F.col("s").alias(name))
-    both = near.join(sized("a", "x"), "a").join(sized("b", "y"), "b")
+    return F.lit(MINIMA) - differ
+
+
+def _members(lines: DataFrame) -> DataFrame:
+    """(bucket, id) of the buckets with two lines or more.
+
+    One line in 64 is counted before: buckets that seem to hold a thousandth of all lines or more (at most 16,000, as each
+    line is in 16) are dealt out in parts, of which every line is kept.
+    """
+    slots = lines.select(F.col("h").alias("id"), F.explode("keys").alias("bucket"))
+    seen = slots.filter(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
+    large = seen.filter(F.col("n") >= max(16, lines.count() // 64_000)).select("bucket", F.col("n").alias("parts"))
+    slots = slots.join(F.broadcast(large), "bucket", "left").withColumn("part", F.coalesce(F.pmod("id", "parts"), F.lit(-1)))
+    mates = Window.partitionBy("bucket", "part").orderBy("id")
+    slots = slots.select("bucket", "id", "part", F.lag("id").over(mates).alias("before"), F.lead("id").over(mates).alias("after"))
+    return slots.filter("part >= 0 or before is not null or after is not null").select("bucket", "id")
+
+
+def _texts(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, data): the lines that have mates, read from their first places."""
+    first = members.select("id").distinct().join(lines.select(F.col("h").alias("id"), "doc_id", "digest", "pos"), "id")
+    first = first.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("id", "pos")).alias("first"))
+    here = docs.filter("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("digest")).agg(F.first("text").alias("text"))
+    here = here.join(first, ["doc_id", "digest"]).select(F.split("text", _NEWLINE, -1).alias("lines"), "first")
+    return here.select("lines", F.explode("first").alias("f")).select("f.id", units(normal(F.get("lines", F.col("f.pos")))).alias("data"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are alike; a may be in many of them."""
+    named = lambda end: texts.select(F.col("id").alias(end), F.col("data").alias(f"{end}_data"))
+    ends = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).join(named("a"), "a"), "line-ends")
+    both = lookup(pairs, ends, ["a"], "n").join(named("b"), "b")
+    # Sets are made in a generator, so that the filter takes its columns and not their expressions.
+    sets = both.select("a", "b", F.inline(F.array(F.struct(shingles("a_data").alias("x"), shingles("b_data").alias("y")))))
     exact = (100 + LINK) * F.size(F.array_intersect("x", "y")) >= LINK * (F.size("x") + F.size("y"))
-    found = cut(both.filter(exact).select("a", "b"), "line-links")
-    drop(sets)
+    found = cut(sets.filter(exact).select("a", "b"), "line-links")
+    drop(ends)
     return found
 
 
-def components(lines: DataFrame) -> DataFrame:
-    """(node, comp): the linked ones of the distinct lines (id, line) and the smallest id of those they are linked with."""
-    each = lines.select("id", anchors(F.col("line")).alias("w")).select("id", "w", F.posexplode_outer("w").alias("i", "s"))
-    shingle = F.left(F.concat_ws(" ", "s", *[F.get("w", F.col("i") + k) for k in range(1, REACH)]), F.lit(WIDTH))
-    each = each.select("id", F.hash(shingle).alias("x"))
-    least = each.groupBy("id").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(BANDS * ROWS))])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)]
-    sketch = _packed([F.col(f"m{k}") for k in range(BANDS * ROWS)])
-    names = [f"s{k}" for k in range(len(sketch))]
-    signed = cut(least.select("id", *keys, *[w.alias(n) for n, w in zip(names, sketch, strict=True)]), "line-signed")
-    drop()
-    slots, tables = _slots(signed, names)
-    drop(signed)
-    all_slots = slots.count()
+def _met(held: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of all lines of a bucket that are in different components and whose sketches are alike."""
+    held = held.join(sketches, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    own, others = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = held.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("x"), own.alias("i"), others.alias("j"))
+    y = held.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("y"), own.alias("j"), others.alias("i"))
+    # The condition is part of the join, so only pairs that may be linked come out of it.
+    return x.join(y, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agree("x", "y") >= AGREE)).select("a", "b")
+
+
+def components(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, comp): the linked ones of the distinct lines of ``signed`` and the smallest name of those they are linked with."""
+    members = cut(_members(lines), "line-members")
+    texts = cut(_texts(docs, lines, members), "line-texts")
+    all_slots = members.count()
     labels = cut(lines.sparkSession.createDataFrame([], "node long, comp long"), "line-labels")
     for turn in itertools.count():
-        held = slots.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        each = held.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        apart = each.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart")).filter("apart > 0")
+        held = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        held = cut(held, "line-held")
+        order = F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), "id", "comp")
+        each = held.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high"))
+        n = F.col("n")
+        apart = each.groupBy("bucket").agg(F.sum("n").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), ((F.sum("n") * F.sum("n") - F.sum(n * n)) / 2).cast("long").alias("apart"))
+        apart = cut(apart.filter("apart > 0").withColumn("n", F.col("size")), "line-apart")
         left = apart.agg(F.sum("apart")).first()[0]
         if not left:
             break
-        last = turn >= 1 and left <= PAIRS_PER_SLOT * all_slots or turn >= PIVOT_TURNS
-        held = cut(held.join(apart.select("bucket"), "bucket"), "line-held")
-        ends = held
-        if not last:
-            place = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")
-            ends = held.groupBy("bucket").agg(F.min(place).alias("low"), F.max(place).alias("high")).select("bucket", F.explode(F.array("low.id", "high.id")).alias("id"))
-            ends = held.join(ends.distinct(), ["bucket", "id"])
-        ends = ends.select("bucket", F.col("id").alias("end"), F.col("comp").alias("other"), *[F.col(n).alias(f"x{k}") for k, n in enumerate(names)])
-        mates = held.select("bucket", "id", "comp", *[F.col(n).alias(f"y{k}") for k, n in enumerate(names)])
-        # The condition is part of the join, so only pairs that may be linked come out of it.
-        met = ends.join(mates, "bucket").filter((F.col("other") != F.col("comp")) & ((F.col("end") < F.col("id")) if last else (F.col("end") != F.col("id"))) & (_agree(len(names)) >= AGREE))
-        near = cut(met.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "line-near")
-        drop(held)
-        found = _confirmed(near, lines)
-        drop(near)
+        last = turn and left <= PAIRS_PER_SLOT * all_slots or turn >= PIVOT_TURNS
+        mixed = lookup(held, apart, ["bucket"], "n")
+        if last:
+            pairs = _met(mixed, lines.select(F.col("h").alias("id"), "sketch"))
+        else:
+            pairs = mixed.select("id", "comp", F.explode(F.array("low", "high")).alias("end")).filter("end.comp <> comp").select(F.col("end.id").alias("a"), F.col("id").alias("b"))
+        pairs = cut(pairs.distinct(), "line-pairs")
+        found = _confirmed(pairs, texts)
         nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
         labels = cut(merge(labels.union(nodes.select("node", F.col("node").alias("comp"))), found), "line-labels")
-        drop(found)
+        drop(held, apart, pairs, found)
         if last:
             break
-    drop(*tables)
+    drop(members, texts)
     return labels
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, gone array of line numbers from 0): places that repeat an earlier line."""
-    places = _places(docs).filter("doc_id is not null")
-    lines = cut(places.groupBy("line").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "lines")
-    labels = components(lines.select("id", "line"))
-    # Two hashes name a line: 128 bits, as lines are many. Those that stand once and are linked with none stay anyway.
-    names = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
-    linked = lines.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or comp is not null")
-    known = cut(linked.select(*names, F.coalesce("comp", "id").alias("comp")), "line-comps")
+    lines = cut(signed(docs), "line-signed")
+    labels = components(docs, lines).withColumnRenamed("node", "h")
+    # Lines that stand once and are linked with none stay anyway.
+    linked = lines.join(labels, "h", "left").filter("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "h"))
+    linked = cut(linked.select("h", "g", "n", "comp", F.struct("doc_id", "digest", "pos").alias("place")), "line-linked")
     drop(lines)
-    here = cut(places.select("doc_id", "digest", "pos", *names).join(known, ["h", "g"]).select("comp", "doc_id", "digest", "pos"), "line-places")
-    stays = here.groupBy("comp").agg(F.min(F.struct("doc_id", "digest", "pos")).alias("stays"))
-    gone = here.join(stays, "comp").filter(F.struct("doc_id", "digest", "pos") != F.col("stays"))
+    stays = cut(linked.groupBy("comp").agg(F.min("place").alias("stays"), F.count("*").alias("lines")), "line-stays")
+    known = cut(lookup(linked.select("h", "g", "n", "comp"), stays, ["comp"], "lines").select("h", "g", "n", "stays"), "line-known")
+    drop(linked, stays)
+    here = lookup(_places(docs).select("doc_id", "digest", "pos", "h", "g"), known, ["h", "g"], "n")
+    gone = here.filter(F.struct("doc_id", "digest", "pos") != F.col("stays"))
     return gone.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that repeat an earlier one taken out of ``text``, and n_lines, n_removed (in place of such columns of its own)."""
-    gone = cut(removals(docs), "line-gone").toDF("_gone_id", "_gone_digest", "_gone")
-    drop()
-    joined = docs.join(gone, (docs.doc_id == gone["_gone_id"]) & (F.xxhash64(docs.text) == gone["_gone_digest"]), "left")
-    joined = joined.withColumn("_lines", F.split(docs.text, _NEWLINE, -1))  # a column of its own, so that it is made once and not at every line
+    gone = cut(removals(docs.select("doc_id", "text")), "line-gone").toDF("_gone_id", "_gone_digest", "_gone")
+    named = docs.filter("doc_id is not null")
+    joined = named.join(gone, (named.doc_id == gone["_gone_id"]) & (F.xxhash64(named.text) == gone["_gone_digest"]), "left")
+    joined = joined.select(*docs.columns, "_gone").union(docs.filter("doc_id is null").select(*docs.columns, F.lit(None).cast("array<int>")))
+    joined = joined.withColumn("_lines", F.split("text", _NEWLINE, -1))  # a column of its own, so that it is made once and not at every line
     lines = F.col("_lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull(), docs.text).otherwise(F.array_join(kept, _NEWLINE))
-    others = [docs[c] if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    n_lines = F.when(docs.text.isNull(), 0).otherwise(F.size(lines))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, _NEWLINE))
+    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     return joined.select(*others, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
