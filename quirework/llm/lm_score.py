@@ -1,168 +1,250 @@
 """Cross-entropy difference scoring: matched target and background n-gram models over one vocabulary.
 
-1. Words of all documents are counted for target and background (map-side combine). The ``VOCABULARY`` most
-   frequent words at most (all from a count on) are the vocabulary of both models; every other word is the
-   one unknown word.
-2. Pairs of neighbouring vocabulary ids are counted for both over all documents; the ``PAIRS`` most frequent
-   pairs at most are the second-order part of both models, every other pair falls back to the first order.
-3. P(w | v) = (1 - MIXED) P1(w) + MIXED c(v, w) / c(v) where the pair is in the model, and (1 - MIXED) P1(w) where
-   it is not, with add-one smoothing in P1. A document's score is the mean over its tokens of
-   -log P_target + log P_background: the lower, the more like the target.
-
-Both model sizes are parameters and bound what is sent to the tasks (under 20 MB); counts cover all documents.
-
-Cases: null and blank texts have no tokens and a null score; without target or background rows that model
-is uniform; words or pairs with equal counts are in the models together or not at all; repeated rows are scored, and counted, each;
-texts of any length are whole; empty tables give empty results; other columns are ignored.
+Words are lower-cased (A-Z) and parted by ASCII white space. Every word of the corpus is in the vocabulary of both models,
+and every pair of neighbouring words in their counts; both tables grow with the corpus and stay distributed.
+
+1. Words are counted for target and background (map-side combine), and how often each ends a text; what is left is how often
+   it is followed. The ``HOT_WORDS`` most frequent words at most go to all tasks and have small numbers as names; all others are
+   named by 62 bits of a hash.
+2. Pairs (v, w) are counted for both. Pairs that begin with a hot word are dealt out by both words, others by v, so that
+   the pairs of a rare word meet in one task, which sums how often it is followed; those of a hot word are known.
+3. P(w | v) = (c(v, w) + PRIOR * P1(w)) / (c(v) + PRIOR) with P1(w) = (c(w) + 1) / (N + V): both sum to one over the vocabulary,
+   and a word that the model has never seen followed falls back to P1. A pair's loss is log P_background - log P_target.
+4. The ``HOT_PAIRS`` most frequent pairs at most go to all tasks. A text sums their losses where it stands and gives a row for
+   each other pair; these join with the table of losses and are summed by text. The first word counts by P1.
+
+The score is the mean loss over the tokens of a text: the lower, the more like the target. What is sent to all tasks has a
+fixed bound (some 13 MB) and only spares a shuffle: results don't depend on it.
+
+Cases: null and blank texts have no tokens and a null score; without target or background rows that model is uniform;
+repeated rows are scored, and counted, each; texts of any length are whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, most_frequent, steps
+from .shingles import mix, word_hashes
 
-VOCABULARY = 65_535
-PAIRS = 1 << 20
-MIXED = 0.7
+HOT_WORDS, HOT_PAIRS = 65_536, 1 << 20
+#: Weight of the first order: as if each word had been followed so many times more, by words as frequent as they are.
+PRIOR = 4.0
 #: Distinct keys that a task holds before it gives them on.
-HELD = 400_000
+HELD = 1_000_000
 #: Bytes of text in one step.
 _STEP = 2 << 20
+#: Names of words that are not hot have this bit.
+_RARE = 1 << 62
+_COUNTS = "t long, b long, te long, be long"
 
 
 @dataclass
-class Models:
-    """Arrays over the vocabulary (last place: the unknown word), and the pairs as sorted keys with their counts."""
-
-    words: dict[str, int]
-    first: np.ndarray  # (2, V) log-free probabilities of target and background
-    context: np.ndarray  # (2, V) how often a word is followed
-    keys: np.ndarray
-    counts: np.ndarray  # (2, K)
-
-    def ids(self, text: str) -> np.ndarray:
-        unknown, get = len(self.words), self.words.get
-        split = text.lower().split()
-        return np.fromiter((get(w, unknown) for w in split), np.int64, len(split))
-
-    def losses(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Per-token -log P_target + log P_background; a token whose key is -1 begins its text."""
-        p = self.first[:, ids] * (1 - MIXED)
-        begins = keys < 0
-        if self.keys.size:
-            at = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
-            hit = self.keys[at] == keys
-            c = np.where(hit, self.counts[:, at], 0)
-            p = p + MIXED * c / np.maximum(self.context[:, np.maximum(keys >> 32, 0)], 1)
-        p[:, begins] = self.first[:, ids[begins]]
-        return np.log(p[1]) - np.log(p[0])
-
-
-def pair_keys(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Key of the pair that each token ends, -1 at the begin of a text."""
-    keys = np.full(ids.size, -1, np.int64)
-    if ids.size > 1:
-        keys[1:] = ids[:-1] << 32 | ids[1:]
-    starts = np.cumsum(lengths) - lengths
-    keys[starts[lengths > 0]] = -1
-    return keys
+class Hot:
+    """Names of the hot words, sorted (a word's place is its number), and hot pairs of them with their losses."""
+
+    names: np.ndarray
+    first: np.ndarray
+    pairs: np.ndarray
+    loss: np.ndarray
+
+    def numbers(self, names: np.ndarray) -> np.ndarray:
+        if not self.names.size:
+            return names
+        at = np.minimum(np.searchsorted(self.names, names), self.names.size - 1)
+        return np.where(self.names[at] == names, at, names)
+
+
+def names_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of all texts in a row, and how many each text has."""
+    h, counts = word_hashes([(t or "").encode() for t in texts])
+    return (h >> np.uint64(2)).astype(np.int64) | _RARE, np.asarray(counts, np.int64)
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    """Places of the last word of each text that has any."""
+    return np.cumsum(counts)[counts > 0] - 1
+
+
+class _Tally:
+    """Counts by key, summed whenever too many are held."""
+
+    def __init__(self, width: int):
+        self.keys, self.counts, self.held, self.width = [], [], 0, width
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.held += len(keys)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros((0, self.width), np.int64), np.zeros((0, 4), np.int64)
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.lexsort(keys.T)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(counts[order], first) if len(keys) else counts
+        self.keys, self.counts, self.held = [], [], 0
+        return keys[first], counts
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = (Counter(), Counter())
+    tally = _Tally(1)
 
     def rows() -> pa.RecordBatch:
-        words = list(held[0].keys() | held[1].keys())
-        cols = {"word": pa.array(words, pa.string())} | {k: pa.array([h[w] for w in words], pa.int64()) for k, h in zip(("t", "b"), held, strict=True)}
-        return pa.RecordBatch.from_pydict(cols)
+        keys, counts = tally.take()
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), *[pa.array(counts[:, k]) for k in range(4)]], names=["w", "t", "b", "te", "be"])
 
     for batch in steps(batches, most=_STEP):
-        for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            held[not target].update((text or "").lower().split())
-        if len(held[0]) + len(held[1]) > HELD:
+        names, counts = names_of(batch.column("text").to_pylist())
+        target = np.repeat(np.array(batch.column("target").to_pylist(), bool), counts)
+        ends = np.zeros(names.size, bool)
+        ends[_ends(counts)] = True
+        distinct, at = np.unique(names, return_inverse=True)
+        sides = [np.bincount(at[m], minlength=distinct.size) for m in (target, ~target, target & ends, ~target & ends)]
+        tally.add(distinct[:, None], np.stack(sides, 1))
+        if tally.held > HELD:
             yield rows()
-            held = (Counter(), Counter())
     yield rows()
 
 
+def _pairs(hot: Hot, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all words of texts, words by text, and which words are followed in their text."""
+    names, counts = names_of(texts)
+    followed = np.ones(names.size, bool)
+    followed[_ends(counts)] = False
+    return hot.numbers(names), counts, followed
+
+
 def _pair_counts(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        for batch in steps(batches, most=4 * _STEP):
-            ids = [models.ids(t or "") for t in batch.column("text").to_pylist()]
-            lengths = np.array([x.size for x in ids])
-            keys = pair_keys(np.concatenate(ids), lengths)
-            target = np.repeat(np.array(batch.column("target").to_pylist(), bool), lengths)
-            good = keys >= 0
-            distinct, at = np.unique(keys[good], return_inverse=True)
-            t = np.bincount(at[target[good]], minlength=distinct.size)
-            b = np.bincount(at[~target[good]], minlength=distinct.size)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(distinct), "t": pa.array(t, pa.int64()), "b": pa.array(b, pa.int64())})
+        hot, tally = sent.value, _Tally(2)
+
+        def rows() -> pa.RecordBatch:
+            keys, counts = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["v", "w", "t", "b"])
+
+        for batch in steps(batches, most=_STEP):
+            words, counts, followed = _pairs(hot, batch.column("text").to_pylist())
+            at = np.flatnonzero(followed)
+            if not at.size:
+                continue
+            v, w = words[at], words[at + 1]
+            target = np.repeat(np.array(batch.column("target").to_pylist(), bool), counts)[at]
+            # One mixed key for both finds equal pairs in a step; only equal pairs are summed by _Tally.
+            _, first, same = np.unique(mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)), return_index=True, return_inverse=True)
+            sides = [np.bincount(same[m], minlength=first.size) for m in (target, ~target)]
+            tally.add(np.stack([v[first], w[first]], 1), np.stack(sides, 1))
+            if tally.held > HELD:
+                yield rows()
+        yield rows()
 
     return run
 
 
-def _scored(sent, id_type):
+def _summed(sent, kind):
+    """For each text a row of its own (tokens, and what hot pairs and the first word sum to), and one for each other pair."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        hot = sent.value
         for batch in steps(batches, most=_STEP):
-            ids = [models.ids(t or "") for t in batch.column("text").to_pylist()]
-            lengths = np.array([x.size for x in ids])
-            flat = np.concatenate(ids)
-            loss = models.losses(flat, pair_keys(flat, lengths)) if flat.size else np.zeros(0)
-            ends = np.cumsum(lengths)
-            score = [float(round(loss[e - n : e].sum() / n, 9)) if n else None for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "score"])
+            words, counts, followed = _pairs(hot, batch.column("text").to_pylist())
+            n, row = batch.num_rows, np.repeat(np.arange(batch.num_rows), counts)
+            at = np.flatnonzero(followed)
+            v, w = words[at], words[at + 1]
+            both = np.where((v | w) < _RARE, v << 16 | w, -1)
+            place = np.minimum(np.searchsorted(hot.pairs, both), max(hot.pairs.size - 1, 0))
+            known = hot.pairs[place] == both if hot.pairs.size else np.zeros(both.size, bool)
+            own = np.bincount(row[at[known]], hot.loss[place[known]], n) if hot.pairs.size else np.zeros(n)
+            begin = (np.cumsum(counts) - counts)[counts > 0]
+            firsts = words[begin]
+            some = np.flatnonzero(counts > 0)
+            begins_hot = firsts < _RARE
+            if hot.first.size:
+                own[some[begins_hot]] += hot.first[firsts[begins_hot]]
+            # A rare first word is a pair of its own, with -1 before it.
+            rest = np.concatenate([row[at[~known]], some[~begins_hot]])
+            v, w = np.concatenate([v[~known], np.full((~begins_hot).sum(), -1)]), np.concatenate([w[~known], firsts[~begins_hot]])
+            order = pa.array(rest)
+            none, empty = pa.nulls(n, pa.int64()), pa.nulls(rest.size, pa.int64())
+            cols = [pa.concat_arrays([batch.column(c), batch.column(c).take(order)]) for c in ("doc_id", "digest")]
+            cols += [pa.concat_arrays([none, pa.array(v)]), pa.concat_arrays([none, pa.array(w)])]
+            cols += [pa.concat_arrays([pa.array(counts), empty]), pa.concat_arrays([pa.array(own.astype(np.float64)), pa.nulls(rest.size, pa.float64())])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "v", "w", "n_tokens", "own"])
 
     return run
 
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> Models:
-    """Both models from (text, target boolean)."""
-    spark = docs.sparkSession
-    counted = docs.mapInArrow(_word_counts, "word string, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    counted = cut(counted, "words")
-    top = most_frequent(counted, F.col("t") + F.col("b"), vocabulary).toArrow().sort_by("word")
-    totals = counted.agg(F.sum("t"), F.sum("b")).first()
-    drop(counted)
-    words = {w: i for i, w in enumerate(top["word"].to_pylist())}
-    known = np.array([top["t"].to_numpy(), top["b"].to_numpy()], np.float64).reshape(2, len(words))
-    rest = np.array([[(totals[k] or 0)] for k in range(2)], np.float64) - known.sum(axis=1, keepdims=True)
-    counts = np.concatenate([known, rest], axis=1)
-    first = (counts + 1) / (counts.sum(axis=1, keepdims=True) + counts.shape[1])
-    bare = Models(words, first, counts, np.zeros(0, np.int64), np.zeros((2, 0)))
-    sent = spark.sparkContext.broadcast(bare)
-    by_key = docs.mapInArrow(_pair_counts(sent), "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    by_key = cut(by_key, "pairs")
-    best = most_frequent(by_key, F.col("t") + F.col("b"), pairs).toArrow()
-    drop(by_key)
-    order = np.argsort(best["key"].to_numpy(), kind="stable")
-    return Models(words, first, counts, best["key"].to_numpy()[order], np.array([best["t"].to_numpy()[order], best["b"].to_numpy()[order]], np.float32).reshape(2, -1))
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, score) of every row; map-only."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+def _p1(count: Column, total: int, vocabulary: int) -> Column:
+    return (count + 1) / F.lit(float(total + vocabulary))
+
+
+def _loss(sides: list[Column]) -> Column:
+    target, background = sides
+    return F.log(background) - F.log(target)
+
+
+def fit(corpus: DataFrame, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> tuple[Hot, DataFrame]:
+    """What goes to all tasks, and (v, w, loss) of every pair and, with v = -1, of every rare word as the first, from (text, target)."""
+    spark = corpus.sparkSession
+    words = corpus.mapInArrow(_word_counts, f"w long, {_COUNTS}").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("t", "b", "te", "be")])
+    words = cut(words, "words")
+    vocabulary, *totals = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    p1 = lambda names: [_p1(F.col(c), n, vocabulary) for c, n in zip(names, totals, strict=True)]
+    top = most_frequent(words, F.col("t") + F.col("b"), hot_words).select("w", _loss(p1(["t", "b"])).alias("loss")).toArrow().sort_by("w")
+    hot = Hot(top["w"].to_numpy(), top["loss"].to_numpy(), np.zeros(0, np.int64), np.zeros(0))
+    sent = spark.sparkContext.broadcast(hot)
+    numbers = spark.createDataFrame(pa.table({"w": top["w"], "id": pa.array(np.arange(top.num_rows))}), "w long, id long")
+    frequent = cut(words.join(F.broadcast(numbers), "w").select("id", "t", "b", (F.col("t") - F.col("te")).alias("ft"), (F.col("b") - F.col("be")).alias("fb")), "hot-words")
+    counted = corpus.mapInArrow(_pair_counts(sent), "v long, w long, t long, b long")
+    part = F.when(F.col("v") < _RARE, F.xxhash64("v", "w")).otherwise(F.col("v"))
+    counted = counted.withColumn("part", part).repartition("part").groupBy("part", "v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    mine = Window.partitionBy("part")
+    counted = counted.withColumns({"ct": F.sum("t").over(mine), "cb": F.sum("b").over(mine)})
+    followed = F.broadcast(frequent.select(F.col("id").alias("v"), "ft", "fb"))
+    counted = counted.join(followed, "v", "left").select("v", "w", "t", "b", F.coalesce("ft", "ct").alias("ct"), F.coalesce("fb", "cb").alias("cb"))
+    counted = cut(counted, "pairs")
+    of_hot = counted.filter(F.col("w") < _RARE).join(F.broadcast(frequent.select(F.col("id").alias("w"), F.col("t").alias("wt"), F.col("b").alias("wb"))), "w")
+    of_rare = counted.filter(F.col("w") >= _RARE).join(words.select("w", F.col("t").alias("wt"), F.col("b").alias("wb")), "w")
+    sides = [(F.col(c) + PRIOR * p) / (F.col(n) + PRIOR) for c, p, n in zip(("t", "b"), p1(["wt", "wb"]), ("ct", "cb"), strict=True)]
+    losses = of_hot.unionByName(of_rare).select("v", "w", (F.col("t") + F.col("b")).alias("n"), _loss(sides).alias("loss"))
+    losses = cut(losses.unionByName(words.select(F.lit(-1).cast("long").alias("v"), "w", F.lit(0).cast("long").alias("n"), _loss(p1(["t", "b"])).alias("loss"))), "losses")
+    drop(counted, words, frequent)
+    best = most_frequent(losses.filter((F.col("v") >= 0) & (F.col("v") < _RARE) & (F.col("w") < _RARE)), F.col("n"), hot_pairs)
+    best = best.select((F.shiftleft("v", 16).bitwiseOR(F.col("w"))).alias("pair"), "loss").toArrow().sort_by("pair")
+    sent.unpersist()
+    return Hot(hot.names, hot.first, best["pair"].to_numpy(), best["loss"].to_numpy()), losses
+
+
+def score(docs: DataFrame, hot: Hot, losses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, score) of every row of the corpus that the models were fitted on."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)[id_col]
-    base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return base.mapInArrow(_scored(sent, kind), f"doc_id {kind}, n_tokens long, score double")
-
-
-def score_against(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> DataFrame:
+    base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    rows = base.mapInArrow(_summed(sent, kind), f"doc_id {kind}, digest long, v long, w long, n_tokens long, own double")
+    # Rows of texts themselves need no partner, and are dealt out by what they hold.
+    rows = rows.withColumn("v", F.coalesce("v", F.xxhash64("doc_id", "digest"))).withColumn("w", F.coalesce("w", F.lit(-2).cast("long")))
+    joined = rows.join(losses.select("v", "w", "loss"), ["v", "w"], "left")
+    by_text = joined.groupBy("doc_id", "digest").agg(F.max("n_tokens").alias("n_tokens"), F.sum(F.coalesce("own", "loss")).alias("total"), F.count("n_tokens").alias("copies"))
+    value = F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("copies") / F.col("n_tokens"), 9))
+    # Equal rows came in as often as there are of these, and go out so.
+    return by_text.select("doc_id", "n_tokens", value.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_tokens", "score")
+
+
+def score_against(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """Scores of ``docs`` where the rows with an id in ``target`` (one column) are the target and all others the background."""
     ids = target.toDF("target_id").filter("target_id is not null").distinct().withColumn("target", F.lit(True))
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # Ids are as many as the labels, so the join is by shuffle at every size, and done once.
     corpus = base.join(ids.hint("merge"), base.doc_id == ids.target_id, "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     corpus = cut(corpus, "corpus")
-    models = fit(corpus, vocabulary, pairs)
+    hot, losses = fit(corpus, hot_words, hot_pairs)
     drop(corpus)
-    return score(docs, models, id_col, text_col)
+    return score(docs, hot, losses, id_col, text_col)

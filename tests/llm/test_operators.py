@@ -214,49 +214,41 @@ def test_language_id(spark, none):
     assert empty.langs == [] and langid.identify(df.limit(3), empty).filter("lang_pred <> 'und'").count() == 0
 
 
-@pytest.mark.parametrize(("vocabulary", "pairs"), [(65_535, 1 << 20), (60, 40)])
-def test_lm_scores(spark, docs, none, vocabulary, pairs):
+@pytest.mark.parametrize(("hot_words", "hot_pairs"), [(65_536, 1 << 20), (60, 40), (0, 0)])
+def test_lm_scores(spark, docs, none, monkeypatch, hot_words, hot_pairs):
+    monkeypatch.setattr(lm_score, "HELD", 50)
     good = {i for i, _ in ROWS if i % 3 == 0}
     target = spark.createDataFrame([(i,) for i in good] + [(None,), (0,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score_against(docs, target, vocabulary=vocabulary, pairs=pairs).collect()}
-
-    def bar(n):
-        return n if n < 1024 else 1024 + int(np.log(n) * 256)
-
-    def top(counts, most):
-        bars, total, low = Counter(map(bar, counts.values())), 0, None
-        for b in sorted(bars, reverse=True):
-            total += bars[b]
-            if total > most:
-                break
-            low = b
-        return {w for w, n in counts.items() if low is not None and bar(n) >= low}
-
-    texts = {i: (t or "").lower().split() for i, t in ROWS}
-    side = lambda i: int(i not in good)
-    known = top(Counter(w for t in texts.values() for w in t), vocabulary)
-    ids = {i: [w if w in known else None for w in t] for i, t in texts.items()}
-    one, two = (Counter(), Counter()), (Counter(), Counter())
-    for i, t in ids.items():
-        one[side(i)].update(t)
-        two[side(i)].update(zip(t, t[1:], strict=False))
-    kept = top(two[0] + two[1], pairs)
+    again = ROWS[10:16]
+    found = lm_score.score_against(docs.union(docs.filter("doc_id between 10 and 15")), target, hot_words=hot_words, hot_pairs=hot_pairs).collect()
+    assert Counter(r.doc_id for r in found) == Counter([i for i, _ in ROWS] + [i for i, _ in again])
+    texts = [(i, bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()) for i, t in [*ROWS, *again]]
+    one, two, followed = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
+    for i, t in texts:
+        side = int(i not in good)
+        one[side].update(t)
+        two[side].update(zip(t, t[1:], strict=False))
+        followed[side].update(t[:-1])
+    vocabulary = len(one[0] | one[1])
 
     def p(k, before, w, begins):
-        first = (one[k][w] + 1) / (one[k].total() + len(known) + 1)
-        if begins:
-            return first
-        pair = two[k][before, w] / max(one[k][before], 1) if (before, w) in kept else 0
-        return (1 - lm_score.MIXED) * first + lm_score.MIXED * pair
-
-    for i, t in ids.items():
-        assert got[i].n_tokens == len(t)
+        first = (one[k][w] + 1) / (one[k].total() + vocabulary)
+        return first if begins else (two[k][before, w] + lm_score.PRIOR * first) / (followed[k][before] + lm_score.PRIOR)
+
+    before = texts[12][1][3]
+    for k in range(2):
+        assert sum(p(k, before, w, False) for w in one[0] | one[1]) == pytest.approx(1)
+    by = dict(texts)
+    for r in found:
+        t = by[r.doc_id]
+        assert r.n_tokens == len(t)
         if not t:
-            assert got[i].score is None
+            assert r.score is None
             continue
         loss = [np.log(p(1, t[k - 1], w, k == 0)) - np.log(p(0, t[k - 1], w, k == 0)) for k, w in enumerate(t)]
-        assert got[i].score == pytest.approx(np.mean(loss), abs=1e-6)
+        assert r.score == pytest.approx(np.mean(loss), abs=1e-8)
     assert lm_score.score_against(none, target).count() == 0
+    assert lm_score.score_against(docs, target.limit(0)).count() == len(ROWS)
 
 
 def near_sets():
