@@ -1,17 +1,18 @@
 """Fuzzy line dedup in DataFrame operations only: MinHash of character shingles, exact Jaccard, union-find.
 
 Every line that is not blank takes part, in lower case without outer blanks. Its shingles are all windows of ``WIDTH``
-characters (UTF-16 units); a shorter line is its own one shingle, so that only an equal line is like it.
+characters (in signatures, of UTF-16 units); a shorter line is its own one shingle, so that only an equal line is like it.
 
 1. Equal lines become one distinct line, named by a hash, with its first place (map-side combine). Where they were
-   brought together their signatures are made, so that text is shuffled once: 16 shingles a row, 32 minima of their hashes under xor.
-2. 16 bands of four minima, each minimum in two bands. Pairs at a Jaccard index of 0.8 share no band in 2 of 1000 cases,
-   at 0.85 in 2 of 10,000, if minima are independent; the tests and the README have what was measured.
-3. The lines of each band bucket are compared with one of them; links unite components; then others of the bucket are the
-   pivots, and in the last round all lines of a bucket that are not in one component yet meet, by sketches inside the join,
-   in blocks where a bucket is large. So pivots only save pairs within large groups of copies, and no pair of a bucket is
-   left out. Every link is confirmed on full shingle sets at a Jaccard index of 0.8.
-4. The first place of a component stays, all its other lines go.
+   brought together their signatures are made, so that text is shuffled once: 16 shingles a row, 27 minima of their hashes under xor.
+2. 9 bands of three minima: a pair at a Jaccard index of 0.8 shares no band in 16 of 10,000 cases, at 0.85 in 2 of 10,000,
+   if minima are independent; the tests and the README have what was measured.
+3. The lines of each band bucket are compared with two of them; links unite components; then others of the bucket are the
+   pivots, and in the last round all lines of a bucket that are not in one component yet meet, in blocks where a bucket is
+   large. So pivots only save pairs within large groups of copies, and no pair of a bucket is left out.
+4. Pairs are first held against a bound from bitmaps of their shingles, which no pair at the threshold can miss, inside the
+   join; the others are confirmed on full shingle sets at a Jaccard index of 0.8.
+5. The first place of a component stays, all its other lines go.
 
 Joins look keys up with ``lookup``: a key of over a thousandth of the rows is broadcast, and its rows are spread.
 
@@ -35,11 +36,9 @@ from .components import lookup, merge
 WIDTH = 8
 #: Link if 100 * common >= LINK * united.
 LINK = 80
-MINIMA, ROWS = 32, 4
-#: Places in the signature that make each band: rows of a table of 8 x 4 minima, then its diagonals.
-BANDS = [[ROWS * b + r for r in range(ROWS)] for b in range(MINIMA // ROWS)] + [[ROWS * ((b + 2 * r + r // 2) % (MINIMA // ROWS)) + r for r in range(ROWS)] for b in range(MINIMA // ROWS)]
-#: Of the minima, so many must agree before shingle sets are compared in the last round: 5 standard deviations less than at the threshold.
-AGREE = 14
+BANDS, ROWS = 9, 3
+#: 64-bit words of a bitmap.
+WORDS = 32
 #: Rounds with pivots at most; fewer if the pairs of lines left are at most so many for each place in a bucket.
 PIVOT_TURNS, PAIRS_PER_SLOT = 4, 16
 #: Members of a bucket in a block of the last round.
@@ -78,9 +77,17 @@ def _shingle(data: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(data, at * 2 + 1, F.lit(2 * WIDTH)))
 
 
-def shingles(data: str) -> Column:
-    """Distinct shingles as an array of hashes, from a column of ``units``; an expression would be made anew at every shingle."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(F.col(data))), lambda i: _shingle(F.col(data), i)))
+def shingles(line: str) -> Column:
+    """All shingles as an array, repeated ones too."""
+    windows = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))."), F.lit(1))  # a match takes one character and looks ahead, so that a line is read once
+    return F.when(F.length(line) < WIDTH, F.array(line)).otherwise(windows)
+
+
+def _blocks(lines: DataFrame, *key: str) -> DataFrame:
+    """(key, x0, x1, ...): hashes of AT_ONCE shingles a row of the column ``line``; at its end the last one again and again."""
+    data = lines.select(*key, units(F.col("line")).alias("data"))
+    rows = data.select(*key, "data", _last(F.col("data")).alias("last"), F.explode(F.sequence(F.lit(0), _last(F.col("data")), F.lit(AT_ONCE))).alias("i"))
+    return rows.select(*key, *[_shingle(F.col("data"), F.least(F.col("i") + k, F.col("last"))).alias(f"x{k}") for k in range(AT_ONCE)])
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -91,30 +98,35 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(h, g, n, doc_id, digest, pos, keys, sketch): distinct lines, how often and where first they stand, and their signatures."""
+    """(h, g, n, doc_id, digest, pos, keys): distinct lines, how often and where first they stand, and the keys of their bands."""
     place = F.min(F.struct("doc_id", "digest", "pos"))
     lines = _places(docs).groupBy("h", "g").agg(F.first("line").alias("line"), F.count("*").alias("n"), place.alias("p"))
-    key = ["h", "g", "n", "p"]
-    data = lines.select(*key, units(F.col("line")).alias("data"))
-    rows = data.select(*key, "data", _last(F.col("data")).alias("last"), F.explode(F.sequence(F.lit(0), _last(F.col("data")), F.lit(AT_ONCE))).alias("i"))
-    rows = rows.select(*key, *[_shingle(F.col("data"), F.least(F.col("i") + k, F.col("last"))).alias(f"x{k}") for k in range(AT_ONCE)])
-    least = [F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(AT_ONCE)])).alias(f"m{j}") for j, c in enumerate(_constants(MINIMA))]
-    signs = rows.groupBy(*key).agg(*least)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in band]) for b, band in enumerate(BANDS)])
-    low = [F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(255)), 8 * (j % 8)) for j in range(MINIMA)]
-    words = [functools.reduce(lambda x, y: x.bitwiseOR(y), low[j : j + 8]).alias(f"s{j // 8}") for j in range(0, MINIMA, 8)]
-    return signs.select("h", "g", "n", "p.doc_id", "p.digest", "p.pos", keys.alias("keys"), F.struct(*words).alias("sketch"))
-
-
-def _agree(x: str, y: str) -> Column:
-    """How many bytes of two sketches are the same."""
-    differ = F.lit(0)
-    for k in range(MINIMA // 8):
-        z = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
-        for by in (4, 2, 1):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, by))
-        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(MINIMA) - differ
+    least = [F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(AT_ONCE)])).alias(f"m{j}") for j, c in enumerate(_constants(BANDS * ROWS))]
+    signs = _blocks(lines, "h", "g", "n", "p").groupBy("h", "g", "n", "p").agg(*least)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{ROWS * b + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    return signs.select("h", "g", "n", "p.doc_id", "p.digest", "p.pos", keys.alias("keys"))
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """(id, n, bits): how many windows a line has, and a bitmap of their hashes."""
+    rows = _blocks(lines, "id")
+    of = [(F.shiftrightunsigned(f"x{k}", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr(f"shiftleft(1L, CAST(x{k} & 63 AS INT))")) for k in range(AT_ONCE)]
+    rows = rows.select("id", *[c.alias(f"{name}{k}") for k, pair in enumerate(of) for name, c in zip("wb", pair, strict=True)])
+    one = lambda k, word: F.when(F.col(f"w{k}") == word, F.col(f"b{k}")).otherwise(F.lit(0).cast("long"))
+    words = [F.bit_or(functools.reduce(lambda x, y: x.bitwiseOR(y), [one(k, word) for k in range(AT_ONCE)])).alias(f"b{word}") for word in range(WORDS)]
+    return rows.groupBy("id").agg(*words).select("id", F.struct(*[f"b{word}" for word in range(WORDS)]).alias("bits"))
+
+
+def _may_link(x: str, y: str) -> Column:
+    """A bound that holds for every linked pair, of lines with ``n`` windows and ``bits``.
+
+    A bit of one line alone is a shingle of that line alone. So of x's n windows at most n less such bits are common, and
+    likewise of y's; what is common must be LINK / (100 - LINK) times what is not.
+    """
+    alone = lambda one, other: functools.reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{one}.bits.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}.bits.b{k}")))) for k in range(WORDS)])
+    only_x, only_y = alone(x, y), alone(y, x)
+    common = F.least(F.col(f"{x}.n") - only_x, F.col(f"{y}.n") - only_y)
+    return (100 - LINK) * common >= LINK * (only_x + only_y)
 
 
 def _members(lines: DataFrame) -> DataFrame:
@@ -133,35 +145,37 @@ def _members(lines: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, data): the lines that have mates, read from their first places."""
+    """(id, line, mark): the lines that have mates, read from their first places, with their numbers of windows and bitmaps."""
     first = members.select("id").distinct().join(lines.select(F.col("h").alias("id"), "doc_id", "digest", "pos"), "id")
     first = first.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("id", "pos")).alias("first"))
     here = docs.filter("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("digest")).agg(F.first("text").alias("text"))
     here = here.join(first, ["doc_id", "digest"]).select(F.split("text", _NEWLINE, -1).alias("lines"), "first")
-    return here.select("lines", F.explode("first").alias("f")).select("f.id", units(normal(F.get("lines", F.col("f.pos")))).alias("data"))
+    here = cut(here.select("lines", F.explode("first").alias("f")).select("f.id", normal(F.get("lines", F.col("f.pos"))).alias("line")), "line-read")
+    windows = F.greatest(F.length("line") - WIDTH + 1, F.lit(1))
+    return here.join(_marked(here), "id").select("id", "line", F.struct(windows.alias("n"), "bits").alias("mark"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets are alike; a may be in many of them."""
-    named = lambda end: texts.select(F.col("id").alias(end), F.col("data").alias(f"{end}_data"))
+    named = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"{end}_line"), F.col("mark").alias(f"{end}_mark"))
     ends = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).join(named("a"), "a"), "line-ends")
-    both = lookup(pairs, ends, ["a"], "n").join(named("b"), "b")
+    both = lookup(pairs, ends, ["a"], "n").join(named("b"), "b").filter(_may_link("a_mark", "b_mark"))
     # Sets are made in a generator, so that the filter takes its columns and not their expressions.
-    sets = both.select("a", "b", F.inline(F.array(F.struct(shingles("a_data").alias("x"), shingles("b_data").alias("y")))))
-    exact = (100 + LINK) * F.size(F.array_intersect("x", "y")) >= LINK * (F.size("x") + F.size("y"))
+    sets = both.select("a", "b", F.inline(F.array(F.struct(shingles("a_line").alias("x"), shingles("b_line").alias("y")))))
+    exact = (100 + LINK) * F.size(F.array_intersect("x", "y")) >= LINK * (F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")))
     found = cut(sets.filter(exact).select("a", "b"), "line-links")
     drop(ends)
     return found
 
 
-def _met(held: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of all lines of a bucket that are in different components and whose sketches are alike."""
-    held = held.join(sketches, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+def _met(held: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs of all lines of a bucket that are in different components and may be linked."""
+    held = held.join(marks, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
     own, others = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    x = held.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("x"), own.alias("i"), others.alias("j"))
-    y = held.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("y"), own.alias("j"), others.alias("i"))
+    x = held.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("mark").alias("x"), own.alias("i"), others.alias("j"))
+    y = held.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("mark").alias("y"), own.alias("j"), others.alias("i"))
     # The condition is part of the join, so only pairs that may be linked come out of it.
-    return x.join(y, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agree("x", "y") >= AGREE)).select("a", "b")
+    return x.join(y, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("x", "y")).select("a", "b")
 
 
 def components(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -184,7 +198,7 @@ def components(docs: DataFrame, lines: DataFrame) -> DataFrame:
         last = turn and left <= PAIRS_PER_SLOT * all_slots or turn >= PIVOT_TURNS
         mixed = lookup(held, apart, ["bucket"], "n")
         if last:
-            pairs = _met(mixed, lines.select(F.col("h").alias("id"), "sketch"))
+            pairs = _met(mixed, texts.select("id", "mark"))
         else:
             pairs = mixed.select("id", "comp", F.explode(F.array("low", "high")).alias("end")).filter("end.comp <> comp").select(F.col("end.id").alias("a"), F.col("id").alias("b"))
         pairs = cut(pairs.distinct(), "line-pairs")
