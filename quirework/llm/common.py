@@ -22,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+    """The shared folder of the cluster; a temporary one only where none is set and all runs on this machine, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or _own_root()).rstrip("/")
 
 
 @functools.cache

@@ -8,7 +8,7 @@
 
 Cases: null and empty texts count 0; special strings inside a text count 1 each, as the library finds them;
 equal texts give equal counts; texts of any length are whole; empty tables give empty results; other columns
-are ignored. Rows with equal id and text give one row; with equal ids and other texts, one each.
+are ignored. Every row gives one, repeated ones too.
 """
 
 from __future__ import annotations
@@ -111,9 +111,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     rows = base.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row_id"), "text").mapInArrow(
         _frequencies(path, known), f"row_id struct<doc_id:{kind},digest:bigint>, n_bytes long, word string, n long"
     )
-    # A row without a word holds what its document summed itself; equal rows came in as often as there are of these.
-    worth = F.when(F.col("word").isNull(), F.col("n")).otherwise(F.col("n") * F.col("pieces"))
+    # A row without a word holds what its document summed itself; equal rows came in as often as there are of these, and go out so.
+    own = F.col("word").isNull()
+    worth = F.when(own, F.col("n")).otherwise(F.col("n") * F.col("pieces"))
     summed = rows.join(counted.select("word", "pieces"), "word", "left").groupBy("row_id").agg(
-        F.max("n_bytes").alias("n_bytes"), (F.sum(worth) / F.sum(F.col("word").isNull().cast("int"))).cast("long").alias("n_tokens")
+        F.max("n_bytes").alias("n_bytes"), F.sum(worth).alias("total"), F.sum(own.cast("long")).alias("copies")
     )
+    summed = summed.select("row_id", "n_bytes", (F.col("total") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return summed.select("row_id.doc_id", "n_bytes", "n_tokens")

@@ -102,7 +102,10 @@ def test_bpe_table_of_words_may_be_small():
 @pytest.mark.parametrize("hot", [0, 20, 65_536])
 def test_token_counts(docs, none, hot):
     t = library()
-    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(docs.union(docs.limit(5)), hot=hot).collect()}
+    again = docs.union(docs.filter("doc_id < 12"))
+    found = tokencount.count_tokens(again, hot=hot).collect()
+    assert Counter(r.doc_id for r in found) == Counter([i for i, _ in ROWS] + [i for i, _ in ROWS if i < 12])
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in found}
     assert got == {i: (len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in ROWS}
     assert tokencount.count_tokens(none).count() == 0
 
