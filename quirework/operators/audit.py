@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..model import BLOCK_TYPES, SEVERITIES
+from .verify import fingerprint
+
+#: Fixed value: what a message about lost text says.
+TEXT_LOST = re.compile("text|content|字符|编码")
 
 
 def distinct_warnings(warnings: DataFrame, *keys: str) -> DataFrame:
@@ -25,7 +34,7 @@ def quality(docs: DataFrame, blocks: DataFrame, warnings: DataFrame, assets: Dat
     lossy = F.col("severity") == "lossy"
     noted = warnings.groupBy("doc_id").agg(
         F.bool_or(lossy).alias("lossy"),
-        F.bool_or(lossy & F.col("message").rlike("text|content|字符|编码")).alias("text_lost"),
+        F.bool_or(lossy & F.col("message").rlike(TEXT_LOST.pattern)).alias("text_lost"),
         F.count("*").alias("n_warnings"),
         F.count_if(F.col("severity").isin("lossy", "unsupported")).alias("downgrades"),
     )
@@ -42,6 +51,33 @@ def quality(docs: DataFrame, blocks: DataFrame, warnings: DataFrame, assets: Dat
     )
 
 
+#: Quality of one conversion, as ``quality`` gives it for tables of blocks and warnings.
+QUALITY_FIELDS = {"structure_fidelity": "string", "text_fidelity": "string", "table_fidelity": "string", "asset_fidelity": "string", "n_blocks": "bigint", "n_warnings": "bigint", "downgrades": "bigint"}
+QUALITY_DDL = "struct<" + ",".join(f"{k}:{v}" for k, v in QUALITY_FIELDS.items()) + ">"
+QUALITY = pa.struct([(k, pa.int64() if v == "bigint" else pa.string()) for k, v in QUALITY_FIELDS.items()])
+
+
+def once(warnings: list[dict]) -> list[dict]:
+    """The first of warnings with equal code and message."""
+    return list({(w["code"], w["message"]): w for w in reversed(warnings)}.values())[::-1]
+
+
+def quality_of(blocks: list[dict], warnings: list[dict]) -> dict:
+    """The row of ``quality`` for one document in hand."""
+    lossy = [w for w in warnings if w["severity"] == "lossy"]
+    kinds = {b["type"] for b in blocks}
+    grade = lambda bad: "medium" if bad else "high"
+    tracked = lambda kind: "tracked" if kind in kinds else "not-applicable"
+    values = (grade(lossy), grade(any(TEXT_LOST.search(w["message"] or "") for w in lossy)), tracked("table"), tracked("asset"), len(blocks), len(warnings), sum(w["severity"] in ("lossy", "unsupported") for w in warnings))
+    return dict(zip(QUALITY_FIELDS, values, strict=True))
+
+
+def identified(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``id``: their own, or their place and a hash of what they hold."""
+    made = F.concat(F.lit("block-"), F.col("block_idx") + 1, F.lit("-"), fingerprint())
+    return blocks.withColumn("id", F.coalesce("id", made) if "id" in blocks.columns else made)
+
+
 def schema_errors() -> Column:
     """What is wrong with a block row, as an array of messages."""
     kind = F.col("type")
@@ -98,14 +134,58 @@ def document_text(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("t", plain_text()).groupBy("doc_id").agg(F.array_join(F.filter(ordered, lambda t: t != ""), "\n\n").alias("text"))
 
 
+class SpanFinder:
+    """Places of blocks in their source, each looked for from where the block before ended."""
+
+    def __init__(self, source: str):
+        self.source = newlines(source)
+        self.starts = [0, *(m.end() for m in re.finditer("\n", self.source))]
+        self.at = 0
+
+    def line(self, offset: int) -> int:
+        return bisect.bisect_right(self.starts, offset)
+
+    def find(self, wanted: str) -> tuple[int, int, int, int] | None:
+        """(start, end, start line, end line), lines from 1: the text, or else its first line, from the cursor on."""
+        needle = newlines(wanted).strip()
+        if not needle:
+            return None
+        first = next((x for x in needle.split("\n") if x), needle)
+        start = self.source.find(needle, self.at)
+        if start < 0 and first != needle:
+            start = self.source.find(first, self.at)
+        if start < 0:
+            return None
+        self.at = start + max(len(first), len(needle))
+        return start, self.at, self.line(start), self.line(self.at)
+
+
+def newlines(text: str | None) -> str:
+    return (text or "").replace("\r\n", "\n").replace("\r", "\n")
+
+
 def source_spans(blocks: DataFrame, sources: DataFrame) -> DataFrame:
-    """(doc_id, block_idx, start, end, start_line, end_line) of each block's first place in its source, from 0; null where it isn't there."""
-    src = sources.select("doc_id", tx.normalize_newlines(F.col("content")).alias("src"))
-    held = blocks.withColumn("needle", tx.trim(tx.normalize_newlines(search_text()))).select("doc_id", "block_idx", "needle").join(src, "doc_id")
-    at = F.when(F.col("needle") == "", 0).otherwise(F.position(F.col("needle"), F.col("src"))) - 1
-    line = lambda n: F.size(F.split(F.substr("src", F.lit(1), n), "\n"))
-    held = held.withColumn("start", F.when(at >= 0, at)).withColumn("end", F.col("start") + F.length("needle"))
-    return held.select("doc_id", "block_idx", "start", "end", F.when(F.col("start").isNotNull(), line(F.col("start"))).alias("start_line"), F.when(F.col("start").isNotNull(), line(F.col("end"))).alias("end_line"))
+    """(doc_id, block_idx, start, end, start_line, end_line) of each block's place in its source, offsets from 0; null where it isn't there.
+
+    The search goes on where the block before ended, so a document's blocks meet in one row with their source, once.
+    """
+    held = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", search_text().alias("wanted")))).alias("blocks"))
+    both = held.join(sources.select("doc_id", "content"), "doc_id")
+    kinds = dict(blocks.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, spans = [], [], []
+            for row, (content, wanted) in enumerate(zip(batch.column("content").to_pylist(), batch.column("blocks").to_pylist(), strict=True)):
+                finder = SpanFinder(content)
+                docs += [row] * len(wanted)
+                places += [b["block_idx"] for b in wanted]
+                spans += [finder.find(b["wanted"]) or (None, None, None, None) for b in wanted]
+            cols = [pa.array([s[k] for s in spans], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(places, pa.int64()), *cols], names=["doc_id", "block_idx", "start", "end", "start_line", "end_line"])
+
+    out = both.select("doc_id", "content", "blocks").mapInArrow(run, f"doc_id {kinds['doc_id']}, block_idx long, start long, end long, start_line long, end_line long")
+    return out.withColumn("block_idx", F.col("block_idx").cast(kinds["block_idx"]))
 
 
 def line_index(sources: DataFrame) -> DataFrame:

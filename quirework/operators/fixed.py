@@ -20,11 +20,9 @@ def clamped(runs: DataFrame) -> DataFrame:
 def to_semantic(runs: DataFrame) -> DataFrame:
     """(doc_id, block_idx, type, level, text) of runs (doc_id, page, x, y, h, text) whose y grows upward.
 
-    Runs within half a height of a line's top run are the line; lines are then grouped page by page.
+    Runs within half their height of a line's first run are the line; lines are then grouped page by page.
     """
-    w = Window.partitionBy("doc_id", "page").orderBy(F.desc("y"), "x", "text")
-    near = F.lag("y").over(w) - F.col("y") < 0.5 * F.lag("h").over(w)
-    held = runs.withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("pos", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = layout.line_numbers(runs.select("doc_id", "page", "x", "y", "h", "text"), "doc_id", "page")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda r: F.trim(r.text)), " ")
     lines = held.groupBy("doc_id", "page", "pos").agg(text.alias("text"), F.max("y").alias("y"), F.max("h").alias("h"))
     blocks = layout.page_blocks(lines, "doc_id", "page")

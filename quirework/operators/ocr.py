@@ -106,7 +106,7 @@ def recognise(pages: DataFrame, engine: Engine | None, denoise_above: float = 0.
 
 def summary(lines: DataFrame, *keys: str) -> DataFrame:
     """(keys, n_lines, average, least, low, turned, grade) of lines (confidence, orientation)."""
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    c = F.greatest(F.lit(0), F.least(F.lit(1), F.col("confidence")))
     out = lines.groupBy(*keys).agg(
         F.count("*").alias("n_lines"), F.avg(c).alias("average"), F.min(c).alias("least"), F.count_if(F.col("confidence") < LOW).alias("low"), F.count_if(F.coalesce("orientation", F.lit("0")) != "0").alias("turned")
     )

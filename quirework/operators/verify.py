@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,18 +117,27 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_blocks", "major", "minor", "removed", "added", F.round(score, 9).alias("score"), fidelity.alias("fidelity"))
 
 
+def _histogram(text: str | None) -> Counter:
+    """Characters of a text in compatibility form and lower case, without white space."""
+    return Counter("".join(unicodedata.normalize("NFKC", text or "").lower().split()))
+
+
 def overlap(pairs: DataFrame, left: str, right: str, *keys: str) -> DataFrame:
     """(keys, left_len, right_len, common, recall, precision, f1): texts of a row as multisets of characters.
 
-    White space and case do not count. Each text becomes its own histogram in the row, so nothing is joined.
+    Texts are put in compatibility form (NFKC), which has no built-in; white space and case do not count. Both histograms are made
+    and compared in one Arrow step, row by row, so nothing is shuffled.
     """
-    bare = lambda c: F.lower(F.regexp_replace(tx.text(c), f"{tx.SPACE}+", ""))
-    chars = lambda c: F.filter(F.split(bare(c), ""), lambda x: x != "")
-    rows = pairs.select(*keys, chars(left).alias("l"), chars(right).alias("r"))
-    count = lambda side: F.explode(F.concat(F.transform("l", lambda x: F.struct(x.alias("ch"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform("r", lambda x: F.struct(x.alias("ch"), F.lit(0).alias("a"), F.lit(1).alias("b")))))  # noqa: E731, ARG005
-    by_char = rows.select(*keys, count(None).alias("x")).groupBy(*keys, "x.ch").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    shared = by_char.groupBy(*keys).agg(F.sum("a").alias("left_len"), F.sum("b").alias("right_len"), F.sum(F.least("a", "b")).alias("common"))
-    out = pairs.select(*keys).join(shared, list(keys), "left").fillna(0, ["left_len", "right_len", "common"])
+    rows = pairs.select(*keys, F.col(left).cast("string").alias("_l"), F.col(right).cast("string").alias("_r"))
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(_histogram(a), _histogram(b)) for a, b in zip(batch.column("_l").to_pylist(), batch.column("_r").to_pylist(), strict=True)]
+            sums = [[a.total() for a, _ in both], [b.total() for _, b in both], [(a & b).total() for a, b in both]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(x, pa.int64()) for x in sums)], names=[*keys, "left_len", "right_len", "common"])
+
+    out = rows.mapInArrow(run, f"{kinds}, left_len long, right_len long, common long")
     empty = (F.col("left_len") == 0) & (F.col("right_len") == 0)
     share = lambda n: F.when(empty, 1.0).when(F.col(n) == 0, 0.0).otherwise(F.col("common") / F.col(n))
     out = out.withColumns({"recall": share("left_len"), "precision": share("right_len")})

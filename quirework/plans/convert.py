@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import WARNING_DDL
+from ..model import SCHEMA_VERSION, WARNING_DDL
 from ..operators import audit, verify
 from ..sources import readers
 from . import catalog
@@ -22,7 +22,7 @@ def route_warnings(route: catalog.Route) -> list[tuple[str, str, str]]:
 
 
 def convert(docs: DataFrame, source: str, target: str, content: str = "content", id_col: str = "doc_id", title: str | None = None) -> DataFrame:
-    """(doc_id, format, data, title, temperature, route_class, warnings, error) of every document.
+    """(doc_id, format, data, title, temperature, route_class, warnings, error, quality, conversion) of every document.
 
     A pair outside the matrix gives rows with the error UNSUPPORTED_CONVERSION_PATH, content beyond its format's budget
     INPUT_BUDGET_EXCEEDED, unreadable content the reader's error; none of them fails the job.
@@ -35,14 +35,26 @@ def convert(docs: DataFrame, source: str, target: str, content: str = "content",
         known = catalog.FORMATS.get(target)
         code = "UNSUPPORTED_CONVERSION_PATH" if known and known.writable else "UNSUPPORTED_OUTPUT_FORMAT"
         none = F.lit(None).cast("string")
-        return docs.select(F.col(id_col).alias("doc_id"), F.lit(target).alias("format"), none.alias("data"), none.alias("title"), none.alias("temperature"), none.alias("route_class"), F.array().cast(f"array<{WARNING_DDL}>").alias("warnings"), error("validate", code, f"{source} to {target}").alias("error"))
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(target).alias("format"), none.alias("data"), none.alias("title"), none.alias("temperature"), none.alias("route_class"), F.array().cast(f"array<{WARNING_DDL}>").alias("warnings"), error("validate", code, f"{source} to {target}").alias("error"), F.lit(None).cast(audit.QUALITY_DDL).alias("quality"), F.lit(None).cast("struct<reader:string,writer:string,schema_version:string,models:array<string>,executed:array<string>>").alias("conversion"))
     limit = catalog.FORMATS[source].max_input_bytes
-    over = F.octet_length(F.col(content)) > limit
-    gated = docs.withColumn("_over", F.coalesce(over, F.lit(False))).withColumn(content, F.when(~F.col("_over"), F.col(content)))
-    read = readers.read(gated, source, content, id_col, title)
-    notes = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"), F.lit(x).alias("message")) for s, c, x in route_warnings(route)]).cast(f"array<{WARNING_DDL}>")
-    writer = readers.WRITERS[target]
+    notes = [{"severity": s, "code": c, "message": x} for s, c, x in route_warnings(route)]
+    reader, writer = readers.READERS[source], readers.WRITERS[target]
     binary = target in readers.writers.BINARY_WRITERS
+    named = F.col(title).cast("string") if title else F.lit("document")
+    # Content over its budget isn't sent to be read; whether it was is part of the row, so nothing is joined.
+    over = F.coalesce(F.octet_length(F.col(content)) > limit, F.lit(False))
+    base = docs.select(F.col(id_col).alias("doc_id"), named.alias("title"), F.when(~over, F.col(content)).alias("content"), over.alias("over"))
+    beyond = {"category": "validate", "code": "INPUT_BUDGET_EXCEEDED", "message": f"over {limit} bytes"}
+
+    def one(content, title: str | None, over: bool) -> tuple:
+        """What is read is written at once, so blocks never leave their step."""
+        if over:
+            return None, title, notes, beyond, None
+        title, blocks, found, error = readers.parse(content, source, title or "", reader)
+        if error:
+            return None, title, [*found, *notes], error, None
+        warnings = audit.once([*found, *notes, *(w for b in blocks for w in b.get("warnings") or ())])
+        return writer(title, blocks), title, warnings, None, audit.quality_of(blocks, warnings)
 
     def run(batches):
         import pyarrow as pa
@@ -50,15 +62,21 @@ def convert(docs: DataFrame, source: str, target: str, content: str = "content",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                data = [None if e else writer(t or "", b or []) for t, b, e in zip(*(part.column(c).to_pylist() for c in ("title", "blocks", "error")), strict=True)]
-                cols = [part.column("doc_id"), pa.array(data, pa.binary() if binary else pa.string()), part.column("title"), part.column("warnings"), part.column("error")]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "data", "title", "warnings", "error"])
-
-    done = read.mapInArrow(run, f"doc_id {kind}, data {'binary' if binary else 'string'}, title string, warnings array<{WARNING_DDL}>, error {readers.ERROR}")
-    found = docs.select(F.col(id_col).alias("doc_id"), over.alias("over")).filter("over")
-    out = done.join(found, "doc_id", "left") if content != id_col else done.withColumn("over", F.lit(False))
-    budget = F.when(F.col("over"), error("validate", "INPUT_BUDGET_EXCEEDED", f"over {limit} bytes"))
-    return out.select("doc_id", F.lit(target).alias("format"), F.when(F.col("over"), F.lit(None)).otherwise(F.col("data")).alias("data"), "title", F.lit(route.temperature).alias("temperature"), F.lit(route.route_class).alias("route_class"), F.concat("warnings", notes).alias("warnings"), F.coalesce(budget, "error").alias("error"))
+                rows = [one(*row) for row in zip(*(part.column(c).to_pylist() for c in ("content", "title", "over")), strict=True)]
+                data, titles, warnings, errors, quality = zip(*rows, strict=True)
+                cols = [part.column("doc_id"), pa.array(data, pa.binary() if binary else pa.string()), pa.array(titles, pa.string()), pa.array(warnings, pa.list_(readers.m.WARNING)), pa.array(errors, readers._ERROR), pa.array(quality, audit.QUALITY)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "data", "title", "warnings", "error", "quality"])
+
+    done = base.mapInArrow(run, f"doc_id {kind}, data {'binary' if binary else 'string'}, title string, warnings array<{WARNING_DDL}>, error {readers.ERROR}, quality {audit.QUALITY_DDL}")
+    made = F.struct(F.lit(source).alias("reader"), F.lit(target).alias("writer"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.array(*map(F.lit, route.models)).alias("models"), F.array(*[F.lit(m.name) for m in route.executed]).cast("array<string>").alias("executed"))
+    return done.select("doc_id", F.lit(target).alias("format"), "data", "title", F.lit(route.temperature).alias("temperature"), F.lit(route.route_class).alias("route_class"), "warnings", "error", "quality", made.alias("conversion"))
+
+
+def audited(docs: DataFrame, source: str, content: str = "content", id_col: str = "doc_id") -> DataFrame:
+    """One row per block of documents in a text format: (doc_id, block_idx, id, start, end, start_line, end_line, fields of the block)."""
+    blocks = readers.blocks_of(readers.read(docs, catalog.normalize(source), content, id_col))
+    spans = audit.source_spans(blocks, docs.select(F.col(id_col).alias("doc_id"), F.col(content).alias("content")))
+    return audit.identified(blocks).join(spans, ["doc_id", "block_idx"], "left")
 
 
 def read_back(docs: DataFrame, fmt: str) -> DataFrame:

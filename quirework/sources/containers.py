@@ -15,6 +15,7 @@ from collections import Counter
 from xml.etree import ElementTree as ET
 
 from .. import model as m
+from ..operators import layout
 from .parsers import Parsed, ParseError, _html_blocks, _squeezed, html_tree
 
 # Limits of archives and of inflated PDF streams.
@@ -57,14 +58,25 @@ def unzip(data: bytes) -> dict[str, bytes]:
 # --- text of unknown encoding -------------------------------------------------------------------------------
 
 _CANDIDATES = ("utf-8", "gb18030", "big5", "shift_jis", "euc-kr", "utf-16-le", "utf-16-be", "windows-1252")
-_MOJIBAKE = re.compile("[ÃÂâåæçèéäöü][\x80-¿]|锟斤拷|ï»¿")
-
-
-def decode_score(text: str) -> float:
-    """The lower, the more it reads as text."""
-    bad = text.count("\ufffd") * 100 + len(_MOJIBAKE.findall(text)) * 8
-    bad += 40 * len(re.findall("[\ue000-\uf8ff]", text)) + 20 * len(re.findall("[\x00-\x08\x0b\x0c\x0e-\x1f]", text))
-    return bad - len(re.findall("[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]", text)) - 0.5 * len(re.findall(r"[A-Za-z0-9 ]", text))
+# What counts against and for a decoding, each time it occurs or as a whole.
+_AGAINST = {"\ufffd": 100, "[ÃÂ¤åæçèéï¿½]": 8, "[\ue000-\uf8ff]": 40, "[\x00-\x08\x0b\x0c\x0e-\x1f]": 20}
+_PRINTABLE, _PRINTABLE_SHARE, _PRINTABLE_WORTH = "[\t\n\r\x20-\x7e]", 0.75, 20
+_CLEAN_WORTH = 5
+_HAN, _HAN_SHARE, _HAN_WORTH = "[\u3400-\u9fff]", 0.6, 10
+
+
+def decode_score(text: str, encoding: str = "") -> int:
+    """The lower, the more it reads as text that was in ``encoding``."""
+    count = lambda pattern: len(re.findall(pattern, text))
+    score = sum(weight * count(pattern) for pattern, weight in _AGAINST.items())
+    units = len(text) + count("[\U00010000-\U0010ffff]")
+    if units and count(_PRINTABLE) > _PRINTABLE_SHARE * units:
+        score -= _PRINTABLE_WORTH
+    if encoding == "utf-8" and "\ufffd" not in text:
+        score -= _CLEAN_WORTH
+    if encoding.startswith("utf-16") and units and count(_HAN) > _HAN_SHARE * units:
+        score -= _HAN_WORTH
+    return score
 
 
 def decode_bytes(data: bytes, declared: str = "") -> tuple[str, str]:
@@ -86,7 +98,7 @@ def decode_bytes(data: bytes, declared: str = "") -> tuple[str, str]:
     except UnicodeDecodeError:
         pass
     texts = [(data.decode(name, "replace"), name) for name in _CANDIDATES]
-    return min(texts, key=lambda t: decode_score(t[0]))
+    return min(texts, key=lambda t: decode_score(*t))
 
 
 # --- OOXML --------------------------------------------------------------------------------------------------
@@ -461,22 +473,23 @@ def credible(text: str) -> bool:
 
 
 def glyph_noise(texts: list[str]) -> bool:
-    """Whether strings look like glyph numbers of fonts without a map."""
-    if len(texts) < 8:
+    """Whether strings look like glyph numbers of fonts without a map: the rule of ``operators.layout``."""
+    texts = [t for t in map(str.strip, texts) if t]
+    if len(texts) < layout.NOISE_STRINGS:
         return False
     share = lambda ok: sum(map(ok, texts)) / len(texts)
-    short = share(lambda t: len(t) <= 3)
-    solid = share(lambda t: t.isascii() and " " not in t)
+    solid = share(lambda t: re.fullmatch(r"[\x21-\x7e]+", t) is not None)
     chars = Counter("".join(texts))
-    ascii_share = sum(n for c, n in chars.items() if c.isascii()) / max(1, chars.total())
-    return short >= 0.6 and (solid >= 0.85 and all(len(t) <= 6 for t in texts) or ascii_share >= 0.9 and max(chars.values()) / chars.total() >= 0.25)
+    short = share(lambda t: len(t) <= layout.SHORT) >= layout.SHORT_SHARE
+    no_word = solid >= layout.SOLID_SHARE and max(map(len, texts)) <= layout.LONGEST
+    return short or no_word or solid >= layout.ONLY_SHARE and max(chars.values()) >= layout.TOP_SHARE * chars.total()
 
 
 def layout_lines(runs: list[tuple[str, float, float, float]]) -> list[tuple[str, float, float]]:
-    """(text, y, height) of lines: from the top down, runs near the first of a line are in it."""
+    """(text, y, height) of lines: from the top down, runs within half their own height of a line's first one are in it."""
     lines: list[list] = []
     for run in sorted(runs, key=lambda r: (-r[2], r[1])):
-        if lines and abs(lines[-1][0][2] - run[2]) < 0.5 * lines[-1][0][3]:
+        if lines and abs(lines[-1][0][2] - run[2]) < layout.NEAR * (run[3] or layout.NO_HEIGHT):
             lines[-1].append(run)
         else:
             lines.append([run])

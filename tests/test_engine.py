@@ -124,8 +124,8 @@ def test_layout(spark):
     assert got == [("heading", 1, "Title"), ("paragraph", None, "body text goes on"), ("list", None, "- item"), ("paragraph", None, "far below")]
     seen = spark.createDataFrame([(1, "Big", 0.0, 0.0, 40.0), (1, "中文", 0.0, 50.0, 20.0), (1, "内容", 0.0, 72.0, 20.0)], "p int, text string, x double, y double, h double")
     assert [(r.type, r.level, r.text) for r in layout.recognised_blocks(seen, "p").orderBy("block").collect()] == [("heading", 1, "Big"), ("paragraph", None, "中文内容")]
-    noise = spark.createDataFrame([(1, t) for t in ["gg", "g1", "g2", "gg", "gg", "gg", "g3", "gg"]] + [(2, "word")] * 9, "d int, text string")
-    assert {r.d: r.noise for r in layout.glyph_noise(noise, "d").collect()} == {1: True, 2: False}
+    noise = spark.createDataFrame([(1, t) for t in ["gg", "g1", "g2", "gg", "gg", "gg", "g3", "gg"]] + [(2, "words of a text")] * 9 + [(3, "word")] * 9 + [(4, " ")] * 9, "d int, text string")
+    assert {r.d: r.noise for r in layout.glyph_noise(noise, "d").collect()} == {1: True, 2: False, 3: True, 4: False}
 
 
 def test_images(spark):

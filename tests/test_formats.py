@@ -116,7 +116,7 @@ def test_doc_and_pdf_text():
     assert "old document" in c.parse_doc(body, "t")[1][0]["text"]
     pdf = b"%PDF-1.4\n1 0 obj\n<< /Length 60 >>\nstream\nBT /F1 24 Tf 72 700 Td (Head\\051) Tj 0 -40 Td /F1 12 Tf [(wo) -20 (rd) -300 (two)] TJ ET\nendstream\nendobj"
     assert [(b["type"], b["text"]) for b in c.parse_pdf(pdf, "t")[1]] == [("heading", "Head)"), ("paragraph", "word two")]
-    assert c.glyph_noise(["gg", "g1", "g2", "gg", "gg", "gg", "g3", "gg"]) and not c.glyph_noise(["word"] * 9)
+    assert c.glyph_noise(["gg", "g1", "g2", "gg", "gg", "gg", "g3", "gg"]) and not c.glyph_noise(["words of a text"] * 9) and c.glyph_noise(["word"] * 9) and c.glyph_noise(["abcdef"] * 9) and c.glyph_noise(["Xa1XXbXXcX"] * 9) and not c.glyph_noise(["gg"] * 7 + [" "])
 
 
 def test_sheet_names_and_wrap():
