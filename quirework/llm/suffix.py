@@ -5,17 +5,18 @@ same text or another, goes. Matches never cross texts.
 
 1. Parse: a rolling hash of ``GRAM`` bytes has its smallest value in each window of SPAN bytes at its trigger.
    Windows with one trigger make a phrase; phrases overlap, so every window is inside one, and equal windows
-   have equal triggers at equal offsets, wherever they stand.
+   have equal triggers at equal offsets, wherever they stand. Equal phrases in a row, as periodic text has them, are one run.
 2. Dictionary: phrases whose trigger occurs once in all texts are done. Equal phrases are counted once; one
    that occurs twice is repeated whole.
-3. Phrases that share a trigger and differ are opened: windows at the same offset from the trigger are taken in
-   groups of 16 around the bytes they share, equal groups are repeated whole, and only groups with equal
-   middles and other edges are told apart window by window.
+3. Triggers with several phrases: the suffixes of the parse, each of which begins at a trigger, are sorted, and so are
+   the parts of phrases before it, read backwards. A suffix of the corpus that begins o bytes before a trigger is ordered by
+   these o bytes of the dictionary and then by the rank of the parse's suffix; a window is repeated if that of a neighbour in
+   this order has as much in common as the window is long, which two arrays of common prefixes tell.
 4. Repeated windows of a phrase go to all its places, and each text drops its bytes.
 
-Instead of a sorted suffix array of dictionary and parse, phrases with equal triggers are brought together by
-hash: the question is about one length, which needs equal contexts side by side but no order among others, and
-a hash partitions where an order of all suffixes would not.
+The order is made trigger by trigger, as windows with other triggers differ, and to the depth of a window, as nothing
+beyond is asked for: so it is partitioned, where one order of all suffixes would not be. Of triggers with over
+``MOST`` phrases, whose group has no bound, windows are counted by 128 bits of hash instead, with the same result.
 
 Cases: null and empty texts and those shorter than SPAN lose nothing; repeated rows are copies of one another;
 rows with one id and other texts are judged apart; overlaps count; texts of any length are parsed in segments
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, only, steps
+from .components import lookup
 from .shingles import mix
 
-SPAN, GRAM, GROUP = 200, 64, 16
+SPAN, GRAM = 200, 64
+#: Distinct phrases of a trigger that are sorted in one task; bytes of phrases that are sorted at once.
+MOST, AT_ONCE = 4096, 2 << 20
 _PLACES = SPAN - GRAM + 1
-_CORE = SPAN - GROUP + 1
 #: Bytes of a flat array, so that a place in it takes 20 bits; window starts of a segment.
 _FLAT, _SEGMENT = 1 << 20, 1 << 18
 _LOW = np.uint64(_FLAT - 1)
@@ -126,12 +129,17 @@ def _triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of equal phrases: ``r`` of them, each of ``n`` windows."""
     for batch in steps(batches):
         got = _parsed([(t or "").encode() for t in batch.column("text").to_pylist()])
-        row = pa.array(got["row"])
-        cols = [batch.column("doc_id").take(row), batch.column("digest").take(row), *(pa.array(got[k], pa.int64()) for k in ("a", "u"))]
-        cols += [pa.array(got["lo"], pa.int64()), *(pa.array(got[k], pa.int32()) for k in ("n", "off"))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "a", "u", "lo", "n", "off"])
+        new = np.ones(got["a"].size, bool)
+        new[1:] = (got["lo"][1:] != got["lo"][:-1] + got["n"][:-1]) | np.any([got[k][1:] != got[k][:-1] for k in ("row", "a", "u", "n", "off")], axis=0)
+        first = np.flatnonzero(new)
+        runs = np.diff(np.append(first, new.size))
+        row = pa.array(got["row"][first])
+        cols = [batch.column("doc_id").take(row), batch.column("digest").take(row), *(pa.array(got[k][first], pa.int64()) for k in ("a", "u", "lo"))]
+        cols += [*(pa.array(got[k][first], pa.int32()) for k in ("n", "off")), pa.array(runs, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "a", "u", "lo", "n", "off", "r"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,25 +152,108 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "text", "n_bytes", "sha"])
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of windows of phrases: a hash of the bytes they share, and the bytes beside these."""
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases at places of a text, with their bytes."""
     for batch in steps(batches):
-        out: dict[str, list] = {k: [] for k in ("a", "u", "g", "core", "left", "right", "first", "last", "m")}
+        out: dict[str, list] = {k: [] for k in ("a", "u", "m", "large", "off", "bytes")}
         for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
             data = text.encode()
             for p in places:
-                at = p["lo"] + p["off"]
-                low, high = p["off"] - p["n"] + 1, p["off"]  # offsets of the trigger in the phrase's windows
-                for g in range(low // GROUP, high // GROUP + 1):
-                    first, last = max(low, g * GROUP), min(high, g * GROUP + GROUP - 1)
-                    start = at - g * GROUP
-                    values = (p["a"], p["u"], g, xxhash.xxh3_64_intdigest(data[start : start + _CORE]) - 2**63, data[at - last : start], data[start + _CORE : at - first + SPAN], first, last, p["m"])
-                    for col, value in zip(out.values(), values, strict=True):
-                        col.append(value)
-        kinds = {"a": pa.int64(), "u": pa.int64(), "g": pa.int32(), "core": pa.int64(), "left": pa.binary(), "right": pa.binary(), "first": pa.int32(), "last": pa.int32(), "m": pa.int64()}
+                for col, value in zip(out.values(), (p["a"], p["u"], p["m"], p["large"], p["off"], data[p["lo"] : p["lo"] + p["n"] + SPAN - 1]), strict=True):
+                    col.append(value)
+        kinds = {"a": pa.int64(), "u": pa.int64(), "m": pa.int64(), "large": pa.bool_(), "off": pa.int32(), "bytes": pa.binary()}
         yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
+def _sorted(a: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings by group and bytes, and what each has in common with the one before it in the order: -1 with another group's."""
+    n = len(strings)
+    size = np.array([len(x) for x in strings])
+    held = np.zeros((n, 8 + width + 2), np.uint8)
+    held[:, :8] = a.astype(">u8").view(np.uint8).reshape(n, 8)
+    held[:, 8 : 8 + width] = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), np.uint8).reshape(n, width)
+    held[:, 8 + width :] = (size + 1).astype(">u2").view(np.uint8).reshape(n, 2)  # of strings that are equal but for zeros at the end, the shorter one first
+    order = np.argsort(held.view(f"S{held.shape[1]}").ravel(), kind="stable")
+    text, size, a = held[order, 8 : 8 + width], size[order], a[order]
+    differ = np.concatenate([text[1:] != text[:-1], np.ones((max(n - 1, 0), 1), bool)], axis=1)
+    common = np.full(n, -1)
+    common[1:] = np.where(a[1:] == a[:-1], np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1])), -1)
+    return order, common
+
+
+def neighbours(a: np.ndarray, off: np.ndarray, phrases: list[bytes], m: np.ndarray) -> np.ndarray:
+    """For each distinct phrase (rows) and offset of a window's start before the trigger (columns), whether that window is repeated."""
+    n = len(phrases)
+    tails = [x[o:][:SPAN] for x, o in zip(phrases, off.tolist(), strict=True)]
+    heads = [x[:o][::-1] for x, o in zip(phrases, off.tolist(), strict=True)]
+    windows = np.array([len(x) for x in phrases]) - SPAN + 1
+    by_tail, tail_common = _sorted(a, tails, SPAN)
+    by_head, head_common = _sorted(a, heads, _PLACES - 1)
+    rank = np.empty(n, np.int64)
+    rank[by_tail] = np.arange(n)
+    again = np.zeros((n, _PLACES), bool)
+    head_class = np.empty(n, np.int64)
+    for o in range(_PLACES):
+        here = np.flatnonzero((off >= o) & (off - windows < o))
+        if not here.size:
+            continue
+        # Equal o bytes before the trigger are one suffix of the dictionary; the rank of what follows orders the rest.
+        head_class[by_head] = np.cumsum(head_common < o)
+        tail_class = np.cumsum(tail_common < SPAN - o)
+        here = here[np.argsort(head_class[here] * n + rank[here])]
+        same = (head_class[here[1:]] == head_class[here[:-1]]) & (tail_class[rank[here[1:]]] == tail_class[rank[here[:-1]]])
+        again[here, o] = m[here] > 1
+        again[here[1:][same], o] = True
+        again[here[:-1][same], o] = True
+    return again
+
+
+def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated spans of phrases that occur once, from rows in the order of their triggers; triggers are taken whole."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        m, off = t["m"].to_numpy(), t["off"].to_numpy().astype(np.int64)
+        again = neighbours(t["a"].to_numpy(), off, t["bytes"].to_pylist(), m)
+        again[m > 1] = False  # repeated whole, as is known
+        padded = np.pad(again[:, ::-1], ((0, 0), (1, 1))).astype(np.int8)  # by falling offset, so by rising start
+        edge = np.diff(padded, axis=1)
+        row, start = np.nonzero(edge == 1)
+        length = np.nonzero(edge == -1)[1] - start
+        at = start - (_PLACES - 1) + off[row]
+        rows, first = np.unique(row, return_index=True)
+        spans = pa.ListArray.from_arrays(pa.array(np.append(first, row.size), pa.int32()), pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(length + SPAN - 1, pa.int64())], names=["at", "n"]))
+        return pa.RecordBatch.from_arrays([t["a"].combine_chunks().take(pa.array(rows)), t["u"].combine_chunks().take(pa.array(rows)), spans], names=["a", "u", "spans"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) > AT_ONCE:
+            table = pa.Table.from_batches(held)
+            a = table["a"].to_numpy()
+            whole = int(np.flatnonzero(np.append(True, a[1:] != a[:-1]))[-1])  # the last trigger may go on
+            if whole:
+                yield found(table.slice(0, whole))
+                held = table.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield found(pa.Table.from_batches(held))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, a, u, k, m): 128 bits of hash of each window of phrases."""
+    for batch in steps(batches, "bytes", 1 << 19):
+        out: list[list] = [[], [], [], []]
+        for row, data in enumerate(batch.column("bytes").to_pylist()):
+            for k in range(len(data) - SPAN + 1):
+                h = xxhash.xxh3_128_intdigest(data[k : k + SPAN])
+                for col, value in zip(out, ((h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, row, k), strict=True):
+                    col.append(value)
+        row = pa.array(out[2], pa.int64())
+        cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(batch.column(c).take(row) for c in ("a", "u")), pa.array(out[3], pa.int64()), batch.column("m").take(row)]
+        yield pa.RecordBatch.from_arrays(cols, names=["x", "y", "a", "u", "k", "m"])
+
+
 def remove(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, int, int]:
     """``data`` without the bytes of given spans, how many those are, and in how many runs."""
     gone = np.zeros(len(data) + 1, np.int32)
@@ -192,41 +283,38 @@ def _dropped(digests: bool):
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, spans) of texts with repeated bytes, and all texts as in ``_whole``."""
     kind = dict(docs.dtypes)["doc_id"]
-    common = docs.select("text").mapInArrow(_triggers, "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).filter("c > 1").select("a")
-    rows = docs.mapInArrow(_phrase_rows, f"doc_id {kind}, digest long, a long, u long, lo long, n int, off int")
-    rows = cut(rows.join(common, "a", "left_semi"), "phrases")
-    drop()
+    common = docs.select("text").mapInArrow(_triggers, "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).filter("c > 1")
+    common = cut(common.select("a", F.lit(True).alias("common"), "c"), "triggers")
+    rows = docs.mapInArrow(_phrase_rows, f"doc_id {kind}, digest long, a long, u long, lo long, n int, off int, r long")
+    rows = cut(lookup(rows, common, ["a"], "c").drop("common"), "phrases")
+    drop(common)
     named = rows.select("doc_id", "digest").distinct().select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.lit(True).alias("some"))
     texts = docs.join(named, docs.doc_id.eqNullSafe(F.col("d")) & (docs.digest == F.col("g")), "left").select("doc_id", "digest", "text", "some")
     texts = cut(texts.mapInArrow(_whole, f"doc_id {kind}, digest long, text string, n_bytes long, sha string"), "phrase-texts")
-    drop()
-    distinct = rows.groupBy("a", "u").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "digest", "lo", "n", "off")).alias("p"))
-    distinct = cut(distinct, "dictionary")
-    mixed = distinct.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a")
-    places = distinct.join(mixed, "a", "left_semi").groupBy("p.doc_id", "p.digest").agg(F.collect_list(F.struct("a", "u", "m", "p.lo", "p.n", "p.off")).alias("places"))
-    held = texts.filter("text is not null").select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "text")
-    opened = places.join(held, places.doc_id.eqNullSafe(F.col("d")) & (places.digest == F.col("g"))).select("text", "places")
-    opened = cut(opened.mapInArrow(_opened, "a long, u long, g int, core long, left binary, right binary, first int, last int, m long"), "groups")
-    drop()
-    key, edges = ["a", "g", "core"], ["left", "right", "first", "last"]
-    alike = opened.groupBy(*key, *edges).agg(F.sum("m").alias("mm"))
-    alone = cut(alike.groupBy(*key).agg(F.count("*").alias("kinds"), F.sum("mm").alias("all")), "cores")
-    single = opened.filter("m = 1")  # others are repeated whole
-    full = single.join(alike.filter("mm > 1").drop("mm"), [*key, *edges]).select("a", "u", F.explode(F.sequence("first", "last")).alias("off"))
-    # Windows of groups with equal middles and other edges, by the edge bytes that each covers.
-    inside = opened.join(alone.filter("kinds > 1").select(*key), key).withColumn("off", F.explode(F.sequence("first", "last")))
-    d = f"(off - g * {GROUP})"
-    inside = inside.select("a", "u", "m", "off", "core", F.expr(f"substring(`left`, length(`left`) - {d} + 1, {d})").alias("l"), F.expr(f"substring(`right`, 1, {GROUP - 1} - {d})").alias("r"))
-    same = inside.groupBy("a", "off", "core", "l", "r").agg(F.sum("m").alias("mm")).filter("mm > 1").drop("mm")
-    by_one = inside.filter("m = 1").join(same, ["a", "off", "core", "l", "r"]).select("a", "u", "off")
-    parts = full.union(by_one).groupBy("a", "u").agg(F.collect_set("off").alias("offs"))
-    status = distinct.filter("m > 1").select("a", "u", F.lit(None).cast("array<int>").alias("offs")).union(parts)
-    status = cut(status, "repeats")
-    drop(distinct, opened, alone)
-    found = rows.join(status, ["a", "u"])
-    windows = F.when(F.col("offs").isNull(), F.array(F.struct(F.col("lo").alias("at"), (F.col("n") + SPAN - 1).cast("long").alias("n"))))
-    windows = windows.otherwise(F.transform("offs", lambda o: F.struct((F.col("lo") + F.col("off") - o).alias("at"), F.lit(SPAN).cast("long").alias("n"))))
-    spans = found.select("doc_id", "digest", F.explode(windows).alias("s")).groupBy("doc_id", "digest").agg(F.collect_list("s").alias("spans"))
+    place = F.min(F.struct("doc_id", "digest", "lo", "n", "off"))
+    distinct = cut(rows.groupBy("a", "u").agg(F.sum("r").alias("m"), place.alias("p")), "dictionary")
+    kinds = cut(distinct.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").withColumn("large", F.col("k") > MOST), "mixed")
+    mixed = lookup(distinct, kinds, ["a"], "k")
+    places = mixed.groupBy("p.doc_id", "p.digest").agg(F.collect_list(F.struct("a", "u", "m", "large", "p.lo", "p.n", "p.off")).alias("places"))
+    held = texts.filter("text is not null").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "text")
+    spelled = places.join(held, places.doc_id.eqNullSafe(F.col("d")) & (places.digest == F.col("g"))).select("text", "places")
+    spelled = cut(spelled.mapInArrow(_spelled, "a long, u long, m long, large boolean, off int, bytes binary"), "spelled")
+    some = spelled.filter("not large").repartition("a").sortWithinPartitions("a")
+    ordered = some.mapInArrow(_read_off, "a long, u long, spans array<struct<at:long,n:long>>")
+    if not kinds.filter("large").isEmpty():
+        each = cut(spelled.filter("large").mapInArrow(_windows, "x long, y long, a long, u long, k long, m long"), "windows")
+        same = cut(each.groupBy("x", "y").agg(F.sum("m").alias("mm")).filter("mm > 1").withColumn("same", F.lit(True)), "window-counts")
+        span = F.struct(F.col("k").alias("at"), F.lit(SPAN).cast("long").alias("n"))
+        ordered = ordered.union(lookup(each.filter("m = 1"), same, ["x", "y"], "mm").groupBy("a", "u").agg(F.collect_set(span).alias("spans")))
+    ordered = cut(ordered, "ordered")
+    once = distinct.filter("m > 1").select("a", "u", F.lit(None).cast("array<struct<at:bigint,n:bigint>>").alias("spans"), "m")
+    status = cut(once.union(ordered.select("a", "u", "spans", F.lit(1).cast("long").alias("m"))), "repeats")
+    drop(distinct, spelled, ordered, kinds)
+    found = lookup(rows, status, ["a", "u"], "m")
+    # A run of equal phrases is one span; spans of a phrase count from its first byte.
+    whole = F.array(F.struct(F.col("lo").alias("at"), (F.col("n") * F.col("r") + SPAN - 1).cast("long").alias("n")))
+    windows = F.when(F.col("spans").isNull(), whole).otherwise(F.transform("spans", lambda s: F.struct((F.col("lo") + s.at).alias("at"), s.n.alias("n"))))
+    spans = found.select("doc_id", "digest", F.explode(windows).alias("s")).groupBy("doc_id", "digest").agg(F.collect_set("s").alias("spans"))
     spans = cut(spans, "spans")
     drop(rows, status)
     return spans, texts

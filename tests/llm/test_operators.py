@@ -457,11 +457,15 @@ def test_decontamination(spark, docs, none, sent):
     assert decontam.contamination(none, items).count() == 0 and decontam.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_repeats(spark, docs, none):
+@pytest.mark.parametrize("most", [4096, 2])
+def test_repeats(spark, docs, none, monkeypatch, most):
+    monkeypatch.setattr(suffix, "MOST", most)
+    monkeypatch.setattr(suffix, "AT_ONCE", 3000)
     rnd = random.Random(6)
     noise = lambda n: "".join(rnd.choice("abcdef é") for _ in range(n))
     shared = noise(700)
-    more = [shared[:199], noise(50) + shared[100:299] + noise(50), noise(50) + shared[100:300] + noise(50), shared, shared[:350] + "#" + shared[350:], "q" * 201, noise(30) + "é" * 400, shared * 3]
+    more = [shared[:199], noise(50) + shared[100:299] + noise(50), noise(50) + shared[100:300] + noise(50), shared, shared[:350] + "#" + shared[350:], "q" * 201, noise(30) + "é" * 400, shared * 3, "\0" * 500, "ab" + "\0" * 300 + "c", "\0" * 230 + noise(40), "xyz" * 200, noise(20) + "xyz" * 100 + noise(20), noise(300)]
+    more += [more[-1][:250], shared[:260] + "!" + shared[261:], *(noise(90) + shared[300:520] + noise(90) for _ in range(6))]
     rows = [*ROWS, *enumerate(more, len(ROWS))]
     table = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(more, len(ROWS))), "doc_id long, text string"))
     seen = Counter()
@@ -483,6 +487,44 @@ def test_repeats(spark, docs, none):
     assert suffix.drop_repeats(none).count() == 0
 
 
+def test_corpus_order_of_windows():
+    """Against all windows of random phrases over two letters, so that there are many equal ones."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        base = [bytes(rng.choice([97, 98], 400, p=[0.97, 0.03]).astype(np.uint8)) for _ in range(3)]
+        a, off, phrases = [], [], []
+        for _ in range(30):
+            o, n = int(rng.integers(0, 137)), int(rng.integers(1, 120))
+            o_ = min(o, 136)
+            low = max(0, o_ - n + 1)
+            start = 136 - o_
+            k = int(rng.integers(0, 3))
+            a.append(k - 1)
+            off.append(o_)
+            phrases.append(base[int(rng.integers(0, 3))][start : start + (o_ - low + 1) + 199])
+        distinct = list({(x, y, z): 0 for x, y, z in zip(a, off, phrases, strict=True)})
+        a, off, phrases = (list(x) for x in zip(*distinct, strict=True))
+        m = rng.integers(1, 3, len(a))
+        got = suffix.neighbours(np.array(a), np.array(off), phrases, m)
+        seen = Counter()
+        for x, o, t, c in zip(a, off, phrases, m, strict=True):
+            seen.update({(x, o - k, t[k : k + 200]): int(c) for k in range(len(t) - 199)})
+        for i, (x, o, t) in enumerate(zip(a, off, phrases, strict=True)):
+            want = {o - k for k in range(len(t) - 199) if seen[x, o - k, t[k : k + 200]] > 1}
+            assert set(np.flatnonzero(got[i]).tolist()) == want
+
+
+def test_periodic_text_is_one_phrase():
+    """A run of equal phrases is one row, however long."""
+    import pyarrow as pa
+
+    for piece in ("z", "ab", "xyz", "0123456789" * 7):
+        text = piece * (300_000 // len(piece))
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "digest": pa.array([1]), "text": pa.array([text])})
+        rows = pa.Table.from_batches(list(suffix._phrase_rows(iter([batch])))).to_pylist()
+        assert len(rows) < 12 and sum(r["n"] * r["r"] for r in rows) == len(text) - 199
+
+
 def test_segments_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix, "_SEGMENT", 300)
     rnd = random.Random(9)
