@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop
-from .components import lookup, merge
+from .components import LEAST, lookup, merge
 
 WIDTH = 8
 #: Link if 100 * common >= LINK * united.
@@ -39,6 +39,8 @@ LINK = 80
 BANDS, ROWS = 9, 3
 #: 64-bit words of a bitmap.
 WORDS = 32
+#: A line's mark: how many windows it has, how many bits are set, the bits.
+MARKS = ["windows", "ones", *[f"b{word}" for word in range(WORDS)]]
 #: Rounds with pivots at most; fewer if the pairs of lines left are at most so many for each place in a bucket.
 PIVOT_TURNS, PAIRS_PER_SLOT = 4, 16
 #: Members of a bucket in a block of the last round.
@@ -114,19 +116,24 @@ def _marked(lines: DataFrame) -> DataFrame:
     rows = rows.select("id", *[c.alias(f"{name}{k}") for k, pair in enumerate(of) for name, c in zip("wb", pair, strict=True)])
     one = lambda k, word: F.when(F.col(f"w{k}") == word, F.col(f"b{k}")).otherwise(F.lit(0).cast("long"))
     words = [F.bit_or(functools.reduce(lambda x, y: x.bitwiseOR(y), [one(k, word) for k in range(AT_ONCE)])).alias(f"b{word}") for word in range(WORDS)]
-    return rows.groupBy("id").agg(*words).select("id", F.struct(*[f"b{word}" for word in range(WORDS)]).alias("bits"))
+    ones = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(word)) for word in MARKS[2:]])
+    return rows.groupBy("id").agg(*words).withColumn("ones", ones)
 
 
 def _may_link(x: str, y: str) -> Column:
-    """A bound that holds for every linked pair, of lines with ``n`` windows and ``bits``.
+    """A bound that holds for every linked pair; its lines' marks have the prefixes ``x`` and ``y``.
 
-    A bit of one line alone is a shingle of that line alone. So of x's n windows at most n less such bits are common, and
-    likewise of y's; what is common must be LINK / (100 - LINK) times what is not.
+    A bit of one line alone is a shingle of that line alone. So of a line's windows at most those less such bits are common;
+    what is common must be LINK / (100 - LINK) times what is not.
     """
-    alone = lambda one, other: functools.reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{one}.bits.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}.bits.b{k}")))) for k in range(WORDS)])
-    only_x, only_y = alone(x, y), alone(y, x)
-    common = F.least(F.col(f"{x}.n") - only_x, F.col(f"{y}.n") - only_y)
-    return (100 - LINK) * common >= LINK * (only_x + only_y)
+    shared = functools.reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}b{k}").bitwiseAND(F.col(f"{y}b{k}"))) for k in range(WORDS)])
+    alone = F.col(f"{x}ones") + F.col(f"{y}ones") - 2 * shared
+    common = F.least(F.col(f"{x}windows") - F.col(f"{x}ones"), F.col(f"{y}windows") - F.col(f"{y}ones")) + shared
+    return (100 - LINK) * common >= LINK * alone
+
+
+def _as(prefix: str) -> list[Column]:
+    return [F.col(c).alias(f"{prefix}{c}") for c in MARKS]
 
 
 def _members(lines: DataFrame) -> DataFrame:
@@ -145,37 +152,40 @@ def _members(lines: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, line, mark): the lines that have mates, read from their first places, with their numbers of windows and bitmaps."""
+    """(id, line, MARKS): the lines that have mates, read from their first places, with their marks."""
     first = members.select("id").distinct().join(lines.select(F.col("h").alias("id"), "doc_id", "digest", "pos"), "id")
     first = first.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("id", "pos")).alias("first"))
     here = docs.filter("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("digest")).agg(F.first("text").alias("text"))
     here = here.join(first, ["doc_id", "digest"]).select(F.split("text", _NEWLINE, -1).alias("lines"), "first")
     here = cut(here.select("lines", F.explode("first").alias("f")).select("f.id", normal(F.get("lines", F.col("f.pos"))).alias("line")), "line-read")
     windows = F.greatest(F.length("line") - WIDTH + 1, F.lit(1))
-    return here.join(_marked(here), "id").select("id", "line", F.struct(windows.alias("n"), "bits").alias("mark"))
+    return here.join(_marked(here), "id").withColumn("windows", windows).select("id", "line", *MARKS)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets are alike; a may be in many of them."""
-    named = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"{end}_line"), F.col("mark").alias(f"{end}_mark"))
-    ends = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).join(named("a"), "a"), "line-ends")
-    both = lookup(pairs, ends, ["a"], "n").join(named("b"), "b").filter(_may_link("a_mark", "b_mark"))
+    named = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"{end}_line"), *_as(f"{end}_"))
+    rows, ends = pairs.count(), named("a").withColumn("n", F.lit(1))
+    if rows > LEAST:
+        ends = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).join(named("a"), "a"), "line-ends")
+    both = lookup(pairs, ends, ["a"], "n", rows=rows).join(named("b"), "b").filter(_may_link("a_", "b_"))
     # Sets are made in a generator, so that the filter takes its columns and not their expressions.
     sets = both.select("a", "b", F.inline(F.array(F.struct(shingles("a_line").alias("x"), shingles("b_line").alias("y")))))
-    exact = (100 + LINK) * F.size(F.array_intersect("x", "y")) >= LINK * (F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")))
+    exact = 100 * F.size(F.array_intersect("x", "y")) >= LINK * F.size(F.array_union("x", "y"))
     found = cut(sets.filter(exact).select("a", "b"), "line-links")
-    drop(ends)
+    if rows > LEAST:
+        drop(ends)
     return found
 
 
 def _met(held: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs of all lines of a bucket that are in different components and may be linked."""
-    held = held.join(marks, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    held = held.select("bucket", "id", "comp", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")).join(marks, "id")
     own, others = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    x = held.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("mark").alias("x"), own.alias("i"), others.alias("j"))
-    y = held.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("mark").alias("y"), own.alias("j"), others.alias("i"))
+    x = held.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), own.alias("i"), others.alias("j"), *_as("x_"))
+    y = held.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), own.alias("j"), others.alias("i"), *_as("y_"))
     # The condition is part of the join, so only pairs that may be linked come out of it.
-    return x.join(y, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("x", "y")).select("a", "b")
+    return x.join(y, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("x_", "y_")).select("a", "b")
 
 
 def components(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -198,7 +208,7 @@ def components(docs: DataFrame, lines: DataFrame) -> DataFrame:
         last = turn and left <= PAIRS_PER_SLOT * all_slots or turn >= PIVOT_TURNS
         mixed = lookup(held, apart, ["bucket"], "n")
         if last:
-            pairs = _met(mixed, texts.select("id", "mark"))
+            pairs = _met(mixed, texts.select("id", *MARKS))
         else:
             pairs = mixed.select("id", "comp", F.explode(F.array("low", "high")).alias("end")).filter("end.comp <> comp").select(F.col("end.id").alias("a"), F.col("id").alias("b"))
         pairs = cut(pairs.distinct(), "line-pairs")

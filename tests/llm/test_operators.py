@@ -399,6 +399,7 @@ def test_lines_of_repeated_rows_and_rows_without_id(spark):
 def test_hot_lines_and_buckets(spark, monkeypatch):
     """Keys over a bound go by broadcast, with equal results."""
     monkeypatch.setattr(components, "LEAST", 3)
+    monkeypatch.setattr(linededup, "LEAST", 3)
     monkeypatch.setattr(components, "SHARE", 50)
     monkeypatch.setattr(linededup, "BLOCK", 4)
     rnd = random.Random(11)
