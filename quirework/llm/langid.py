@@ -3,10 +3,11 @@
 A text is the average of the embeddings of its hashed byte n-grams (letters
 only, word boundaries as one space); a linear layer and softmax give languages.
 Embeddings and layer are trained together by stochastic gradient descent in
-numpy, on windows of a bounded sample: at most ``SAMPLE`` labelled rows, shared
-out evenly over the languages and chosen by a hash of the id. A fifth of the
+numpy, on a bounded sample: at most ``SAMPLE`` labelled rows, shared
+out evenly over the languages and chosen by a hash of the id, each as its whole text and as
+short windows, so that short texts are known too. A fifth of the
 sample fits the softmax temperature and the score under which a text is
-rejected. For use, embeddings and layer fold into one score per n-gram bucket
+rejected: that below which ``LOST`` of the right predictions on it lie. For use, embeddings and layer fold into one score per n-gram bucket
 and language, so that every text is scored whole in one pass, map-only.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected;
@@ -30,15 +31,16 @@ from .common import only, steps
 
 UND = "und"
 #: Labelled rows that the classifier is fitted on, at most and in all languages together.
-SAMPLE = 4000
+SAMPLE = 2000
 BUCKET_BITS = 16
 DIM = 16
 NGRAMS = (2, 3, 4)
-#: Words in the windows of a sampled row that are trained on.
+#: Words in the windows of a sampled row that are trained on besides its whole text.
 WINDOWS = (2, 6, 20, 60)
-EPOCHS, BATCH, RATE, SEED = 6, 64, 1.0, 7
-#: Share of right predictions on held-back windows that may fall under the rejecting score, and its ceiling.
-LOST, CEILING = 0.001, 0.4
+#: Epochs at least; with few rows so many that there are STEPS batches.
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 800, 64, 1.0, 7
+#: Share of right predictions on held-back examples that may fall under the rejecting score.
+LOST = 0.001
 
 _GAP = b"    "
 _FOLD = bytes((b | 32) if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -111,7 +113,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _windows(text: str, salt: int) -> Iterator[bytes]:
-    words = fold(text).split()
+    whole = fold(text)
+    yield whole
+    words = whole.split()
     for k, n in enumerate(WINDOWS):
         start = (salt * (2 * k + 1)) % max(1, len(words) - n + 1)
         yield b" " + b" ".join(words[start : start + n]) + b" "
@@ -128,8 +132,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got = np.concatenate([x[:n] for x in buckets(np.frombuffer(data + _GAP, np.uint8))])
                 langs.append(lang)
                 salts.append(salt)
-                ids.append(got)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(salts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["lang", "salt", "ids"])
+                ids.append(got.astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(salts, pa.int64()), pa.array(ids, pa.binary())], names=["lang", "salt", "ids"])
 
 
 def train(examples: list[tuple[str, int, np.ndarray]]) -> Model:
@@ -144,8 +148,9 @@ def train(examples: list[tuple[str, int, np.ndarray]]) -> Model:
     fit = [e for e in examples if e[1] % 5] or examples
     held = [e for e in examples if not e[1] % 5] or examples
     label = np.array([langs.index(e[0]) for e in fit])
-    total, done = EPOCHS * len(fit), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(fit)))
+    total, done = epochs * len(fit), 0
+    for _ in range(epochs):
         order = rng.permutation(len(fit))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
@@ -171,7 +176,7 @@ def train(examples: list[tuple[str, int, np.ndarray]]) -> Model:
     temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    threshold = min(CEILING, float(np.quantile(right, LOST))) if right.size else 0.0
+    threshold = float(np.quantile(right, LOST)) if right.size else 0.0
     return Model(langs, scores, temperature, threshold)
 
 
@@ -190,8 +195,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     salt = F.abs(F.xxhash64("doc_id") % F.lit(1_000_003))
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int(1_000_003 * min(1.0, each / n))))])
     chosen = labelled.withColumn("salt", salt).filter(F.col("salt") <= share[F.col("lang")])
-    rows = chosen.select("lang", "salt", "text").mapInArrow(_sampled, "lang string, salt long, ids array<int>").toArrow()
-    examples = list(zip(rows["lang"].to_pylist(), rows["salt"].to_pylist(), (np.asarray(x.values) for x in rows["ids"]), strict=True))
+    rows = chosen.select("lang", "salt", "text").mapInArrow(_sampled, "lang string, salt long, ids binary").toArrow()
+    examples = list(zip(rows["lang"].to_pylist(), rows["salt"].to_pylist(), (np.frombuffer(x.as_py(), "<u2") for x in rows["ids"]), strict=True))
     return train(sorted(examples, key=lambda e: (e[1], e[0], e[2].size, e[2].tobytes())))
 
 

@@ -199,6 +199,43 @@ def test_secrets_of_long_texts_take_linear_time(piece):
     assert secrets.scan(f"{deep}.a.b") == []
 
 
+def naive_language(model, text):
+    """Prediction of a text, n-gram by n-gram."""
+    data = b" " + b" ".join(bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()).split()) + b" "
+    padded, total = data + b"    ", np.zeros(len(model.langs))
+    for at in range(len(data)):
+        for n in langid.NGRAMS:
+            h = int.from_bytes(padded[at : at + n], "little") * 2654435761 % 2**32 ^ (n * 0x9E3779B1 & 0xFFFFFFFF)
+            h ^= h >> 15
+            total += model.scores[(h * 0x2C1B3C6D % 2**32) >> (32 - langid.BUCKET_BITS)]
+    z = np.exp(total / (len(langid.NGRAMS) * len(data)) / model.temperature)
+    return z / z.sum()
+
+
+def test_language_of_whole_texts():
+    rng, rnd = np.random.default_rng(4), random.Random(4)
+    model = langid.Model(["aa", "bb", "cc"], rng.normal(size=(1 << langid.BUCKET_BITS, 3)).astype(np.float32), 0.05, 0.5)
+    texts = ["".join(rnd.choice("abc DE é1.\n語") for _ in range(n)) + "x" for n in (1, 5, 80, 3000, 40_000)]
+    langs, score, rejected = model.predict([*texts, None, "", "1 2 3"])
+    for text, lang, p, out in zip(texts, langs, score, rejected, strict=False):
+        want = naive_language(model, text)
+        assert lang == model.langs[int(want.argmax())] and p == pytest.approx(want.max(), abs=1e-5) and out == (want.max() < 0.5)
+    assert langs[5:] == ["und"] * 3 and rejected[5:] == [True] * 3
+
+
+def test_few_rows_are_enough_and_noise_is_rejected(spark):
+    rnd = random.Random(3)
+    makes = {"xx": "the of and ing tion ed re".split(), "yy": "le que ment aux eau ou".split(), "zz": "der ung ein sch über und".split(), "ww": "ska och att det jag".split()}
+    rows = [(k, " ".join("".join(rnd.choices(makes[lang], k=2)) for _ in range(60)), lang) for k in range(160) for lang in [rnd.choice(list(makes))]]
+    noise = [(1000 + k, " ".join("".join(rnd.choice("qjxkvzwpfgh") for _ in range(6)) for _ in range(40)), None) for k in range(40)]
+    df = spark.createDataFrame([*rows, *noise], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    held = [(k, lang) for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert sum(got[k].lang_pred == lang for k, lang in held) >= 0.95 * len(held) and sum(got[k].rejected for k, _, _ in rows) <= 0.02 * len(rows)
+    assert sum(got[k].rejected for k, _, _ in noise) >= 0.8 * len(noise)
+
+
 def test_language_id(spark, none):
     rnd = random.Random(2)
     makes = {"xx": "the of and ing tion ed re".split(), "yy": "le que ment aux eau ou".split(), "zz": "der ung ein sch über und".split()}
