@@ -1,20 +1,21 @@
 """Cross-entropy difference scoring: matched target and background n-gram models over one vocabulary.
 
 Words are lower-cased (A-Z) and parted by ASCII white space. Every word of the corpus is in the vocabulary of both models,
-and every pair of neighbouring words in their counts; both tables grow with the corpus and stay distributed.
+and every pair of neighbouring words in their counts, the first word of a text as one that follows its begin. What is
+gathered grows with the corpus and stays distributed.
 
 1. Words are counted for target and background (map-side combine), and how often each ends a text; what is left is how often
-   it is followed. The ``HOT_WORDS`` most frequent words at most go to all tasks and have small numbers as names; all others are
-   named by 62 bits of a hash.
-2. Pairs (v, w) are counted for both. Pairs that begin with a hot word are dealt out by both words, others by v, so that
-   the pairs of a rare word meet in one task, which sums how often it is followed; those of a hot word are known.
-3. P(w | v) = (c(v, w) + PRIOR * P1(w)) / (c(v) + PRIOR) with P1(w) = (c(w) + 1) / (N + V): both sum to one over the vocabulary,
-   and a word that the model has never seen followed falls back to P1. A pair's loss is log P_background - log P_target.
-4. The ``HOT_PAIRS`` most frequent pairs at most go to all tasks. A text sums their losses where it stands and gives a row for
-   each other pair; these join with the table of losses and are summed by text. The first word counts by P1.
+   it is followed. The ``WORDS`` most frequent ones at most go to all tasks.
+2. P(w | v) = (c(v, w) + PRIOR * P1(w)) / (c(v) + PRIOR), where P1(w) is (c(w) + 1) / (N + V) for the words that all tasks have;
+   the others are one class and share its part evenly. Both models sum to one over the vocabulary, and after a word that a model
+   has never seen followed it falls back to P1. A pair's loss is log P_background - log P_target.
+3. Pairs of the ``DENSE`` most frequent words are counted with map-side combine and go to all tasks, too.
+4. A text sums the losses of these where it stands, and what frequent words give as the first of a pair; for each other pair it gives a
+   row. These are dealt out once, by pair, or by first word where that is rare; so the rows of a pair, and all of a rare
+   first word, meet in one task, are counted there for both models, and their losses summed by text.
 
 The score is the mean loss over the tokens of a text: the lower, the more like the target. What is sent to all tasks has a
-fixed bound (some 13 MB) and only spares a shuffle: results don't depend on it.
+fixed bound (some 5 MB). Pairs are named by 64 bits of hash, words by 62.
 
 Cases: null and blank texts have no tokens and a null score; without target or background rows that model is uniform;
 repeated rows are scored, and counted, each; texts of any length are whole; empty tables give empty results; other columns are ignored.
@@ -27,38 +28,55 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, most_frequent, steps
 from .shingles import mix, word_hashes
 
-HOT_WORDS, HOT_PAIRS = 65_536, 1 << 20
+WORDS, DENSE = 65_536, 512
 #: Weight of the first order: as if each word had been followed so many times more, by words as frequent as they are.
 PRIOR = 4.0
 #: Distinct keys that a task holds before it gives them on.
 HELD = 1_000_000
+#: Rows of pairs in one task, if no pair has more.
+ROWS = 1_500_000
 #: Bytes of text in one step.
 _STEP = 2 << 20
-#: Names of words that are not hot have this bit.
+#: Names of words that all tasks have are numbers by falling frequency, then BEGIN; others have this bit.
 _RARE = 1 << 62
-_COUNTS = "t long, b long, te long, be long"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
-class Hot:
-    """Names of the hot words, sorted (a word's place is its number), and hot pairs of them with their losses."""
+class Models:
+    """First order and contexts of the words that all tasks have (last places: the class of all others, the begin of texts), and pairs of the most frequent."""
 
-    names: np.ndarray
-    first: np.ndarray
-    pairs: np.ndarray
-    loss: np.ndarray
+    names: np.ndarray  # sorted
+    number: np.ndarray  # of each name
+    first: np.ndarray  # (2, n + 1) of target and background: P1
+    followed: np.ndarray  # (2, n + 1): how often a word is followed, texts at last
+    dense: int
+    pairs: np.ndarray  # (2, dense, dense)
+
+    @property
+    def begin(self) -> int:
+        return self.names.size
 
     def numbers(self, names: np.ndarray) -> np.ndarray:
         if not self.names.size:
             return names
         at = np.minimum(np.searchsorted(self.names, names), self.names.size - 1)
-        return np.where(self.names[at] == names, at, names)
+        return np.where(self.names[at] == names, self.number[at], names)
+
+    def context(self, v: np.ndarray) -> np.ndarray:
+        """What words that all tasks have give to the loss as the first of a pair."""
+        return np.log(self.followed[0, v] + PRIOR) - np.log(self.followed[1, v] + PRIOR)
+
+    def pair(self, counts: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What counts (2, n) of pairs with the second words ``w`` (or -1) give to the loss."""
+        p = counts + PRIOR * self.first[:, w]
+        return np.log(p[1]) - np.log(p[0])
 
 
 def names_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,136 +133,164 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _pairs(hot: Hot, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all words of texts, words by text, and which words are followed in their text."""
+def _read(models: Models, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of texts the word before (a number, BEGIN or a name), the word, and the text; and the tokens of each text."""
     names, counts = names_of(texts)
-    followed = np.ones(names.size, bool)
-    followed[_ends(counts)] = False
-    return hot.numbers(names), counts, followed
+    w = models.numbers(names)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[(np.cumsum(counts) - counts)[counts > 0]] = models.begin
+    return v, w, np.repeat(np.arange(counts.size), counts), counts
 
 
-def _pair_counts(sent):
+def _dense_counts(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, tally = sent.value, _Tally(2)
-
-        def rows() -> pa.RecordBatch:
-            keys, counts = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["v", "w", "t", "b"])
-
+        models = sent.value
+        d = models.dense
+        held = np.zeros((2, d * d), np.int64)
         for batch in steps(batches, most=_STEP):
-            words, counts, followed = _pairs(hot, batch.column("text").to_pylist())
-            at = np.flatnonzero(followed)
-            if not at.size:
-                continue
-            v, w = words[at], words[at + 1]
-            target = np.repeat(np.array(batch.column("target").to_pylist(), bool), counts)[at]
-            # One mixed key for both finds equal pairs in a step; only equal pairs are summed by _Tally.
-            _, first, same = np.unique(mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)), return_index=True, return_inverse=True)
-            sides = [np.bincount(same[m], minlength=first.size) for m in (target, ~target)]
-            tally.add(np.stack([v[first], w[first]], 1), np.stack(sides, 1))
-            if tally.held > HELD:
-                yield rows()
-        yield rows()
+            v, w, row, _ = _read(models, batch.column("text").to_pylist())
+            both = (v < d) & (w < d)
+            target = np.array(batch.column("target").to_pylist(), bool)[row[both]]
+            key = v[both] * d + w[both]
+            held += np.stack([np.bincount(key[m], minlength=d * d) for m in (target, ~target)])
+        some = np.flatnonzero(held.any(axis=0))
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(some), "t": pa.array(held[0, some]), "b": pa.array(held[1, some])})
 
     return run
 
 
-def _summed(sent, kind):
-    """For each text a row of its own (tokens, and what hot pairs and the first word sum to), and one for each other pair."""
+def _rows(sent):
+    """For each text a row of its own (tokens, and what it can sum itself), and one for each pair that it can't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = sent.value
+        models = sent.value
+        d = models.dense
         for batch in steps(batches, most=_STEP):
-            words, counts, followed = _pairs(hot, batch.column("text").to_pylist())
-            n, row = batch.num_rows, np.repeat(np.arange(batch.num_rows), counts)
-            at = np.flatnonzero(followed)
-            v, w = words[at], words[at + 1]
-            both = np.where((v | w) < _RARE, v << 16 | w, -1)
-            place = np.minimum(np.searchsorted(hot.pairs, both), max(hot.pairs.size - 1, 0))
-            known = hot.pairs[place] == both if hot.pairs.size else np.zeros(both.size, bool)
-            own = np.bincount(row[at[known]], hot.loss[place[known]], n) if hot.pairs.size else np.zeros(n)
-            begin = (np.cumsum(counts) - counts)[counts > 0]
-            firsts = words[begin]
-            some = np.flatnonzero(counts > 0)
-            begins_hot = firsts < _RARE
-            if hot.first.size:
-                own[some[begins_hot]] += hot.first[firsts[begins_hot]]
-            # A rare first word is a pair of its own, with -1 before it.
-            rest = np.concatenate([row[at[~known]], some[~begins_hot]])
-            v, w = np.concatenate([v[~known], np.full((~begins_hot).sum(), -1)]), np.concatenate([w[~known], firsts[~begins_hot]])
-            order = pa.array(rest)
-            none, empty = pa.nulls(n, pa.int64()), pa.nulls(rest.size, pa.int64())
-            cols = [pa.concat_arrays([batch.column(c), batch.column(c).take(order)]) for c in ("doc_id", "digest")]
-            cols += [pa.concat_arrays([none, pa.array(v)]), pa.concat_arrays([none, pa.array(w)])]
-            cols += [pa.concat_arrays([pa.array(counts), empty]), pa.concat_arrays([pa.array(own.astype(np.float64)), pa.nulls(rest.size, pa.float64())])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "v", "w", "n_tokens", "own"])
+            n = batch.num_rows
+            v, w, row, counts = _read(models, batch.column("text").to_pylist())
+            known = v < _RARE
+            loss = np.zeros(v.size)
+            loss[known] = models.context(v[known])
+            both = (v < d) & (w < d)
+            loss[both] += models.pair(models.pairs[:, v[both], w[both]], w[both])
+            own = np.bincount(row, loss, n)
+            rest = np.flatnonzero(~both)
+            v, w, known, row = v[rest], w[rest], known[rest], row[rest]
+            pair = mix(v.view(np.uint64) * _MIX + mix(w.view(np.uint64))).view(np.int64)
+            nothing = np.zeros(v.size, np.int64)
+            order = pa.array(np.concatenate([np.arange(n), row]))
+            cols = [batch.column(c).take(order) for c in ("doc_id", "digest")]
+            own_part = mix(batch.column("digest").to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
+            cols += [pa.array(np.concatenate([own_part, np.where(known, pair, v)])), pa.array(np.concatenate([np.zeros(n, np.int64), np.where(known, nothing, pair)]))]
+            cols += [pa.array(np.concatenate([np.full(n, -1), np.where(w < _RARE, w, models.begin)]).astype(np.int32))]
+            cols += [pa.array(np.concatenate([np.zeros(n, bool), np.array(batch.column("target").to_pylist(), bool)[row]]))]
+            none = pa.nulls(row.size, pa.int64())
+            cols += [pa.concat_arrays([pa.array(counts), none]), pa.concat_arrays([pa.array(own.astype(np.float64)), pa.nulls(row.size, pa.float64())])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "part", "pair", "w", "target", "n_tokens", "own"])
 
     return run
 
 
-def _p1(count: Column, total: int, vocabulary: int) -> Column:
-    return (count + 1) / F.lit(float(total + vocabulary))
+def losses(part: np.ndarray, pair: np.ndarray, w: np.ndarray, target: np.ndarray, models: Models) -> np.ndarray:
+    """Loss of each row of whole parts: of a known first word (``pair`` is 0) what the pair gives, of a rare one also what that gives itself."""
+    if not part.size:
+        return np.zeros(0)
+    order = np.lexsort((pair, part))
+    p, q, side = part[order], pair[order], target[order].astype(np.int64)
+    new_part = np.append(True, p[1:] != p[:-1])
+    new = new_part | np.append(True, q[1:] != q[:-1])
+
+    def counts(begins: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(begins)
+        size, t = np.diff(np.append(first, p.size)), np.add.reduceat(side, first)
+        return np.repeat(np.stack([t, size - t]), size, axis=1)
 
+    out = models.pair(counts(new), w[order])
+    rare = q != 0
+    followed = counts(new_part)[:, rare]
+    out[rare] += np.log(followed[0] + PRIOR) - np.log(followed[1] + PRIOR)
+    back = np.empty(p.size)
+    back[order] = out
+    return back
 
-def _loss(sides: list[Column]) -> Column:
-    target, background = sides
-    return F.log(background) - F.log(target)
 
+def _by_text(sent):
+    """Sums by text of the rows of one task, in which all rows of a part are."""
 
-def fit(corpus: DataFrame, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> tuple[Hot, DataFrame]:
-    """What goes to all tasks, and (v, w, loss) of every pair and, with v = -1, of every rare word as the first, from (text, target)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        del held
+        own = table["own"].is_valid().to_numpy()
+        rows = table.select(["doc_id", "digest", "n_tokens", "own"]).filter(pa.array(own))
+        yield from rows.append_column("copies", pa.array(np.ones(len(rows), np.int64))).to_batches()
+        some = np.flatnonzero(~own)
+        got = losses(*(table[c].to_numpy()[some] for c in ("part", "pair", "w", "target")), sent.value)
+        named = table.select(["doc_id", "digest"]).take(pa.array(some)).append_column("own", pa.array(got, pa.float64()))
+        del table
+        sums = named.group_by(["doc_id", "digest"], use_threads=False).aggregate([("own", "sum")])
+        nothing = pa.array(np.zeros(len(sums), np.int64))
+        out = pa.table([sums["doc_id"], sums["digest"], nothing, sums["own_sum"], nothing], names=["doc_id", "digest", "n_tokens", "own", "copies"])
+        yield from out.to_batches()
+
+    return run
+
+
+def fit(corpus: DataFrame, words: int = WORDS, dense: int = DENSE) -> tuple[Models, int]:
+    """What goes to all tasks, and how many tokens there are, from (text, target)."""
+    spark = corpus.sparkSession
+    counted = corpus.mapInArrow(_word_counts, "w long, t long, b long, te long, be long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("t", "b", "te", "be")])
+    counted = cut(counted, "words")
+    vocabulary, *sums = (int(x or 0) for x in counted.agg(F.count("*"), *[F.sum(c) for c in ("t", "b", "te", "be")]).first())
+    totals, texts = np.array(sums[:2])[:, None], np.array(sums[2:])[:, None]
+    top = most_frequent(counted, F.col("t") + F.col("b"), words).toArrow()
+    drop(counted)
+    names, (t, b, te, be) = top["w"].to_numpy(), (top[c].to_numpy() for c in ("t", "b", "te", "be"))
+    rank = np.lexsort((names, -(t + b)))
+    number = np.empty(names.size, np.int64)
+    number[rank] = np.arange(names.size)
+    by_name = np.argsort(names)
+    count = np.stack([t, b])[:, rank]
+    # All other words are one class that shares evenly what the frequent ones leave.
+    others = max(vocabulary - names.size, 1)
+    rest = (totals - count.sum(axis=1, keepdims=True) + vocabulary - names.size) / others
+    first = np.concatenate([count + 1, rest], axis=1) / np.maximum(totals + vocabulary, 1)
+    followed = np.concatenate([np.stack([t - te, b - be])[:, rank], texts], axis=1).astype(np.float64)
+    dense = min(dense, names.size)
+    models = Models(names[by_name], number[by_name], first, followed, dense, np.zeros((2, dense, dense)))
+    if dense:
+        sent = spark.sparkContext.broadcast(models)
+        found = corpus.mapInArrow(_dense_counts(sent), "pair long, t long, b long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+        sent.unpersist()
+        models.pairs.reshape(2, -1)[:, found["pair"].to_numpy()] = np.stack([found["t"].to_numpy(), found["b"].to_numpy()])
+    return models, sum(sums[:2])
+
+
+def score(corpus: DataFrame, models: Models, tokens: int) -> DataFrame:
+    """(doc_id, n_tokens, score) of every row of the corpus (doc_id, text, target) that the models were fitted on."""
     spark = corpus.sparkSession
-    words = corpus.mapInArrow(_word_counts, f"w long, {_COUNTS}").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("t", "b", "te", "be")])
-    words = cut(words, "words")
-    vocabulary, *totals = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    p1 = lambda names: [_p1(F.col(c), n, vocabulary) for c, n in zip(names, totals, strict=True)]
-    top = most_frequent(words, F.col("t") + F.col("b"), hot_words).select("w", _loss(p1(["t", "b"])).alias("loss")).toArrow().sort_by("w")
-    hot = Hot(top["w"].to_numpy(), top["loss"].to_numpy(), np.zeros(0, np.int64), np.zeros(0))
-    sent = spark.sparkContext.broadcast(hot)
-    numbers = spark.createDataFrame(pa.table({"w": top["w"], "id": pa.array(np.arange(top.num_rows))}), "w long, id long")
-    frequent = cut(words.join(F.broadcast(numbers), "w").select("id", "t", "b", (F.col("t") - F.col("te")).alias("ft"), (F.col("b") - F.col("be")).alias("fb")), "hot-words")
-    counted = corpus.mapInArrow(_pair_counts(sent), "v long, w long, t long, b long")
-    part = F.when(F.col("v") < _RARE, F.xxhash64("v", "w")).otherwise(F.col("v"))
-    counted = counted.withColumn("part", part).repartition("part").groupBy("part", "v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    mine = Window.partitionBy("part")
-    counted = counted.withColumns({"ct": F.sum("t").over(mine), "cb": F.sum("b").over(mine)})
-    followed = F.broadcast(frequent.select(F.col("id").alias("v"), "ft", "fb"))
-    counted = counted.join(followed, "v", "left").select("v", "w", "t", "b", F.coalesce("ft", "ct").alias("ct"), F.coalesce("fb", "cb").alias("cb"))
-    counted = cut(counted, "pairs")
-    of_hot = counted.filter(F.col("w") < _RARE).join(F.broadcast(frequent.select(F.col("id").alias("w"), F.col("t").alias("wt"), F.col("b").alias("wb"))), "w")
-    of_rare = counted.filter(F.col("w") >= _RARE).join(words.select("w", F.col("t").alias("wt"), F.col("b").alias("wb")), "w")
-    sides = [(F.col(c) + PRIOR * p) / (F.col(n) + PRIOR) for c, p, n in zip(("t", "b"), p1(["wt", "wb"]), ("ct", "cb"), strict=True)]
-    losses = of_hot.unionByName(of_rare).select("v", "w", (F.col("t") + F.col("b")).alias("n"), _loss(sides).alias("loss"))
-    losses = cut(losses.unionByName(words.select(F.lit(-1).cast("long").alias("v"), "w", F.lit(0).cast("long").alias("n"), _loss(p1(["t", "b"])).alias("loss"))), "losses")
-    drop(counted, words, frequent)
-    best = most_frequent(losses.filter((F.col("v") >= 0) & (F.col("v") < _RARE) & (F.col("w") < _RARE)), F.col("n"), hot_pairs)
-    best = best.select((F.shiftleft("v", 16).bitwiseOR(F.col("w"))).alias("pair"), "loss").toArrow().sort_by("pair")
-    sent.unpersist()
-    return Hot(hot.names, hot.first, best["pair"].to_numpy(), best["loss"].to_numpy()), losses
-
-
-def score(docs: DataFrame, hot: Hot, losses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, score) of every row of the corpus that the models were fitted on."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
-    kind = dict(docs.dtypes)[id_col]
-    base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    rows = base.mapInArrow(_summed(sent, kind), f"doc_id {kind}, digest long, v long, w long, n_tokens long, own double")
-    # Rows of texts themselves need no partner, and are dealt out by what they hold.
-    rows = rows.withColumn("v", F.coalesce("v", F.xxhash64("doc_id", "digest"))).withColumn("w", F.coalesce("w", F.lit(-2).cast("long")))
-    joined = rows.join(losses.select("v", "w", "loss"), ["v", "w"], "left")
-    by_text = joined.groupBy("doc_id", "digest").agg(F.max("n_tokens").alias("n_tokens"), F.sum(F.coalesce("own", "loss")).alias("total"), F.count("n_tokens").alias("copies"))
-    value = F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("copies") / F.col("n_tokens"), 9))
-    # Equal rows came in as often as there are of these, and go out so.
-    return by_text.select("doc_id", "n_tokens", value.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_tokens", "score")
-
-
-def score_against(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    sent = spark.sparkContext.broadcast(models)
+    kind = dict(corpus.dtypes)["doc_id"]
+    base = corpus.select("doc_id", F.xxhash64("text").alias("digest"), "text", "target")
+    rows = base.mapInArrow(_rows(sent), f"doc_id {kind}, digest long, part long, pair long, w int, target boolean, n_tokens long, own double")
+    dealt = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // ROWS)), "part")
+    summed = dealt.mapInArrow(_by_text(sent), f"doc_id {kind}, digest long, n_tokens long, own double, copies long")
+    by_text = summed.groupBy("doc_id", "digest").agg(F.sum("n_tokens").alias("tokens"), F.sum("own").alias("total"), F.sum("copies").alias("copies"))
+    # Equal rows came in as often as there are copies, and go out so.
+    value = F.when(F.col("tokens") > 0, F.round(F.col("total") / F.col("tokens"), 9))
+    n_tokens = (F.col("tokens") / F.col("copies")).cast("long")
+    return by_text.select("doc_id", n_tokens.alias("n_tokens"), value.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_tokens", "score")
+
+
+def score_against(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, dense: int = DENSE) -> DataFrame:
     """Scores of ``docs`` where the rows with an id in ``target`` (one column) are the target and all others the background."""
     ids = target.toDF("target_id").filter("target_id is not null").distinct().withColumn("target", F.lit(True))
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # Ids are as many as the labels, so the join is by shuffle at every size, and done once.
-    corpus = base.join(ids.hint("merge"), base.doc_id == ids.target_id, "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    corpus = base.join(ids.hint("merge"), base.doc_id == ids.target_id, "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     corpus = cut(corpus, "corpus")
-    hot, losses = fit(corpus, hot_words, hot_pairs)
-    drop(corpus)
-    return score(docs, hot, losses, id_col, text_col)
+    models, tokens = fit(corpus, words, dense)
+    return score(corpus, models, tokens)

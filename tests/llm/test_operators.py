@@ -254,30 +254,43 @@ def test_language_id(spark, none):
     assert empty.langs == [] and langid.identify(df.limit(3), empty).filter("lang_pred <> 'und'").count() == 0
 
 
-@pytest.mark.parametrize(("hot_words", "hot_pairs"), [(65_536, 1 << 20), (60, 40), (0, 0)])
-def test_lm_scores(spark, docs, none, monkeypatch, hot_words, hot_pairs):
+@pytest.mark.parametrize(("most", "dense"), [(65_536, 512), (60, 9), (0, 0)])
+def test_lm_scores(spark, docs, none, monkeypatch, most, dense):
     monkeypatch.setattr(lm_score, "HELD", 50)
     good = {i for i, _ in ROWS if i % 3 == 0}
     target = spark.createDataFrame([(i,) for i in good] + [(None,), (0,)], "doc_id long")
     again = ROWS[10:16]
-    found = lm_score.score_against(docs.union(docs.filter("doc_id between 10 and 15")), target, hot_words=hot_words, hot_pairs=hot_pairs).collect()
+    found = lm_score.score_against(docs.union(docs.filter("doc_id between 10 and 15")), target, words=most, dense=dense).collect()
     assert Counter(r.doc_id for r in found) == Counter([i for i, _ in ROWS] + [i for i, _ in again])
     texts = [(i, bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()) for i, t in [*ROWS, *again]]
     one, two, followed = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
     for i, t in texts:
         side = int(i not in good)
         one[side].update(t)
-        two[side].update(zip(t, t[1:], strict=False))
-        followed[side].update(t[:-1])
-    vocabulary = len(one[0] | one[1])
-
-    def p(k, before, w, begins):
-        first = (one[k][w] + 1) / (one[k].total() + vocabulary)
-        return first if begins else (two[k][before, w] + lm_score.PRIOR * first) / (followed[k][before] + lm_score.PRIOR)
+        two[side].update(zip([None, *t], t, strict=False))
+        followed[side].update([None, *t][:-1] if t else [])
+    whole = one[0] + one[1]
+    bars, total, low = Counter(n if n < 1024 else 1024 + int(np.log(n) * 256) for n in whole.values()), 0, None
+    for bar in sorted(bars, reverse=True):
+        total += bars[bar]
+        if total > most:
+            break
+        low = bar
+    known = {w for w, n in whole.items() if low is not None and n >= low}
+
+    def first(k, w):
+        if w in known:
+            return (one[k][w] + 1) / (one[k].total() + len(whole))
+        return sum(one[k][x] + 1 for x in whole if x not in known) / (len(whole) - len(known)) / (one[k].total() + len(whole))
+
+    rest = [first(k, next((w for w in whole if w not in known), "")) if len(known) < len(whole) else 0 for k in range(2)]
+
+    def p(k, before, w):
+        return (two[k][before, w] + lm_score.PRIOR * (first(k, w) if w in known else rest[k])) / (followed[k][before] + lm_score.PRIOR)
 
     before = texts[12][1][3]
     for k in range(2):
-        assert sum(p(k, before, w, False) for w in one[0] | one[1]) == pytest.approx(1)
+        assert sum(p(k, before, w) for w in whole) == pytest.approx(1)
     by = dict(texts)
     for r in found:
         t = by[r.doc_id]
@@ -285,7 +298,7 @@ def test_lm_scores(spark, docs, none, monkeypatch, hot_words, hot_pairs):
         if not t:
             assert r.score is None
             continue
-        loss = [np.log(p(1, t[k - 1], w, k == 0)) - np.log(p(0, t[k - 1], w, k == 0)) for k, w in enumerate(t)]
+        loss = [np.log(p(1, v, w)) - np.log(p(0, v, w)) for v, w in zip([None, *t], t, strict=False)]
         assert r.score == pytest.approx(np.mean(loss), abs=1e-8)
     assert lm_score.score_against(none, target).count() == 0
     assert lm_score.score_against(docs, target.limit(0)).count() == len(ROWS)
