@@ -6,18 +6,18 @@ documents into buckets; at the similarity of 0.75 a pair shares fewer than two o
 32 bands in 8 of 100,000 cases, at 0.8 in one of a million. Documents with equal shingle sets are one class before.
 
 Buckets are resolved without the pairs of their documents: in a round each
-bucket names its largest components as pivots, the other components of the
-bucket are compared with them on full shingle sets, and links unite components.
-Single documents are compared by sketches of 512 values inside the join of
-bucket mates, and only pairs that may be linked come out of it; in the last
-round two that share one band only do not, either. A bucket ends when every two
+bucket names its largest component as the pivot, later some others as well, the other components of the
+bucket are compared with them on full shingle sets, and links unite components; in the last round all that are
+left are compared. Single documents are compared by sketches of 512 values inside the join of
+bucket mates, and only pairs that may be linked come out of it. A bucket ends when every two
 of its components have been compared, so no other link between mates is lost. Large
 pivots and their partners are cut into blocks of bounded size.
 
 Cases: null, empty or blank texts have no shingles and stand alone; texts with
 fewer words than a shingle have one; repeated rows get equal results; rows
 with one id and several texts count as one document with all their links; null
-ids stay apart from links of their own and are kept only without a twin; empty
+ids stay apart from links of their own and are kept only without a twin; ids that are
+no whole numbers are compared as they are for the smallest of a component; empty
 tables give empty results; other columns are ignored.
 """
 
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, only, steps
-from .components import merge
+from .components import lookup, merge
 from .shingles import mix, shingle_sets
 
 WIDTH = 5
@@ -167,6 +167,8 @@ def _links(pairs: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        return _by_other_ids(docs, id_col, text_col)
     base = only(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = cut(base.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -186,31 +188,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sized = labels.groupBy("comp").agg(F.count("*").alias("size"))
         held = slots.join(labels, "node").select("bucket", "comp").distinct().join(sized, "comp")
         held = held.join(done, ["bucket", "comp", "size"], "left_anti")
-        many = held.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        ranked = held.join(many, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), F.desc("comp"))))
-        ranked = cut(ranked, "ranked")
-        left = ranked.agg(F.sum("rank") - F.count("*")).first()[0]
+        held = cut(held, "held")
+        many = held.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("size", "comp")).alias("top")).filter("k > 1")
+        many = cut(many.withColumn("n", F.col("k")), "many")
+        left = many.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
         if not left:
-            drop(ranked)
+            drop(held, many)
             break
+        ranked = cut(lookup(held, many, ["bucket"], "n"), "ranked")
         last = turn >= PIVOT_TURNS and left <= PAIRS_PER_SLOT * all_slots
-        pivots = ranked if last else ranked.filter(F.col("rank") <= 4 ** max(0, turn + 1 - PIVOT_TURNS))
-        pivots = pivots.select("bucket", F.col("comp").alias("c1"), F.col("size").alias("s1"), F.col("rank").alias("r1"))
+        more = 4 ** max(0, turn + 1 - PIVOT_TURNS)
+        pivots = ranked
+        if not last:
+            chosen = F.col("comp") == F.col("top.comp")
+            pivots = ranked.filter(chosen | (F.pmod(F.xxhash64(F.lit(turn), "comp"), "k") < more) if more > 1 else chosen)
+        pivots = pivots.select("bucket", F.col("comp").alias("c1"), F.col("size").alias("s1"))
         named = lambda c, x: one_text.select(F.col("node").alias(c), F.col("sketch").alias(x))
-        met = pivots.join(named("c1", "x"), "c1", "left").join(ranked.join(named("comp", "y"), "comp", "left"), "bucket")
-        met = met.filter((F.col("r1") < F.col("rank")) & ((F.col("s1") > 1) | (F.col("size") > 1) | F.col("x").isNull() | F.col("y").isNull() | (_agree("x", "y") >= AGREE)))
-        pairs = met.groupBy("c1", F.col("comp").alias("c2")).agg(F.count("*").alias("shared"), F.max(F.col("s1") + F.col("size")).alias("members"))
-        if last:  # two documents that share one band alone are not alike enough but for 8 pairs of 100,000 at the threshold
-            pairs = pairs.filter("members > 2 or shared > 1")
+        if last or more > 1:
+            met = ranked.select("bucket", "comp", "size").join(pivots, "bucket")
+        else:  # the one pivot of a bucket stands in each of its rows
+            met = ranked.select("bucket", "comp", "size", F.col("top.comp").alias("c1"), F.col("top.size").alias("s1"))
+        # Of two pivots the larger is compared with the other.
+        both = F.struct("s1", "c1") > F.struct("size", "comp") if last else F.col("c1") != F.col("comp")
+        met = met.filter(both).join(named("c1", "x"), "c1", "left").join(named("comp", "y"), "comp", "left")
+        met = met.filter((F.col("s1") > 1) | (F.col("size") > 1) | F.col("x").isNull() | F.col("y").isNull() | (_agree("x", "y") >= AGREE))
+        pairs = met.select("c1", F.col("comp").alias("c2")).distinct()
         pairs = cut(pairs.select("c1", "c2"), "pairs")
         links = cut(_links(pairs, labels, texts), "links")
         if not links.isEmpty():
             labels = cut(merge(labels, links), "labels")
         if last:
-            drop(texts, slots, ranked, pairs, links, sketches)
+            drop(texts, slots, held, many, ranked, pairs, links, sketches)
             break
         done = cut(done.union(pivots.select("bucket", F.col("c1").alias("comp"), F.col("s1").alias("size"))), "done")
-        drop(ranked, pairs, links)
+        drop(held, many, ranked, pairs, links)
     known = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     found = signed.select("doc_id", "n_shingles", "digest").join(known.select("digest", "rep", "comp"), "digest", "left")
     found = found.withColumn("component_id", F.coalesce("comp", "rep", "doc_id"))
@@ -218,7 +229,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def _by_other_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates of ids that are no whole numbers: by their hashes, with the smallest id of each component as its name."""
+    named = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[id_col]).alias("hash"), docs[text_col].alias("text"))
+    found = cut(near_duplicates(named.withColumn("hash", F.when(F.col("doc_id").isNotNull(), F.col("hash"))), "hash", "text"), "by-hash")
+    ids = named.filter("doc_id is not null").select("hash", "doc_id").distinct()
+    of = found.select(F.col("doc_id").alias("hash"), "component_id").distinct().join(ids, "hash")
+    least = of.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    out = found.join(ids, found.doc_id == ids.hash, "left").select(ids.doc_id, "n_shingles", "component_id").join(least, "component_id", "left")
+    kept = F.coalesce(F.col("doc_id") == F.col("least"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), kept.alias("kept"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, all columns as they are."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of ``docs`` for each component, all columns as they are.
+
+    Of rows that repeat id and text any one stays; of an id with several texts one text, by its hash; rows without an id stay
+    if their text, up to shingles, has no row with an id, and then one of those with that text.
+    """
+    text = docs.withColumn("_text", F.xxhash64(docs.text.cast("string")))
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    first = text.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_text")).join(kept, "doc_id")
+    named = text.filter("doc_id is not null").join(first, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return named.select(*docs.columns)
+    # Texts without ids as documents of their own, named by a hash, after all that have one.
+    some = docs.filter("doc_id is not null").select(F.lit("0").alias("doc_id"), "text")
+    lonely = text.filter("doc_id is null").select(F.concat(F.lit("1"), F.col("_text")).alias("doc_id"), "text")
+    stay = near_duplicates(some.union(lonely)).filter("kept and doc_id <> '0'").select(F.substring("doc_id", 2, 20).cast("long").alias("_text")).distinct()
+    stay = text.filter("doc_id is null").join(stay, "_text", "left_semi").dropDuplicates(["_text"])
+    return named.select(*docs.columns).unionByName(stay.select(*docs.columns))
