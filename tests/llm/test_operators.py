@@ -479,13 +479,13 @@ def test_line_recall(spark):
 ITEMS = [(k, " ".join((ROWS[9 + 5 * k][1] or "").split()[20:60])) for k in range(3)] + [(10, "Tiny item"), (11, ""), (12, None), (13, "a b c d")]
 
 
-def hits_by_force():
+def hits_by_force(width=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     wins = defaultdict(set)
     for k, t in ITEMS:
         w = find(t)
-        for p in range(max(1, len(w) - 9) if w else 0):
-            wins[tuple(w[p : p + 10])].add(k)
+        for p in range(max(1, len(w) - width + 1) if w else 0):
+            wins[tuple(w[p : p + width])].add(k)
     out = {}
     for i, t in ROWS:
         w, hit, items = find(t), set(), set()
@@ -498,13 +498,16 @@ def hits_by_force():
     return out
 
 
-@pytest.mark.parametrize("sent", [200_000, 0])
-def test_decontamination(spark, docs, none, sent):
+@pytest.mark.parametrize("sent", [40 << 20, 0])
+def test_decontamination(spark, docs, none, monkeypatch, sent):
+    monkeypatch.setattr(decontam, "SHARE", 60)
     items = spark.createDataFrame([(k, t, "x", 1) for k, t in ITEMS], "item_id long, text string, word string, len int")
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.contamination(docs, items, sent=sent).collect()}
     want = hits_by_force()
     assert got == want and any(v[1] for v in want.values())
     assert {r.doc_id for r in decontam.keep_clean(docs, items).collect()} == {i for i, v in want.items() if not v[1]}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.contamination(docs, items, width=17, sent=sent).collect()}
+    assert got == hits_by_force(17)
     assert decontam.contamination(none, items).count() == 0 and decontam.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
