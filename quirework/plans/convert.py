@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,10 @@ def route_warnings(route: catalog.Route) -> list[tuple[str, str, str]]:
     return [*out, *([_NOTE[route.route_class]] if route.route_class in _NOTE else [])]
 
 
-def convert(docs: DataFrame, source: str, target: str, content: str = "content", id_col: str = "doc_id", title: str | None = None) -> DataFrame:
+def convert(docs: DataFrame, source: str, target: str, content: str = "content", id_col: str = "doc_id", title: str | None = None, max_input_bytes: int | None = None) -> DataFrame:
     """(doc_id, format, data, title, temperature, route_class, warnings, error, quality, conversion) of every document.
 
-    A pair outside the matrix gives rows with the error UNSUPPORTED_CONVERSION_PATH, content beyond its format's budget
+    A pair outside the matrix gives rows with the error UNSUPPORTED_CONVERSION_PATH, content beyond its format's budget (or ``max_input_bytes``)
     INPUT_BUDGET_EXCEEDED, unreadable content the reader's error; none of them fails the job.
     """
     source, target = catalog.normalize(source), catalog.normalize(target)
@@ -36,7 +39,7 @@ def convert(docs: DataFrame, source: str, target: str, content: str = "content",
         code = "UNSUPPORTED_CONVERSION_PATH" if known and known.writable else "UNSUPPORTED_OUTPUT_FORMAT"
         none = F.lit(None).cast("string")
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(target).alias("format"), none.alias("data"), none.alias("title"), none.alias("temperature"), none.alias("route_class"), F.array().cast(f"array<{WARNING_DDL}>").alias("warnings"), error("validate", code, f"{source} to {target}").alias("error"), F.lit(None).cast(audit.QUALITY_DDL).alias("quality"), F.lit(None).cast("struct<reader:string,writer:string,schema_version:string,models:array<string>,executed:array<string>>").alias("conversion"))
-    limit = catalog.FORMATS[source].max_input_bytes
+    limit = max_input_bytes or catalog.FORMATS[source].max_input_bytes
     notes = [{"severity": s, "code": c, "message": x} for s, c, x in route_warnings(route)]
     reader, writer = readers.READERS[source], readers.WRITERS[target]
     binary = target in readers.writers.BINARY_WRITERS
@@ -57,8 +60,8 @@ def convert(docs: DataFrame, source: str, target: str, content: str = "content",
         return writer(title, blocks), title, warnings, None, audit.quality_of(blocks, warnings)
 
     def run(batches):
-        import pyarrow as pa
-
+        # Blocks are many small objects without cycles, which the collector would walk again and again.
+        gc.disable()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -66,6 +69,7 @@ def convert(docs: DataFrame, source: str, target: str, content: str = "content",
                 data, titles, warnings, errors, quality = zip(*rows, strict=True)
                 cols = [part.column("doc_id"), pa.array(data, pa.binary() if binary else pa.string()), pa.array(titles, pa.string()), pa.array(warnings, pa.list_(readers.m.WARNING)), pa.array(errors, readers._ERROR), pa.array(quality, audit.QUALITY)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "data", "title", "warnings", "error", "quality"])
+        gc.enable()
 
     done = base.mapInArrow(run, f"doc_id {kind}, data {'binary' if binary else 'string'}, title string, warnings array<{WARNING_DDL}>, error {readers.ERROR}, quality {audit.QUALITY_DDL}")
     made = F.struct(F.lit(source).alias("reader"), F.lit(target).alias("writer"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.array(*map(F.lit, route.models)).alias("models"), F.array(*[F.lit(m.name) for m in route.executed]).cast("array<string>").alias("executed"))

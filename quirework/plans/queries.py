@@ -590,10 +590,10 @@ def read_html_blocks(spark, d):
     return readers.blocks_of(docs).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT event_id AS doc_id, array_to_string(json_keys(props), '|') AS headers, array_to_string(list_transform(json_keys(props), lambda k: json_extract_string(props, '$."' || k || '"')), '|') AS cells FROM events""")
 def read_json_tables(spark, d):
     docs = readers.read(_t(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("["), "props", F.lit("]")).alias("content")), "json")
-    return readers.blocks_of(docs).select("doc_id", "headers", "rows")
+    return readers.blocks_of(docs).select("doc_id", F.array_join("headers", "|").alias("headers"), F.array_join(F.get("rows", F.lit(0)), "|").alias("cells"))
 
 
 @query()
@@ -627,11 +627,83 @@ def _conversion(source: str, target: str) -> Query:
     return run
 
 
+_ORDER_ROWS = """(SELECT o_custkey AS doc_id, count(*) AS n, string_agg({row}, {between} ORDER BY o_orderkey) AS body FROM orders GROUP BY o_custkey)"""
+_DIGEST = "SELECT doc_id, '{fmt}' AS format, md5(data) AS data_md5, strlen(data)::INTEGER AS n_bytes, {notes}::INTEGER AS n_warnings, NULL::VARCHAR AS error_code FROM ({data})"
+#: What the writers make of tables of orders and of JSON objects, for the conversions that SQL can follow.
+_CONVERTED = {
+    "convert_csv_to_md": _DIGEST.format(fmt="md", notes=2, data="SELECT doc_id, '| key | status | priority |' || chr(10) || '| --- | --- | --- |' || chr(10) || body || chr(10) AS data FROM " + _ORDER_ROWS.format(row="'| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |'", between="chr(10)")),
+    "convert_csv_to_html": _DIGEST.format(fmt="html", notes=2, data="""SELECT doc_id, array_to_string(['<!doctype html>', '<html>', '<head>', '<meta charset="utf-8" />', '<title>document</title>', '</head>', '<body>', '<table>', '  <thead>',
+ '    <tr><th>key</th><th>status</th><th>priority</th></tr>', '  </thead>', '  <tbody>', body, '  </tbody>', '</table>', '</body>', '</html>', ''], chr(10)) AS data FROM """ + _ORDER_ROWS.format(row="'    <tr><td>' || o_orderkey || '</td><td>' || o_orderstatus || '</td><td>' || o_orderpriority || '</td></tr>'", between="chr(10)")),
+    "convert_csv_to_json": _DIGEST.format(fmt="json", notes=2, data=r"""SELECT doc_id, array_to_string(['{', '  "schemaVersion": "1.0.0",', '  "title": "document",', '  "sourceFormat": "",', '  "blocks": [', '    {', '      "type": "table",', '      "headers": [', '        "key",', '        "status",', '        "priority"', '      ],', '      "rows": [',
+ b, '      ],', '      "alignments": []', '    }', '  ],', '  "plainText": "key\\tstatus\\tpriority\\n' || p || '",', '  "markdown": "| key | status | priority |\\n| --- | --- | --- |\\n' || m || '\\n"', '}', ''], chr(10)) AS data FROM (SELECT o_custkey AS doc_id,
+ string_agg('        [' || chr(10) || '          "' || o_orderkey || '",' || chr(10) || '          "' || o_orderstatus || '",' || chr(10) || '          "' || o_orderpriority || '"' || chr(10) || '        ]', ',' || chr(10) ORDER BY o_orderkey) AS b,
+ string_agg(o_orderkey || '\\t' || o_orderstatus || '\\t' || o_orderpriority, '\\n' ORDER BY o_orderkey) AS p, string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |', '\\n' ORDER BY o_orderkey) AS m FROM orders GROUP BY o_custkey)""".replace("\\\\", "\\")),
+}
+_PRETTY = """(SELECT event_id AS doc_id, '{' || chr(10) || array_to_string(list_transform(json_keys(props), lambda k: '  "' || k || '": ' || json_extract(props, '$."' || k || '"')::VARCHAR), ',' || chr(10)) || chr(10) || '}' AS body FROM events)"""
+_CONVERTED |= {
+    "convert_json_to_md": _DIGEST.format(fmt="md", notes=0, data="SELECT doc_id, '# JSON Document' || chr(10) || chr(10) || '```json' || chr(10) || body || chr(10) || '```' || chr(10) AS data FROM " + _PRETTY),
+    "convert_json_to_csv": _DIGEST.format(fmt="csv", notes=0, data="SELECT doc_id, 'Text' || chr(10) || 'JSON Document' || chr(10) || '\"' || replace(body, '\"', '\"\"') || '\"' || chr(10) AS data FROM " + _PRETTY),
+    "convert_json_to_xml": _DIGEST.format(fmt="xml", notes=0, data="""SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<document title="document">' || chr(10) || '  <heading level="1">JSON Document</heading>' || chr(10) || '  <code language="json"><![CDATA[' || body || ']]></code>' || chr(10) || '</document>' || chr(10) AS data FROM """ + _PRETTY),
+}
+
 for _s, _to in {"md": ("txt", "json", "csv", "xml", "docx", "xlsx", "pdf", "epub", "pptx", "webp"), "html": ("md", "txt", "json"), "csv": ("md", "html", "json", "xlsx"), "json": ("md", "csv", "xml"), "txt": ("md", "html")}.items():
     for _x in _to:
         QUERIES[f"convert_{_s}_to_{_x}"] = _conversion(_s, _x)
 
 
+ORACLE_SQL |= _CONVERTED
+
+
+def _talks(spark, d) -> DataFrame:
+    """Each conversation as one text, a paragraph a turn."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text)
+    return _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(turns, "\n\n").alias("content"))
+
+
+_TALKS = f"""SELECT doc_id, {_PARAGRAPHS} AS ps FROM (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)"""
+
+
+def _paragraphs_through(fmt: str) -> Query:
+    """Texts written in a format and read back: their paragraphs, or the rows of the table that stands for them."""
+
+    def run(spark, d):
+        blocks = readers.blocks_of(convert.read_back(readers.read(_talks(spark, d), "txt"), fmt))
+        if fmt in ("csv", "xlsx"):
+            rows = blocks.filter("type = 'table'").select("doc_id", F.posexplode("rows").alias("at", "r"))
+            rows = rows.select("doc_id", "at", F.get("r", F.lit(0)).alias("text"))
+        else:
+            rows = blocks.filter("type = 'paragraph'").select("doc_id", F.col("block_idx").alias("at"), "text")
+        paged = fmt == "pdf"  # a paragraph that goes on on the next page comes back as two
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x.text), " " if paged else "\n")
+        return rows.groupBy("doc_id").agg(*([] if paged else [F.count("*").alias("n")]), F.md5(text).alias("text_md5"))
+
+    return run
+
+
+for _x in ("md", "html", "txt", "json", "xml", "csv", "docx", "xlsx", "epub", "pptx", "pdf"):
+    QUERIES[f"paragraphs_through_{_x}"] = _paragraphs_through(_x)
+    _what = "md5(array_to_string(ps, ' '))" if _x == "pdf" else "len(ps)::BIGINT AS n, md5(array_to_string(ps, chr(10)))"
+    ORACLE_SQL[f"paragraphs_through_{_x}"] = f"SELECT doc_id, {_what} AS text_md5 FROM ({_TALKS}) WHERE len(ps) > 0"
+
+
+def _tables_through(fmt: str) -> Query:
+    """Tables written in a format and read back, cell by cell."""
+
+    def run(spark, d):
+        lines = _t(spark, d, "orders").withColumn("line", tables.csv_line(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")))
+        text = F.concat(F.lit("key,status,more\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x.line), "\n"))
+        docs = lines.groupBy(F.col("o_custkey").alias("doc_id")).agg(text.alias("content"))
+        blocks = readers.blocks_of(convert.read_back(readers.read(docs, "csv"), fmt)).filter("type = 'table'")
+        return blocks.select("doc_id", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n")).alias("rows_md5"))
+
+    return run
+
+
+for _x in ("md", "html", "json", "csv", "docx", "xlsx", "epub"):
+    QUERIES[f"tables_through_{_x}"] = _tables_through(_x)
+    ORACLE_SQL[f"tables_through_{_x}"] = "SELECT o_custkey AS doc_id, 'key|status|more' AS headers, count(*)::INTEGER AS n, md5(string_agg(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey)) AS rows_md5 FROM orders GROUP BY o_custkey"
+
+
 def _trip(fmt: str) -> Query:
     def run(spark, d):
         return convert.round_trip(readers.read(_t(spark, d, "pages"), "html", "html", "page_id"), fmt)
