@@ -42,7 +42,7 @@ WORDS = 32
 #: A line's mark: how many windows it has, how many bits are set, the bits.
 MARKS = ["windows", "ones", *[f"b{word}" for word in range(WORDS)]]
 #: Rounds with pivots at most; fewer if the pairs of lines left are at most so many for each place in a bucket.
-PIVOT_TURNS, PAIRS_PER_SLOT = 4, 16
+PIVOT_TURNS, PAIRS_PER_SLOT = 4, 64
 #: Members of a bucket in a block of the last round.
 BLOCK = 512
 #: Shingles in one row of the signature's aggregation.
@@ -120,13 +120,17 @@ def _marked(lines: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(*words).withColumn("ones", ones)
 
 
+def _shared(x: str, y: str) -> Column:
+    return functools.reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}b{k}").bitwiseAND(F.col(f"{y}b{k}"))) for k in range(WORDS)])
+
+
 def _may_link(x: str, y: str) -> Column:
     """A bound that holds for every linked pair; its lines' marks have the prefixes ``x`` and ``y``.
 
     A bit of one line alone is a shingle of that line alone. So of a line's windows at most those less such bits are common;
     what is common must be LINK / (100 - LINK) times what is not.
     """
-    shared = functools.reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}b{k}").bitwiseAND(F.col(f"{y}b{k}"))) for k in range(WORDS)])
+    shared = _shared(x, y)
     alone = F.col(f"{x}ones") + F.col(f"{y}ones") - 2 * shared
     common = F.least(F.col(f"{x}windows") - F.col(f"{x}ones"), F.col(f"{y}windows") - F.col(f"{y}ones")) + shared
     return (100 - LINK) * common >= LINK * alone
@@ -179,13 +183,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _met(held: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs of all lines of a bucket that are in different components and may be linked."""
+    """(a, b, ca, cb, alike): pairs of all lines of a bucket that are in different components and may be linked."""
     held = held.select("bucket", "id", "comp", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")).join(marks, "id")
     own, others = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     x = held.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), own.alias("i"), others.alias("j"), *_as("x_"))
     y = held.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), own.alias("j"), others.alias("i"), *_as("y_"))
     # The condition is part of the join, so only pairs that may be linked come out of it.
-    return x.join(y, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("x_", "y_")).select("a", "b")
+    met = x.join(y, ["bucket", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("x_", "y_"))
+    return met.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), (_shared("x_", "y_") / (F.col("x_ones") + F.col("y_ones"))).alias("alike")).distinct()
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
+    """``labels`` with what the confirmed ones of ``pairs``, a table that goes unless ``keep``, unite."""
+    found = _confirmed(pairs, texts)
+    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    out = cut(merge(labels.union(nodes.select("node", F.col("node").alias("comp"))), found), "line-labels")
+    drop(found, *([] if keep else [pairs]))
+    return out
 
 
 def components(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -207,17 +221,20 @@ def components(docs: DataFrame, lines: DataFrame) -> DataFrame:
             break
         last = turn and left <= PAIRS_PER_SLOT * all_slots or turn >= PIVOT_TURNS
         mixed = lookup(held, apart, ["bucket"], "n")
-        if last:
-            pairs = _met(mixed, texts.select("id", *MARKS))
-        else:
+        if not last:
             pairs = mixed.select("id", "comp", F.explode(F.array("low", "high")).alias("end")).filter("end.comp <> comp").select(F.col("end.id").alias("a"), F.col("id").alias("b"))
-        pairs = cut(pairs.distinct(), "line-pairs")
-        found = _confirmed(pairs, texts)
-        nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-        labels = cut(merge(labels.union(nodes.select("node", F.col("node").alias("comp"))), found), "line-labels")
-        drop(held, apart, pairs, found)
-        if last:
-            break
+            labels = _linked(cut(pairs.distinct(), "line-pairs"), texts, labels)
+            drop(held, apart)
+            continue
+        met = cut(_met(mixed, texts.select("id", *MARKS)), "line-met")
+        # Of two components the two lines that are most alike come first: where these are linked, the others needn't be compared.
+        best = cut(met.groupBy("ca", "cb").agg(F.max(F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b"), "line-best")
+        labels = _linked(best, texts, labels, keep=True)
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+        rest = met.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b"))
+        labels = _linked(cut(rest.select("a", "b").join(best, ["a", "b"], "left_anti"), "line-rest"), texts, labels)
+        drop(held, apart, met, best)
+        break
     drop(members, texts)
     return labels
 
