@@ -122,6 +122,29 @@ def resize_nearest(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return image[ys][:, xs]
 
 
+def crop(image: np.ndarray, x: float, y: float, w: float, h: float) -> np.ndarray:
+    """The part of an image inside a box, which may reach beyond its edges; at least one pixel."""
+    left, top = min(max(int(round(x)), 0), image.shape[1] - 1), min(max(int(round(y)), 0), image.shape[0] - 1)
+    right, bottom = max(left + 1, int(round(x + w))), max(top + 1, int(round(y + h)))
+    return image[top:bottom, left:right]
+
+
+def rotate(image: np.ndarray, degrees: float, background: int = 255) -> np.ndarray:
+    """An image turned counterclockwise about its middle on a canvas that holds all of it; pixels are taken from the nearest place."""
+    turn = np.deg2rad(degrees)
+    c, s = np.cos(turn), np.sin(turn)
+    h, w = image.shape[:2]
+    width, height = int(np.ceil(abs(w * c) + abs(h * s) - 1e-9)), int(np.ceil(abs(w * s) + abs(h * c) - 1e-9))
+    y, x = np.mgrid[:height, :width]
+    dx, dy = x - (width - 1) / 2, y - (height - 1) / 2
+    from_x = np.rint(dx * c - dy * s + (w - 1) / 2).astype(int)
+    from_y = np.rint(dx * s + dy * c + (h - 1) / 2).astype(int)
+    inside = (from_x >= 0) & (from_x < w) & (from_y >= 0) & (from_y < h)
+    out = np.full((height, width, *image.shape[2:]), background, image.dtype)
+    out[inside] = image[from_y[inside], from_x[inside]]
+    return out
+
+
 def normalise(image: np.ndarray, mean=(0.485, 0.456, 0.406), std=(0.229, 0.224, 0.225)) -> np.ndarray:
     """Channels first, scaled as detection models want them."""
     return ((image[..., :3] / 255.0 - mean) / std).transpose(2, 0, 1).astype(np.float32)

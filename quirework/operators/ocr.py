@@ -58,6 +58,66 @@ def choose() -> Engine | None:
     return max(good, key=lambda x: x[:2])[2] if good else None
 
 
+#: Models that a Python worker has loaded, by name and options; each is made once a worker, whatever the number of pages.
+SESSIONS: dict[tuple, object] = {}
+
+
+def session(make: Callable[[], object], *key) -> object:
+    """What ``make`` gives for ``key``, made once a worker."""
+    if key not in SESSIONS:
+        SESSIONS[key] = make()
+    return SESSIONS[key]
+
+
+@dataclass(frozen=True)
+class Rasteriser:
+    """Something that draws the pages of a file: bytes and dots an inch -> gray images; and tells how many there are."""
+
+    draw: Callable[[bytes, int], list[np.ndarray]]
+    count: Callable[[bytes], int]
+
+
+#: Fixed value: dots an inch at which pages are drawn.
+DPI = 200
+
+
+def page_images(docs: DataFrame, rasteriser: Rasteriser | None, most: int | None = None, dpi: int = DPI) -> DataFrame:
+    """(doc_id, page, pixels, width, height, language, n_pages, warning) of files (doc_id, content, language), page by page.
+
+    Without a rasteriser a file is one row with the warning OCR_RASTERIZER_UNAVAILABLE, one that can't be drawn is one with
+    OCR_RASTERIZE_FAILED. ``most`` bounds the pages of a file that are drawn, as a caller may ask; the row of the last has then
+    the warning OCR_PAGES_TRUNCATED.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def pages_of(data: bytes | None) -> list[tuple]:
+        if rasteriser is None:
+            return [(None, None, None, None, 0, "OCR_RASTERIZER_UNAVAILABLE")]
+        try:
+            total, drawn = rasteriser.count(bytes(data or b"")), rasteriser.draw(bytes(data or b""), dpi)
+        except (ValueError, TypeError, RuntimeError, OSError):
+            return [(None, None, None, None, 0, "OCR_RASTERIZE_FAILED")]
+        kept = drawn[:most]
+        last = "OCR_PAGES_TRUNCATED" if len(kept) < len(drawn) else None
+        return [(k, np.ascontiguousarray(p, np.uint8).tobytes(), p.shape[1], p.shape[0], total, last if k + 1 == len(kept) else None) for k, p in enumerate(kept)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # the pages of one file at a time
+                rows = pages_of(batch.column("content")[at].as_py())
+                place = pa.array([at] * len(rows), pa.int64())
+                values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)] if rows else []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(place), *values[:4], batch.column("language").take(place), *values[4:]], names=["doc_id", "page", "pixels", "width", "height", "language", "n_pages", "warning"])
+
+    return docs.select("doc_id", "content", "language").mapInArrow(run, f"doc_id {kind}, page int, pixels binary, width int, height int, language string, n_pages int, warning string")
+
+
+def review_tasks(done, *tasks: str):
+    """An array column of tasks with more of them, each once, in the order in which they came."""
+    return F.array_union(F.coalesce(done, F.array().cast("array<string>")), F.array(*map(F.lit, tasks)))
+
+
 _LINE = pa.struct([("text", pa.string()), ("confidence", pa.float64()), *((k, pa.float64()) for k in "xywh"), ("orientation", pa.string())])
 
 

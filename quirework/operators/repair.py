@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import model as m
 from ..plans import catalog
 
 #: Least confidence of a repair, that of a safer target, and pairs that can be read back.
@@ -12,6 +18,8 @@ LEAST, SAFER = 0.6, 0.8
 READ_BACK = ("md", "html", "txt", "json", "csv", "xml", "docx", "xlsx", "epub")
 ACTIONS = ("replaceTextRun", "selectFallbackRoute", "adjustHeading", "mergeTable", "reorderBlocks", "retryOcr", "replaceAsset")
 HANDLED = ACTIONS[:2]
+#: Fixed value: the field by which a block of each kind is read.
+FIELD_OF = {"heading": "text", "paragraph": "text", "quote": "text", "code": "code", "raw": "content", "image": "alt", "asset": "alt"}
 
 
 def propose(conversions: DataFrame, warnings: DataFrame) -> DataFrame:
@@ -37,6 +45,100 @@ def accepted() -> Column:
     return (F.col("confidence") >= LEAST) & F.col("action").isin(*HANDLED)
 
 
+#: Proposals by plug-ins: (conversions, warnings) -> rows as those of ``propose``; one that fails proposes nothing.
+VALIDATORS: list[Callable[[DataFrame, DataFrame], DataFrame]] = []
+#: What an action does: (blocks of one document, action) -> (blocks, note), or None for the blocks if it can't.
+HANDLERS: dict[str, Callable[[list[dict], dict], tuple[list[dict] | None, str]]] = {}
+
+
+def register_validator(propose_more: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    VALIDATORS.append(propose_more)
+
+
+def register_handler(action: str, handle: Callable[[list[dict], dict], tuple[list[dict] | None, str]]) -> None:
+    if not action:
+        raise ValueError("an action needs a name")
+    HANDLERS[action] = handle
+
+
+def replace_run(blocks: list[dict], action: dict) -> tuple[list[dict] | None, str]:
+    """``before`` becomes ``after`` in the field that the action names, an item as items[3], or else in the one that the block's kind is read by."""
+    at = action.get("block_idx")
+    if at is None or not 0 <= at < len(blocks):
+        return None, "target-block-not-found"
+    block = blocks[at]
+    named = action.get("field") or FIELD_OF.get(block["type"], "")
+    item = re.fullmatch(r"items\[(\d+)\]", named)
+    items = block.get("items") or []
+    if item and int(item[1]) >= len(items):
+        return None, "field-out-of-bounds"
+    if not named:
+        return None, "no-suitable-field"
+    value, before = items[int(item[1])] if item else block.get(named), action.get("before") or ""
+    if not isinstance(value, str) or not before or before not in value:
+        return None, "before-not-found"
+    new = value.replace(before, action.get("after") or "")
+    changed = {"items": [*items[: int(item[1])], new, *items[int(item[1]) + 1 :]]} if item else {named: new}
+    return [*blocks[:at], block | changed, *blocks[at + 1 :]], f"replaced-{named}"
+
+
+def recommend_route(blocks: list[dict], action: dict) -> tuple[list[dict] | None, str]:
+    """A safer target is named; ``convert.with_fallback`` takes it."""
+    return blocks, f"fallback-recommended:{action['target']}" if action.get("target") else "missing-fallback-target"
+
+
+HANDLERS |= {"replaceTextRun": replace_run, "selectFallbackRoute": recommend_route}
+
+
+def propose_all(conversions: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``propose`` and what the registered validators add."""
+    out = propose(conversions, warnings)
+    for more in VALIDATORS:
+        try:
+            out = out.unionByName(more(conversions, warnings).select(*out.columns))
+        except (ValueError, TypeError, PySparkException):
+            continue
+    return out
+
+
+def apply(docs: DataFrame, actions: DataFrame) -> DataFrame:
+    """(doc_id, blocks, outcomes) of documents (doc_id, blocks) after their actions (doc_id, seq, action, block_idx, field, before, after, target, confidence).
+
+    A document's actions are done in order by their handlers; ``outcomes`` says of each whether it was applied, rejected or recommended, and why.
+    """
+    held = actions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "block_idx", "field", "before", "after", "target", "confidence"))).alias("actions"))
+    both = docs.select("doc_id", "blocks").join(held, "doc_id", "left")
+    handlers = dict(HANDLERS)  # goes to the tasks with the function
+
+    def one(blocks: list[dict], steps: list[dict]) -> tuple[list[dict], list[dict]]:
+        outcomes = []
+        for step in steps:
+            handle = handlers.get(step["action"])
+            if (step["confidence"] or 0) < LEAST:
+                new, note = None, "below-min-confidence"
+            elif handle is None:
+                new, note = None, "no-handler"
+            else:
+                try:
+                    new, note = handle(blocks, step)
+                except Exception as e:  # noqa: BLE001  a plug-in's fault is an outcome
+                    new, note = None, f"handler-error:{type(e).__name__}"
+            state = "rejected" if new is None else "recommended" if note.startswith("fallback-recommended") else "applied"
+            blocks = blocks if new is None else new
+            outcomes.append({"action": step["action"], "state": state, "note": note})
+        return blocks, outcomes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(b or [], a or []) for b, a in zip(batch.column("blocks").to_pylist(), batch.column("actions").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b for b, _ in rows], pa.list_(m.BLOCK)), pa.array([o for _, o in rows], pa.list_(_OUTCOME))], names=["doc_id", "blocks", "outcomes"])
+
+    return both.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, blocks array<{m.BLOCK_DDL}>, outcomes array<struct<action:string,state:string,note:string>>")
+
+
+_OUTCOME = pa.struct([(k, pa.string()) for k in ("action", "state", "note")])
+
+
 def replace_runs(blocks: DataFrame, actions: DataFrame) -> DataFrame:
     """Blocks with the text replacements (doc_id, block_idx, seq, before, after, confidence) done in order."""
     good = actions.filter(F.col("confidence") >= LEAST)

@@ -74,6 +74,13 @@ def slides(blocks: DataFrame, is_title: Column, *keys: str) -> DataFrame:
     return blocks.withColumn("slide", F.greatest(F.sum(is_title.cast("int")).over(w), F.lit(1)))
 
 
+def slide_summary(shapes: DataFrame, notes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_slides, n_shapes, n_notes) of shapes (keys, slide, ...) and notes (keys, slide, notes), one row a slide; empty notes don't count."""
+    count = shapes.groupBy(*keys).agg(F.count("*").alias("n_shapes"))
+    held = notes.groupBy(*keys).agg(F.count("*").alias("n_slides"), F.count_if(F.coalesce("notes", F.lit("")) != "").alias("n_notes"))
+    return held.join(count, list(keys), "left").select(*keys, "n_slides", F.coalesce("n_shapes", F.lit(0)).cast("long").alias("n_shapes"), "n_notes")
+
+
 def semantic_to_workbook(blocks: DataFrame) -> DataFrame:
     """(doc_id, sheet_idx, name, headers, rows): tables of a document as its sheets."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx"))

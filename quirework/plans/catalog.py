@@ -115,6 +115,15 @@ class Route:
         return tuple(out)
 
 
+def register_mapper(mapper: Mapper, mappers: tuple[Mapper, ...] = MAPPERS) -> tuple[Mapper, ...]:
+    """``mappers`` with one more, in place of one between the same models; ``Planner(mappers)`` plans with them."""
+    for model in (mapper.source, mapper.target):
+        if model not in (SEMANTIC, WORKBOOK, SLIDES, FIXED):
+            raise ValueError(f"unknown model {model!r}")
+    kept = tuple(m for m in mappers if (m.source, m.target) != (mapper.source, mapper.target))
+    return (*kept, mapper)
+
+
 def normalize(name: str | None) -> str:
     key = (name or "").strip().lower()
     return ALIASES.get(key, key)

@@ -76,6 +76,19 @@ def convert(docs: DataFrame, source: str, target: str, content: str = "content",
     return done.select("doc_id", F.lit(target).alias("format"), "data", "title", F.lit(route.temperature).alias("temperature"), F.lit(route.route_class).alias("route_class"), "warnings", "error", "quality", made.alias("conversion"))
 
 
+def with_fallback(docs: DataFrame, source: str, target: str, content: str = "content", id_col: str = "doc_id", apply: bool = True) -> DataFrame:
+    """``convert``, and where the route is generated or restricted, to the safer target that repair proposes; ``fallback_from`` names the other.
+
+    Without ``apply`` the safer target is only named, in ``fallback_to``.
+    """
+    source, target = catalog.normalize(source), catalog.normalize(target)
+    route = catalog.Planner().route(source, target)
+    risky = route is not None and route.route_class in _NOTE
+    safe = next((t for t in catalog.MATRIX.get(source, ()) if catalog.Planner().route(source, t).route_class == "recommended"), None) if risky else None
+    done = convert(docs, source, safe if safe and apply else target, content, id_col)
+    return done.withColumns({"fallback_from": F.lit(target if safe and apply else None).cast("string"), "fallback_to": F.lit(safe).cast("string")})
+
+
 def audited(docs: DataFrame, source: str, content: str = "content", id_col: str = "doc_id") -> DataFrame:
     """One row per block of documents in a text format: (doc_id, block_idx, id, start, end, start_line, end_line, fields of the block)."""
     blocks = readers.blocks_of(readers.read(docs, catalog.normalize(source), content, id_col))

@@ -118,6 +118,70 @@ def test_repair(spark):
     assert {r.doc_id: r.decision for r in got.collect()} == {1: "failed-quality-gate", 2: "verified", 3: "degraded"}
 
 
+def test_repair_plug_ins(spark):
+    docs = docs_of(spark, [m.paragraph("a b"), m.list_block(["x", "y"])], [m.paragraph("c")])
+    schema = "doc_id long, seq int, action string, block_idx int, field string, before string, after string, target string, confidence double"
+    rows = [(0, 1, "replaceTextRun", 0, None, "b", "c", None, 0.9), (0, 2, "replaceTextRun", 1, "items[1]", "y", "z", None, 0.9), (0, 3, "replaceTextRun", 1, "items[5]", "y", "z", None, 0.9), (0, 4, "replaceTextRun", 9, None, "y", "z", None, 0.9),
+            (0, 5, "selectFallbackRoute", None, None, None, None, "md", 0.9), (0, 6, "upper", 0, None, None, None, None, 0.9), (0, 7, "broken", 0, None, None, None, None, 0.9), (0, 8, "odd", 0, None, None, None, None, 0.9), (0, 9, "upper", 0, None, None, None, None, 0.1)]
+    before = dict(repair.HANDLERS)
+    try:
+        repair.register_handler("upper", lambda blocks, a: ([blocks[0] | {"text": blocks[0]["text"].upper()}, *blocks[1:]], "done"))
+        repair.register_handler("broken", lambda blocks, a: 1 / 0)
+        got = {r.doc_id: r for r in repair.apply(docs, spark.createDataFrame(rows, schema)).collect()}
+    finally:
+        repair.HANDLERS.clear()
+        repair.HANDLERS.update(before)
+    assert got[0].blocks[0].text == "A C" and got[0].blocks[1]["items"] == ["x", "z"] and got[1].blocks[0].text == "c" and got[1].outcomes == []
+    assert [(o.state, o.note) for o in got[0].outcomes] == [("applied", "replaced-text"), ("applied", "replaced-items[1]"), ("rejected", "field-out-of-bounds"), ("rejected", "target-block-not-found"), ("recommended", "fallback-recommended:md"), ("applied", "done"), ("rejected", "handler-error:ZeroDivisionError"), ("rejected", "no-handler"), ("rejected", "below-min-confidence")]
+    pairs = spark.createDataFrame([(1, "md", "pptx")], "doc_id long, source string, target string")
+    none = spark.createDataFrame([], "doc_id long, severity string, code string, message string")
+    repair.register_validator(lambda c, w: c.selectExpr("doc_id", "'upper' AS action", "'x' AS target", "0.7D AS confidence", "'e' AS evidence"))
+    repair.register_validator(lambda c, w: 1 + "")
+    try:
+        assert sorted(r.action for r in repair.propose_all(pairs, none).collect()) == ["selectFallbackRoute", "upper"]
+    finally:
+        repair.VALIDATORS.clear()
+
+
+def test_safer_targets(spark):
+    docs = spark.createDataFrame([(1, "# T\n\ntext")], "doc_id long, content string")
+    done = convert.with_fallback(docs, "md", "pptx").first()
+    assert (done.format, done.fallback_from, done.fallback_to, done.data) == ("md", "pptx", "md", "# T\n\ntext\n")
+    assert convert.with_fallback(docs, "md", "pptx", apply=False).first().format == "pptx" and convert.with_fallback(docs, "md", "html").first().fallback_to is None
+
+
+def test_page_images_and_sessions(spark):
+    files = spark.createDataFrame([(1, b"ab", "en"), (2, b"", "en"), (3, None, "de")], "doc_id long, content binary, language string")
+
+    def draw(data, dpi):
+        if not data:
+            raise ValueError
+        return [np.full((2, 3), c) for c in data]
+
+    tool = ocr.Rasteriser(draw, len)
+    rows = sorted((r.doc_id, r.page, r.width, r.height, r.n_pages, r.warning, bytes(r.pixels or b"")) for r in ocr.page_images(files, tool).collect() if r.doc_id == 1)
+    assert rows == [(1, 0, 3, 2, 2, None, b"a" * 6), (1, 1, 3, 2, 2, None, b"b" * 6)]
+    assert {(r.doc_id, r.warning) for r in ocr.page_images(files, tool, most=1).collect()} == {(1, "OCR_PAGES_TRUNCATED"), (2, "OCR_RASTERIZE_FAILED"), (3, "OCR_RASTERIZE_FAILED")}
+    assert {r.warning for r in ocr.page_images(files, None).collect()} == {"OCR_RASTERIZER_UNAVAILABLE"}
+    made = []
+    assert [ocr.session(lambda: made.append(1) or len(made), "model", "cpu") for _ in range(3)] == [1, 1, 1] and ocr.session(lambda: 7, "other") == 7
+    tasks = files.select(ocr.review_tasks(F.when(F.col("doc_id") == 1, F.array(F.lit("b"), F.lit("a"))), "a", "c").alias("t")).collect()
+    assert [r.t for r in tasks] == [["b", "a", "c"], ["a", "c"], ["a", "c"]]
+
+
+def test_crop_and_rotate():
+    image = np.arange(12).reshape(3, 4)
+    assert images.crop(image, 1, 1, 2, 5).tolist() == [[5, 6], [9, 10]] and images.crop(image, 9, 9, 1, 1).tolist() == [[11]]
+    assert images.rotate(image, 90).tolist() == np.rot90(image).tolist() and images.rotate(image, 180).tolist() == np.rot90(image, 2).tolist() and images.rotate(image, 0).tolist() == image.tolist()
+    turned = images.rotate(np.zeros((20, 40), np.uint8), 30)
+    assert turned.shape == (38, 45) and turned[0, 0] == 255 and turned[19, 22] == 0
+
+
+def test_own_mapper():
+    more = catalog.register_mapper(catalog.Mapper(catalog.FIXED, catalog.WORKBOOK, "low", True, ()))
+    assert catalog.Planner(more).between(catalog.FIXED, (catalog.WORKBOOK,)).temperature == "warm" and len(catalog.register_mapper(catalog.MAPPERS[0])) == len(catalog.MAPPERS)
+
+
 def test_layout(spark):
     lines = spark.createDataFrame([(1, 1, "Title", 700.0, 24.0), (1, 2, "body text", 660.0, 12.0), (1, 3, "goes on", 645.0, 12.0), (1, 4, "- item", 630.0, 12.0), (1, 5, "far below", 500.0, 12.0)], "p int, pos int, text string, y double, h double")
     got = [(r.type, r.level, r.text) for r in layout.page_blocks(lines, "p").orderBy("block").collect()]
