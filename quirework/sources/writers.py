@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import base64
-import html
 import io
 import json
 import re
 import zipfile
 import zlib
+from itertools import zip_longest
 
 from ..functions import inline
 from ..functions.inline import escape
+from ..functions.text import MARKS
 from ..model import EQUALITY, SCHEMA_VERSION
 from .parsers import lines_of
 
@@ -24,15 +25,8 @@ def xml_text(text: str) -> str:
 
 def strip_marks(text: str) -> str:
     """Text without inline Markdown."""
-    for pattern, to in (
-        (r"!\[([^\]]*)\]\([^)]*\)", r"\1"),
-        (r"\[([^\]]+)\]\([^)]*\)", r"\1"),
-        (r"`([^`]+)`", r"\1"),
-        (r"(\*\*|__)(.*?)\1", r"\2"),
-        (r"(\*|_)(.*?)\1", r"\2"),
-        (r"~~(.*?)~~", r"\1"),
-    ):
-        text = re.sub(pattern, to, text)
+    for pattern, group in MARKS:
+        text = re.sub(pattern, rf"\{group}", text)
     return text
 
 
@@ -41,23 +35,41 @@ def _depth(block: dict, k: int) -> int:
     return max(0, depths[k] or 0) if k < len(depths) else 0
 
 
+def _cells(b: dict) -> list[list[str]]:
+    return [b.get("headers") or [], *(b.get("rows") or [])]
+
+
+def _first(b: dict, *fields: str) -> str:
+    return next((b[f] for f in fields if b.get(f)), "")
+
+
+def _items(b: dict, inner, mark) -> str:
+    """Items of a list, each with its mark, two blanks deeper for every level."""
+    depths = [_depth(b, k) for k in range(len(b.get("items") or []))]
+    return "\n".join(f"{'  ' * d}{mark(k, d, depths)} {inner(x)}" for k, (x, d) in enumerate(zip(b.get("items") or [], depths, strict=True)))
+
+
+def _by_place(b: dict):
+    return lambda k, d, depths: f"{k + 1}." if b.get("ordered") and d == 0 else "-"
+
+
+def _by_count(b: dict):
+    return lambda k, d, depths: f"{depths[: k + 1].count(0)}." if b.get("ordered") and d == 0 else "-"
+
+
+#: How each kind of block is written as plain text.
+PLAIN = dict.fromkeys(("heading", "paragraph", "quote"), lambda b: _first(b, "text")) | {
+    "list": lambda b: _items(b, str, _by_place(b)),
+    "code": lambda b: _first(b, "code"),
+    "table": lambda b: "\n".join(filter(None, map("\t".join, _cells(b)))),
+    "image": lambda b: _first(b, "alt", "title", "src", "asset_id"),
+    "asset": lambda b: _first(b, "alt", "title", "src", "asset_id"),
+    "raw": lambda b: "" if b.get("format") == "html" else _first(b, "content"),
+}
+
+
 def plain_block(b: dict) -> str:
-    kind = b["type"]
-    if kind in ("heading", "paragraph", "quote"):
-        return b.get("text") or ""
-    if kind == "list":
-        rows = []
-        for k, item in enumerate(b.get("items") or []):
-            d = _depth(b, k)
-            rows.append(f"{'  ' * d}{f'{k + 1}.' if b.get('ordered') and d == 0 else '-'} {item}")
-        return "\n".join(rows)
-    if kind == "code":
-        return b.get("code") or ""
-    if kind == "table":
-        return "\n".join(filter(None, ("\t".join(r) for r in [b.get("headers") or [], *(b.get("rows") or [])])))
-    if kind in ("image", "asset"):
-        return b.get("alt") or b.get("title") or b.get("src") or b.get("asset_id") or ""
-    return "" if b.get("format") == "html" else b.get("content") or ""
+    return PLAIN[b["type"]](b)
 
 
 def plain_text(blocks: list[dict]) -> str:
@@ -79,37 +91,48 @@ def _md_cell(cell: str) -> str:
 _RULES = {"left": ":---", "center": ":---:", "right": "---:"}
 
 
+def _md(text: str | None) -> str:
+    return inline.markdown(inline.parse(text or ""))
+
+
+def _fenced(body: str, info: str) -> str:
+    return f"{_fence(body)}{info}\n{body}\n{_fence(body)}"
+
+
+def _md_table(b: dict) -> str:
+    headers, *rows = _cells(b)
+    sides = [*(b.get("alignments") or []), *[""] * len(headers)]
+    rule = [_RULES.get(side, "---") for side in sides[: len(headers)]]
+    return "\n".join(f"| {' | '.join(r)} |" for r in [[*map(_md_cell, headers)], rule, *([*map(_md_cell, r)] for r in rows)])
+
+
+def _escaped(text: str, marks: str) -> str:
+    return re.sub(f"([{marks}])", r"\\\1", text)
+
+
+def _md_raw(b: dict) -> str:
+    form, body = _first(b, "format"), _first(b, "content")
+    if form == "html":
+        return ""
+    return body if form in ("md", "markdown") else _fenced(body, re.sub("[^a-zA-Z0-9_+-]", "", form))
+
+
+#: How each kind of block is written as Markdown.
+MARKDOWN = {
+    "heading": lambda b: f"{'#' * b['level']} {_md(b.get('text'))}",
+    "paragraph": lambda b: _md(b.get("text")),
+    "quote": lambda b: f"> {_md(b.get('text'))}",
+    "list": lambda b: _items(b, _md, _by_count(b)),
+    "code": lambda b: _fenced(_first(b, "code"), (_first(b, "language").split() or [""])[0].replace("`", "")),
+    "table": _md_table,
+    "image": lambda b: f"![{_escaped(_first(b, 'alt'), r'\[\]\\')}]({_escaped(_first(b, 'src'), r'()\\')})",
+    "asset": lambda b: f"![{_first(b, 'alt', 'title') or 'asset'}](asset:{_first(b, 'asset_id')})",
+    "raw": _md_raw,
+}
+
+
 def md_block(b: dict) -> str:
-    kind = b["type"]
-    inner = lambda t: inline.markdown(inline.parse(t or ""))
-    if kind == "heading":
-        return f"{'#' * b['level']} {inner(b.get('text'))}"
-    if kind in ("paragraph", "quote"):
-        return ("> " if kind == "quote" else "") + inner(b.get("text"))
-    if kind == "list":
-        rows, count = [], 0
-        for k, item in enumerate(b.get("items") or []):
-            d = _depth(b, k)
-            count += d == 0
-            rows.append(f"{'  ' * d}{f'{count}.' if b.get('ordered') and d == 0 else '-'} {inner(item)}")
-        return "\n".join(rows)
-    if kind == "code":
-        body = b.get("code") or ""
-        f = _fence(body)
-        return f"{f}{((b.get('language') or '').split() or [''])[0].replace('`', '')}\n{body}\n{f}"
-    if kind == "table":
-        row = lambda cells: f"| {' | '.join(cells)} |"
-        headers, sides = b.get("headers") or [], b.get("alignments") or []
-        rule = [_RULES.get(sides[k] if k < len(sides) else "", "---") for k in range(len(headers))]
-        return "\n".join([row(map(_md_cell, headers)), row(rule), *(row(map(_md_cell, r)) for r in b.get("rows") or [])])
-    if kind == "image":
-        return f"![{re.sub(r'([\[\]\\])', r'\\\1', b.get('alt') or '')}]({re.sub(r'([()\\])', r'\\\1', b.get('src') or '')})"
-    if kind == "asset":
-        return f"![{b.get('alt') or b.get('title') or 'asset'}](asset:{b.get('asset_id') or ''})"
-    body, form = b.get("content") or "", b.get("format") or ""
-    if form in ("md", "markdown"):
-        return body
-    return "" if form == "html" else f"{_fence(body)}{re.sub(r'[^a-zA-Z0-9_+-]', '', form)}\n{body}\n{_fence(body)}"
+    return MARKDOWN[b["type"]](b)
 
 
 def to_markdown(title: str, blocks: list[dict], profile: str = "ai-ready", warnings: list[dict] | None = None, source: str = "md") -> str:
@@ -143,34 +166,44 @@ def _html_list(b: dict) -> str:
     return "\n".join(level(0, 0, 0)[0])
 
 
-def html_block(b: dict) -> str:
-    kind = b["type"]
-    inner = inline.to_html(inline.parse(b.get("text") or "")) if "text" in b else ""
-    if kind == "heading":
-        return f"<h{b['level']}>{inner}</h{b['level']}>"
-    if kind == "paragraph":
-        return f"<p>{inner}</p>"
-    if kind == "quote":
-        return f"<blockquote>{inner}</blockquote>"
-    if kind == "list":
-        return _html_list(b)
-    if kind == "code":
-        name = f' class="language-{escape(b["language"])}"' if b.get("language") else ""
-        return f"<pre><code{name}>{escape(b.get('code') or '')}</code></pre>"
-    if kind == "table":
-        sides = b.get("alignments") or []
-        side = lambda k: f' style="text-align:{sides[k]}"' if k < len(sides) and sides[k] else ""
-        row = lambda cells, tag: f"    <tr>{''.join(f'<{tag}{side(k)}>{escape(c)}</{tag}>' for k, c in enumerate(cells))}</tr>"
-        return "\n".join(["<table>", "  <thead>", row(b.get("headers") or [], "th"), "  </thead>", "  <tbody>", *(row(r, "td") for r in b.get("rows") or []), "  </tbody>", "</table>"])
-    if kind == "image":
-        return f'<img src="{escape(b.get("src") or "")}" alt="{escape(b.get("alt") or "")}" />'
-    if kind == "asset":
-        name = b.get("asset_id") or ""
-        return f'<figure data-asset-id="{escape(name)}"><figcaption>{escape(b.get("title") or b.get("alt") or name)}</figcaption></figure>'
-    body, form = b.get("content") or "", b.get("format") or ""
+def _html(text: str | None) -> str:
+    return inline.to_html(inline.parse(text or ""))
+
+
+def _html_code(body: str, language: str) -> str:
+    return f"<pre><code{f' class="language-{escape(language)}"' if language else ''}>{escape(body)}</code></pre>"
+
+
+def _html_table(b: dict) -> str:
+    headers, *rows = _cells(b)
+    styles = [f' style="text-align:{side}"' if side else "" for side in b.get("alignments") or []]
+    row = lambda cells, tag: "    <tr>" + "".join(f"<{tag}{style}>{escape(c)}</{tag}>" for c, style in zip_longest(cells, styles[: len(cells)], fillvalue="")) + "</tr>"
+    return "\n".join(["<table>", "  <thead>", row(headers, "th"), "  </thead>", "  <tbody>", *(row(r, "td") for r in rows), "  </tbody>", "</table>"])
+
+
+def _html_raw(b: dict) -> str:
+    form, body = _first(b, "format"), _first(b, "content")
     if form == "html":
         return body
-    return "" if form in ("", "md", "markdown") else f'<pre><code class="language-{re.sub(r"[^a-zA-Z0-9_+-]", "", form)}">{escape(body)}</code></pre>'
+    return "" if form in ("", "md", "markdown") else _html_code(body, re.sub("[^a-zA-Z0-9_+-]", "", form))
+
+
+#: How each kind of block is written as HTML.
+HTML = {
+    "heading": lambda b: f"<h{b['level']}>{_html(b.get('text'))}</h{b['level']}>",
+    "paragraph": lambda b: f"<p>{_html(b.get('text'))}</p>",
+    "quote": lambda b: f"<blockquote>{_html(b.get('text'))}</blockquote>",
+    "list": _html_list,
+    "code": lambda b: _html_code(_first(b, "code"), _first(b, "language")),
+    "table": _html_table,
+    "image": lambda b: f'<img src="{escape(_first(b, "src"))}" alt="{escape(_first(b, "alt"))}" />',
+    "asset": lambda b: f'<figure data-asset-id="{escape(_first(b, "asset_id"))}"><figcaption>{escape(_first(b, "title", "alt", "asset_id"))}</figcaption></figure>',
+    "raw": _html_raw,
+}
+
+
+def html_block(b: dict) -> str:
+    return HTML[b["type"]](b)
 
 
 def to_html(title: str, blocks: list[dict]) -> str:
@@ -221,25 +254,42 @@ def _xml_inline(tokens) -> str:
     return "".join(out)
 
 
+def _cdata(text: str) -> str:
+    return "<![CDATA[" + _ILLEGAL.sub("", text).replace("]]>", "]]]]><![CDATA[>") + "]]>"
+
+
+def _xml(tag: str, inner: str | None = None, **attributes: str) -> str:
+    """An element; without ``inner`` an empty one."""
+    opened = "".join([tag, *(f' {k}="{xml_text(v)}"' for k, v in attributes.items())])
+    return f"<{opened}/>" if inner is None else f"<{opened}>{inner}</{tag}>"
+
+
+def _xml_run(text: str | None) -> str:
+    return _xml_inline(inline.parse(text or ""))
+
+
+def _xml_table(b: dict) -> str:
+    headers, *rows = _cells(b)
+    row = lambda cells, tag: _xml("row", "".join(_xml(tag, xml_text(c)) for c in cells))
+    return _xml("table", row(headers, "header") + "".join(row(r, "cell") for r in rows))
+
+
+#: How each kind of block is written as XML.
+XML = {
+    "heading": lambda b: _xml("heading", _xml_run(b.get("text")), level=str(b["level"])),
+    "paragraph": lambda b: _xml("paragraph", _xml_run(b.get("text"))),
+    "quote": lambda b: _xml("quote", _xml_run(b.get("text"))),
+    "list": lambda b: _xml("list", "".join(_xml("item", _xml_run(t), depth=str(_depth(b, k))) for k, t in enumerate(b.get("items") or [])), ordered=str(bool(b.get("ordered"))).lower()),
+    "code": lambda b: _xml("code", _cdata(_first(b, "code")), language=_first(b, "language")),
+    "table": _xml_table,
+    "image": lambda b: _xml("image", src=_first(b, "src"), alt=_first(b, "alt")),
+    "asset": lambda b: _xml("asset", id=_first(b, "asset_id"), alt=_first(b, "alt")),
+    "raw": lambda b: _xml("raw", _cdata(_first(b, "content")), format=_first(b, "format")),
+}
+
+
 def xml_block(b: dict) -> str:
-    kind = b["type"]
-    cdata = lambda s: "<![CDATA[" + _ILLEGAL.sub("", s).replace("]]>", "]]]]><![CDATA[>") + "]]>"
-    if kind in ("heading", "paragraph", "quote"):
-        level = f' level="{b["level"]}"' if kind == "heading" else ""
-        return f"<{kind}{level}>{_xml_inline(inline.parse(b.get('text') or ''))}</{kind}>"
-    if kind == "list":
-        items = "".join(f'<item depth="{_depth(b, k)}">{_xml_inline(inline.parse(t))}</item>' for k, t in enumerate(b.get("items") or []))
-        return f'<list ordered="{str(bool(b.get("ordered"))).lower()}">{items}</list>'
-    if kind == "code":
-        return f'<code language="{xml_text(b.get("language") or "")}">{cdata(b.get("code") or "")}</code>'
-    if kind == "table":
-        row = lambda cells, tag: f"<row>{''.join(f'<{tag}>{xml_text(c)}</{tag}>' for c in cells)}</row>"
-        return f"<table>{row(b.get('headers') or [], 'header')}{''.join(row(r, 'cell') for r in b.get('rows') or [])}</table>"
-    if kind == "image":
-        return f'<image src="{xml_text(b.get("src") or "")}" alt="{xml_text(b.get("alt") or "")}"/>'
-    if kind == "asset":
-        return f'<asset id="{xml_text(b.get("asset_id") or "")}" alt="{xml_text(b.get("alt") or "")}"/>'
-    return f'<raw format="{xml_text(b.get("format") or "")}">{cdata(b.get("content") or "")}</raw>'
+    return XML[b["type"]](b)
 
 
 def to_xml(title: str, blocks: list[dict]) -> str:
@@ -530,6 +580,3 @@ def equal_fields(b: dict) -> dict:
     """What counts for equality of blocks."""
     return {"type": b["type"]} | {k: b.get(k) for k in EQUALITY[b["type"]]}
 
-
-def unescape(text: str) -> str:
-    return html.unescape(text)
