@@ -10,12 +10,13 @@ gathered grows with the corpus and stays distributed.
    the others are one class and share its part evenly. Both models sum to one over the vocabulary, and after a word that a model
    has never seen followed it falls back to P1. A pair's loss is log P_background - log P_target.
 3. Pairs of the ``DENSE`` most frequent words are counted with map-side combine and go to all tasks, too.
-4. A text sums the losses of these where it stands, and what frequent words give as the first of a pair; for each other pair it gives a
-   row. These are dealt out once, by pair, or by first word where that is rare; so the rows of a pair, and all of a rare
-   first word, meet in one task, are counted there for both models, and their losses summed by text.
+4. A text sums the losses of these where it stands, and what frequent words give as the first of a pair. All other pairs are dealt
+   out once, by pair, or by first word where that is rare; so all places of a pair, and of a rare first word, meet
+   in one task, are counted there for both models, and their losses summed by text. A step of texts packs what goes to
+   one bucket as arrays, ten bytes a pair.
 
 The score is the mean loss over the tokens of a text: the lower, the more like the target. What is sent to all tasks has a
-fixed bound (some 5 MB). Pairs are named by 64 bits of hash, words by 62.
+fixed bound (some 5 MB). Words are named by 62 bits of hash; pairs by 48 bits within their bucket.
 
 Cases: null and blank texts have no tokens and a null score; without target or background rows that model is uniform;
 repeated rows are scored, and counted, each; texts of any length are whole; empty tables give empty results; other columns are ignored.
@@ -28,21 +29,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, most_frequent, steps
 from .shingles import mix, word_hashes
 
-WORDS, DENSE = 65_536, 512
+WORDS, DENSE = 65_535, 512
 #: Weight of the first order: as if each word had been followed so many times more, by words as frequent as they are.
 PRIOR = 4.0
 #: Distinct keys that a task holds before it gives them on.
 HELD = 1_000_000
-#: Rows of pairs in one task, if no pair has more.
+#: Pairs in one task, about, if none has more.
 ROWS = 1_500_000
-#: Bytes of text in one step.
-_STEP = 2 << 20
+#: Bytes of text in one step, and in one whose pairs are packed together.
+_STEP, _PACKED = 2 << 20, 6 << 20
 #: Names of words that all tasks have are numbers by falling frequency, then BEGIN; others have this bit.
 _RARE = 1 << 62
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -160,13 +164,53 @@ def _dense_counts(sent):
     return run
 
 
-def _rows(sent):
-    """For each text a row of its own (tokens, and what it can sum itself), and one for each pair that it can't."""
+_LOW = np.uint64(2**48 - 1)
+#: A place of a pair: the pair's name, its second word, the text in its step and, in the top bit, whether that is of the target.
+_PAIR = np.dtype([("pair", "<u8"), ("w", "<u2"), ("text", "<u2")])
+#: The same after a rare word, with that word's name.
+_AFTER_RARE = np.dtype([("v", "<u8"), *_PAIR.descr])
+_TARGET, _TEXTS = np.uint16(1 << 15), (1 << 15) - 1
+
+
+def _narrow(names: np.ndarray) -> np.ndarray:
+    """Six bytes of each."""
+    return np.ascontiguousarray(names.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _pack(known: np.ndarray, rare: np.ndarray) -> bytes:
+    """Places of pairs column by column: how many of each kind, and their fields."""
+    return b"".join([np.array([known.size, rare.size], "<i8").tobytes(), *(x.tobytes() for part in (known, rare) for x in (_narrow(part["pair"]), part["w"], part["text"])), _narrow(rare["v"]).tobytes()])
+
+
+def _wide(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((data.size // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, r = np.frombuffer(data, "<i8", 2)
+    at = 16
+    out = []
+    for size, kind in ((int(n), _PAIR), (int(r), _AFTER_RARE)):
+        part = np.zeros(size, kind)
+        part["pair"] = _wide(np.frombuffer(data, np.uint8, 6 * size, at))
+        part["w"] = np.frombuffer(data, "<u2", size, at + 6 * size)
+        part["text"] = np.frombuffer(data, "<u2", size, at + 8 * size)
+        at += 10 * size
+        out.append(part)
+    out[1]["v"] = _wide(np.frombuffer(data, np.uint8, 6 * int(r), at))
+    return out[0], out[1]
+
+
+def _dealt(sent, bits: int):
+    """(step, bucket, data): of each step what its texts sum themselves (bucket -1), and its other pairs by bucket, of which there are 2 ** bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        models, task = sent.value, TaskContext.get().partitionId()
         d = models.dense
-        for batch in steps(batches, most=_STEP):
+        small = (batch.slice(at, _TEXTS) for batch in steps(batches, most=_PACKED) for at in range(0, batch.num_rows, _TEXTS))
+        for k, batch in enumerate(small):
             n = batch.num_rows
             v, w, row, counts = _read(models, batch.column("text").to_pylist())
             known = v < _RARE
@@ -174,71 +218,118 @@ def _rows(sent):
             loss[known] = models.context(v[known])
             both = (v < d) & (w < d)
             loss[both] += models.pair(models.pairs[:, v[both], w[both]], w[both])
-            own = np.bincount(row, loss, n)
+            own = np.bincount(row, loss, n).astype(np.float64)
             rest = np.flatnonzero(~both)
             v, w, known, row = v[rest], w[rest], known[rest], row[rest]
-            pair = mix(v.view(np.uint64) * _MIX + mix(w.view(np.uint64))).view(np.int64)
-            nothing = np.zeros(v.size, np.int64)
-            order = pa.array(np.concatenate([np.arange(n), row]))
-            cols = [batch.column(c).take(order) for c in ("doc_id", "digest")]
-            own_part = mix(batch.column("digest").to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
-            cols += [pa.array(np.concatenate([own_part, np.where(known, pair, v)])), pa.array(np.concatenate([np.zeros(n, np.int64), np.where(known, nothing, pair)]))]
-            cols += [pa.array(np.concatenate([np.full(n, -1), np.where(w < _RARE, w, models.begin)]).astype(np.int32))]
-            cols += [pa.array(np.concatenate([np.zeros(n, bool), np.array(batch.column("target").to_pylist(), bool)[row]]))]
-            none = pa.nulls(row.size, pa.int64())
-            cols += [pa.concat_arrays([pa.array(counts), none]), pa.concat_arrays([pa.array(own.astype(np.float64)), pa.nulls(row.size, pa.float64())])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "part", "pair", "w", "target", "n_tokens", "own"])
+            pair = mix(v.view(np.uint64) * _MIX + mix(w.view(np.uint64)))
+            word = np.where(w < _RARE, w, models.begin).astype(np.uint16)
+            text = row.astype(np.uint16) | np.where(np.array(batch.column("target").to_pylist(), bool)[row], _TARGET, np.uint16(0))
+            first = mix(v.view(np.uint64))
+            bucket = (np.where(known, pair, first) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(v.size, np.int64)
+            order = np.lexsort((~known, bucket))
+            edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+            places = np.zeros(v.size, _AFTER_RARE)
+            places["v"], places["pair"], places["w"], places["text"] = (first & _LOW)[order], (pair & _LOW)[order], word[order], text[order]
+            known = known[order]
+            out = []
+            for at, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                middle = at + int(known[at:end].sum())
+                out.append(_pack(places[at:middle], places[middle:end]) if end > at else None)
+            some = [i for i, x in enumerate(out) if x is not None]
+            table = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(own)], names=["doc_id", "n_tokens", "own"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_batch(table)
+            data = [sink.getvalue().to_pybytes(), *(out[i] for i in some)]
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k] * len(data), pa.int64()), pa.array([-1, *some], pa.int64()), pa.array(data, pa.binary())], names=["step", "bucket", "data"])
 
     return run
 
 
-def losses(part: np.ndarray, pair: np.ndarray, w: np.ndarray, target: np.ndarray, models: Models) -> np.ndarray:
-    """Loss of each row of whole parts: of a known first word (``pair`` is 0) what the pair gives, of a rare one also what that gives itself."""
-    if not part.size:
-        return np.zeros(0)
-    order = np.lexsort((pair, part))
-    p, q, side = part[order], pair[order], target[order].astype(np.int64)
-    new_part = np.append(True, p[1:] != p[:-1])
-    new = new_part | np.append(True, q[1:] != q[:-1])
+def losses(known: np.ndarray, rare: np.ndarray, models: Models) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of each place, of all places of pairs with a known first word, and of all after rare words."""
 
-    def counts(begins: np.ndarray) -> np.ndarray:
+    def counts(order: np.ndarray, begins: np.ndarray, target: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(begins)
-        size, t = np.diff(np.append(first, p.size)), np.add.reduceat(side, first)
-        return np.repeat(np.stack([t, size - t]), size, axis=1)
-
-    out = models.pair(counts(new), w[order])
-    rare = q != 0
-    followed = counts(new_part)[:, rare]
-    out[rare] += np.log(followed[0] + PRIOR) - np.log(followed[1] + PRIOR)
-    back = np.empty(p.size)
-    back[order] = out
-    return back
-
-
-def _by_text(sent):
-    """Sums by text of the rows of one task, in which all rows of a part are."""
+        size, t = np.diff(np.append(first, order.size)), np.add.reduceat(target[order].astype(np.int64), first)
+        out = np.empty((2, order.size))
+        out[:, order] = np.repeat(np.stack([t, size - t]), size, axis=1)
+        return out
+
+    def begins(*keys: np.ndarray) -> np.ndarray:
+        return np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+
+    out = []
+    for part in (known, rare):
+        if not part.size:
+            out.append(np.zeros(0))
+            continue
+        target = (part["text"] & _TARGET) > 0
+        by_v = "v" in part.dtype.names
+        order = np.lexsort((part["pair"], part["v"])) if by_v else np.argsort(part["pair"], kind="stable")
+        pair = part["pair"][order]
+        first = begins(part["v"][order]) if by_v else None
+        loss = models.pair(counts(order, begins(pair) | first if by_v else begins(pair), target), part["w"])
+        if by_v:
+            followed = counts(order, first, target)
+            loss += np.log(followed[0] + PRIOR) - np.log(followed[1] + PRIOR)
+        out.append(loss)
+    return out[0], out[1]
+
+
+def _summed(sent):
+    """(step, bucket, data): sums by text of the pairs of the buckets that one task has, whole; other rows as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        names, held = [], []
+        for batch in batches:
+            own = pa.compute.less(batch.column("bucket"), 0)
+            yield batch.filter(own)
+            packed = batch.filter(pa.compute.invert(own))
+            names += packed.column("step").to_pylist()
+            held += [_unpack(x.as_buffer()) for x in packed.column("data")]
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
+        steps_, of = np.unique(np.array(names, np.int64), return_inverse=True)
+        parts = [[p[k] for p in held] for k in range(2)]
         del held
-        own = table["own"].is_valid().to_numpy()
-        rows = table.select(["doc_id", "digest", "n_tokens", "own"]).filter(pa.array(own))
-        yield from rows.append_column("copies", pa.array(np.ones(len(rows), np.int64))).to_batches()
-        some = np.flatnonzero(~own)
-        got = losses(*(table[c].to_numpy()[some] for c in ("part", "pair", "w", "target")), sent.value)
-        named = table.select(["doc_id", "digest"]).take(pa.array(some)).append_column("own", pa.array(got, pa.float64()))
-        del table
-        sums = named.group_by(["doc_id", "digest"], use_threads=False).aggregate([("own", "sum")])
-        nothing = pa.array(np.zeros(len(sums), np.int64))
-        out = pa.table([sums["doc_id"], sums["digest"], nothing, sums["own_sum"], nothing], names=["doc_id", "digest", "n_tokens", "own", "copies"])
-        yield from out.to_batches()
+        text = np.concatenate([np.int64(s) << 15 | (x["text"] & ~_TARGET).astype(np.int64) for part in parts for s, x in zip(of.tolist(), part, strict=True)])
+        loss = np.concatenate(losses(*(np.concatenate(part) for part in parts), sent.value))
+        del parts
+        distinct, at = np.unique(text, return_inverse=True)
+        sums = np.bincount(at, loss, distinct.size)
+        edges = np.searchsorted(distinct >> 15, np.arange(steps_.size + 1))
+        data = [(distinct[a:b] & (2**15 - 1)).astype("<u2").tobytes() + sums[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(steps_), pa.array(np.zeros(len(data), np.int64)), pa.array(data, pa.binary())], names=["step", "bucket", "data"])
 
     return run
 
 
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts of whole steps, from rows in the order of (step, bucket): what texts sum themselves comes first."""
+    table, total = None, np.zeros(0)
+
+    def rows() -> pa.RecordBatch:
+        n = table.column("n_tokens").to_numpy()
+        score = pa.array(np.round(total / np.maximum(n, 1), 9), mask=n == 0)
+        return pa.RecordBatch.from_arrays([table.column("doc_id"), table.column("n_tokens"), score], names=["doc_id", "n_tokens", "score"])
+
+    for batch in batches:
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+            if bucket < 0:
+                if table is not None:
+                    yield rows()
+                with pa.ipc.open_stream(data.as_buffer()) as reader:
+                    table = reader.read_next_batch()
+                total = table.column("own").to_numpy().copy()
+                continue
+            raw = data.as_py()
+            n = len(raw) // 10
+            total[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<f8", n, 2 * n)
+    if table is not None:
+        yield rows()
+
+
 def fit(corpus: DataFrame, words: int = WORDS, dense: int = DENSE) -> tuple[Models, int]:
     """What goes to all tasks, and how many tokens there are, from (text, target)."""
     spark = corpus.sparkSession
@@ -270,19 +361,15 @@ def fit(corpus: DataFrame, words: int = WORDS, dense: int = DENSE) -> tuple[Mode
 
 
 def score(corpus: DataFrame, models: Models, tokens: int) -> DataFrame:
-    """(doc_id, n_tokens, score) of every row of the corpus (doc_id, text, target) that the models were fitted on."""
+    """(doc_id, n_tokens, score) of every row of the corpus (doc_id, text, target), a table that ``cut`` wrote, that the models were fitted on."""
     spark = corpus.sparkSession
     sent = spark.sparkContext.broadcast(models)
     kind = dict(corpus.dtypes)["doc_id"]
-    base = corpus.select("doc_id", F.xxhash64("text").alias("digest"), "text", "target")
-    rows = base.mapInArrow(_rows(sent), f"doc_id {kind}, digest long, part long, pair long, w int, target boolean, n_tokens long, own double")
-    dealt = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // ROWS)), "part")
-    summed = dealt.mapInArrow(_by_text(sent), f"doc_id {kind}, digest long, n_tokens long, own double, copies long")
-    by_text = summed.groupBy("doc_id", "digest").agg(F.sum("n_tokens").alias("tokens"), F.sum("own").alias("total"), F.sum("copies").alias("copies"))
-    # Equal rows came in as often as there are copies, and go out so.
-    value = F.when(F.col("tokens") > 0, F.round(F.col("total") / F.col("tokens"), 9))
-    n_tokens = (F.col("tokens") / F.col("copies")).cast("long")
-    return by_text.select("doc_id", n_tokens.alias("n_tokens"), value.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_tokens", "score")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // ROWS))
+    packed = corpus.mapInArrow(_dealt(sent, tasks.bit_length()), "step long, bucket long, data binary")
+    at = F.when(F.col("bucket") < 0, F.xxhash64("step")).otherwise(F.col("bucket"))
+    summed = packed.repartition(tasks, at).mapInArrow(_summed(sent), "step long, bucket long, data binary")
+    return summed.repartition("step").sortWithinPartitions("step", "bucket").mapInArrow(_scored, f"doc_id {kind}, n_tokens long, score double")
 
 
 def score_against(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, dense: int = DENSE) -> DataFrame:

@@ -254,9 +254,11 @@ def test_language_id(spark, none):
     assert empty.langs == [] and langid.identify(df.limit(3), empty).filter("lang_pred <> 'und'").count() == 0
 
 
-@pytest.mark.parametrize(("most", "dense"), [(65_536, 512), (60, 9), (0, 0)])
+@pytest.mark.parametrize(("most", "dense"), [(65_535, 512), (60, 9), (0, 0)])
 def test_lm_scores(spark, docs, none, monkeypatch, most, dense):
     monkeypatch.setattr(lm_score, "HELD", 50)
+    monkeypatch.setattr(lm_score, "_PACKED", 4000)
+    monkeypatch.setattr(lm_score, "ROWS", 500)
     good = {i for i, _ in ROWS if i % 3 == 0}
     target = spark.createDataFrame([(i,) for i in good] + [(None,), (0,)], "doc_id long")
     again = ROWS[10:16]
