@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -55,10 +57,19 @@ def cut(df: DataFrame, hint: str = "cut") -> DataFrame:
     return out
 
 
+#: Seconds after which the driver collects its garbage anew when tables are dropped; its heap shrinks and Spark lets go of what finished plans held.
+SETTLED = 3
+_last_settled = [0.0]
+
+
 def drop(*cuts: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing reads any more."""
     for df in cuts:
         _remove(df.sparkSession, df._cut_path)
+    if cuts and time.monotonic() - _last_settled[0] > SETTLED:
+        gc.collect()
+        cuts[0].sparkSession.sparkContext._jvm.System.gc()
+        _last_settled[0] = time.monotonic()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -255,8 +255,8 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines that repeat an earlier one taken out of ``text``, and n_lines, n_removed (in place of such columns of its own)."""
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the lines that repeat an earlier one taken out of ``text``, and _n_lines, _n_removed."""
     gone = cut(removals(docs.select("doc_id", "text")), "line-gone").toDF("_gone_id", "_gone_digest", "_gone")
     named = docs.filter("doc_id is not null")
     joined = named.join(gone, (named.doc_id == gone["_gone_id"]) & (F.xxhash64(named.text) == gone["_gone_digest"]), "left")
@@ -265,6 +265,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.col("_lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, _NEWLINE))
-    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return joined.select(*others, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*others, n_lines.cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``without_repeats`` with its counts as n_lines and n_removed, in place of such columns of the table's own."""
+    out = without_repeats(docs.drop("n_lines", "n_removed"))
+    return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})

@@ -257,6 +257,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Texts without ids as documents of their own, named by a hash, after all that have one.
     some = docs.filter("doc_id is not null").select(F.lit("0").alias("doc_id"), "text")
     lonely = text.filter("doc_id is null").select(F.concat(F.lit("1"), F.col("_text")).alias("doc_id"), "text")
-    stay = near_duplicates(some.union(lonely)).filter("kept and doc_id <> '0'").select(F.substring("doc_id", 2, 20).cast("long").alias("_text")).distinct()
+    stay = near_duplicates(some.union(lonely)).filter("kept and doc_id <> '0'").select(F.expr("try_cast(substring(doc_id, 2) AS bigint)").alias("_text")).distinct()
     stay = text.filter("doc_id is null").join(stay, "_text", "left_semi").dropDuplicates(["_text"])
     return named.select(*docs.columns).unionByName(stay.select(*docs.columns))

@@ -306,14 +306,25 @@ def test_lm_scores(spark, docs, none, monkeypatch, most, dense):
     assert lm_score.score_against(docs, target.limit(0)).count() == len(ROWS)
 
 
-def near_sets():
+def near_sets(rows=ROWS):
     out = {}
-    for i, t in ROWS:
+    for i, t in rows:
         w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
         out[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     return out
 
 
+def near_components(rows):
+    """The smallest id of each document's component, by all pairs."""
+    sets = near_sets(rows)
+    union = Union(sets)
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                union.join(a, b)
+    return {i: union.find(i) for i in sets}
+
+
 def test_near_duplicates(spark, docs, none):
     sets = near_sets()
     union = Union(sets)
@@ -481,15 +492,15 @@ def test_line_recall(spark):
 ITEMS = [(k, " ".join((ROWS[9 + 5 * k][1] or "").split()[20:60])) for k in range(3)] + [(10, "Tiny item"), (11, ""), (12, None), (13, "a b c d")]
 
 
-def hits_by_force(width=10):
+def hits_by_force(width=10, rows=ROWS, items=ITEMS):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     wins = defaultdict(set)
-    for k, t in ITEMS:
+    for k, t in items:
         w = find(t)
         for p in range(max(1, len(w) - width + 1) if w else 0):
             wins[tuple(w[p : p + width])].add(k)
     out = {}
-    for i, t in ROWS:
+    for i, t in rows:
         w, hit, items = find(t), set(), set()
         for size in {len(x) for x in wins}:
             for p in range(len(w) - size + 1):

@@ -1,14 +1,17 @@
 """The entry's queries of the subpackage on the driver's small tables, and the pipeline stage by stage."""
 
+import hashlib
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirework.llm import bpe, decontam, langid, minhash, queries
+from quirework.llm import langid, queries
 
-from .test_operators import dedup_lines
+from .test_operators import dedup_lines, hits_by_force, library, near_components
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
@@ -48,11 +51,32 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in lines.values())
     table = spark.createDataFrame(list(lines.values()), docs.schema)
     near = c(spark, table, DIR)
-    assert {r.doc_id for r in near.collect()} == {r.doc_id for r in minhash.near_duplicates(table).filter("kept").collect()}
+    found = near_components([(i, r.text) for i, r in lines.items()])
+    assert near.columns == columns and {r.doc_id for r in near.collect()} == {i for i, comp in found.items() if comp == i}
     clean = d(spark, near, DIR)
-    bad = {r.doc_id for r in decontam.contamination(near, spark.read.parquet(f"{DIR}/benchmark.parquet")).filter("n_hit > 0").collect()}
-    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in near.collect()} - bad
-    assert sorted(map(tuple, e(spark, clean, DIR).collect())) == sorted(map(tuple, bpe.encode_digests(clean).collect()))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    hits = hits_by_force(10, [(r.doc_id, r.text) for r in near.collect()], items)
+    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {i for i, (_, n, _) in hits.items() if not n}
+    tokens = library()
+    for r in e(spark, clean, DIR).collect():
+        ids = tokens.encode(lines[r.doc_id].text or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tokens.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_odd_rows(spark):
+    """Repeated rows, null ids and texts, and columns with names that the stages use go through all stages."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    known = docs.filter("lang is not null").limit(40)
+    odd = known.union(known.limit(3)).union(known.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).union(known.limit(1).withColumn("text", F.lit(None).cast("string")))
+    odd = odd.withColumns({c: F.lit(c) for c in ("comp", "h", "digest", "bucket", "word", "_text", "n_lines")})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, odd, DIR)
+        assert k == 4 or (got.columns == odd.columns and got.filter("comp <> 'comp' or n_lines <> 'n_lines'").count() == 0)
+        odd = odd if k == 4 else spark.createDataFrame(got.collect(), odd.schema)
+        if k == 2:
+            ids = [r.doc_id for r in odd.collect() if r.doc_id is not None]
+            assert len(ids) == len(set(ids))
 
 
 def test_empty_table(spark):
