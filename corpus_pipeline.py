@@ -5,7 +5,9 @@ kept; it is written as Parquet and read again in between. All but the last
 return the columns of ``documents``.
 
 Null ids never name a document: line dedup leaves their lines alone, near-dedup
-and decontamination judge their texts. Empty tables go through empty.
+and decontamination judge their texts. Of ties the smaller id, and of its lines the earlier, stays; rows that
+repeat id and text are one document to line dedup, and near-dedup keeps one of them. Null texts have no language
+and go at once. Empty tables go through empty, and other columns as they are.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; their length follows, and those left empty go."""
-    out = linededup.dedup_lines(docs)
-    left = out.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    out = linededup.without_repeats(docs)
+    left = out.filter((F.col("_n_removed") == 0) | (F.trim("text") != ""))
+    length = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length.cast("long")).select(*docs.columns)
 
 
