@@ -1,4 +1,8 @@
-"""The block model: one wide nullable struct per block, with ``type`` as its tag."""
+"""The block model: one wide nullable struct per block, with ``type`` as its tag.
+
+``marked`` and ``marked_items`` hold inline Markdown where it says more than the plain ``text`` or ``items``: links and emphasis
+that a reader of another format has found. Writers show it; comparison and plain text don't look at it.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ WARNING_DDL = "struct<severity:string,code:string,message:string>"
 BLOCK_DDL = (
     "struct<type:string,level:int,text:string,ordered:boolean,items:array<string>,depths:array<int>,markers:array<string>,"
     "code:string,language:string,headers:array<string>,rows:array<array<string>>,alignments:array<string>,src:string,alt:string,"
-    f"title:string,asset_id:string,format:string,content:string,warnings:array<{WARNING_DDL}>>"
+    f"title:string,asset_id:string,format:string,content:string,marked:string,marked_items:array<string>,warnings:array<{WARNING_DDL}>>"
 )
 
 _S, _SS = pa.string(), pa.list_(pa.string())
@@ -33,7 +37,7 @@ BLOCK = pa.struct(
     [
         ("type", _S), ("level", pa.int32()), ("text", _S), ("ordered", pa.bool_()), ("items", _SS), ("depths", pa.list_(pa.int32())), ("markers", _SS),
         ("code", _S), ("language", _S), ("headers", _SS), ("rows", pa.list_(_SS)), ("alignments", _SS), ("src", _S), ("alt", _S),
-        ("title", _S), ("asset_id", _S), ("format", _S), ("content", _S), ("warnings", pa.list_(WARNING)),
+        ("title", _S), ("asset_id", _S), ("format", _S), ("content", _S), ("marked", _S), ("marked_items", _SS), ("warnings", pa.list_(WARNING)),
     ]
 )
 

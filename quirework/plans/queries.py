@@ -209,7 +209,10 @@ def orders_to_csv_rows(spark, d):
 
 @query("""SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
 def events_props_json_cells(spark, d):
-    return _t(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    docs = _t(spark, d, "events").select("event_id", F.concat(F.lit("["), "props", F.lit("]")).alias("content"))
+    tables_ = readers.blocks_of(readers.read(docs, "json", id_col="event_id"))
+    cell = F.explode(F.arrays_zip("headers", F.get("rows", F.lit(0)).alias("values"))).alias("c")
+    return tables_.select(F.col("doc_id").alias("event_id"), cell).select("event_id", F.col("c.headers").alias("key"), F.col("c.values").alias("value"))
 
 
 @query("""WITH k AS (SELECT event_id, unnest(json_keys(props)) AS key, generate_subscripts(json_keys(props), 1) AS pos FROM events), f AS (SELECT key, min(event_id * 1000 + pos) AS first FROM k GROUP BY key)
@@ -375,13 +378,13 @@ def repair_routes(spark, d):
 
 @query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h([1-6])\b[^>]*>', 1))::INTEGER AS level FROM pages) SELECT page_id, level, count(*) AS n FROM h GROUP BY ALL""")
 def html_headings(spark, d):
-    found = _t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<h([1-6])\b[^>]*>"), F.lit(1))).alias("level"))
-    return found.groupBy("page_id", F.col("level").cast("int").alias("level")).agg(F.count("*").alias("n"))
+    blocks = readers.blocks_of(readers.read(_t(spark, d, "pages"), "html", "html", "page_id")).filter("type = 'heading'")
+    return blocks.groupBy(F.col("doc_id").alias("page_id"), "level").agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href="([^"]*)"', 1) AS ls FROM pages) SELECT page_id, (i - 1)::INTEGER AS pos, ls[i] AS href FROM l, unnest(range(1, len(ls) + 1)) AS r(i)""")
 def html_links(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    return readers.links(readers.read(_t(spark, d, "pages"), "html", "html", "page_id")).withColumnRenamed("doc_id", "page_id")
 
 
 @query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,

@@ -559,8 +559,8 @@ def parse_pdf(data: bytes, title: str) -> Parsed:
 
 
 def runs_of(data: bytes) -> list[str]:
-    """Candidate texts: ASCII runs, and UTF-16 runs of either order at either alignment, apart and merged."""
-    groups = [[r.decode() for r in re.findall(rb"[\x20-\x7e\t\r\n]{12,}", data)]]
+    """Candidate texts: the whole as it decodes, ASCII runs, and UTF-16 runs of either order at either alignment, apart and merged."""
+    groups = [[decode_bytes(data)[0]], [r.decode() for r in re.findall(rb"[\x20-\x7e\t\r\n]{12,}", data)]]
     for name in ("utf-16-le", "utf-16-be"):
         for shift in (0, 1):
             part = data[shift : len(data) - (len(data) - shift) % 2]

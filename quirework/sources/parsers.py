@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 from xml.parsers import expat
 
 from .. import model as m
+from ..functions import inline
 
 Parsed = tuple[str, list[dict], list[dict]]
 
@@ -216,10 +217,44 @@ def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def _list_items(node: Node, depth: int, ordered: bool) -> list[tuple[str, int, str]]:
+#: Elements that are kept inside a text, and what they are there.
+_INLINE = {"strong": "strong", "b": "strong", "em": "em", "i": "em", "del": "del", "s": "del", "strike": "del"}
+
+
+def _tokens(nodes: list, skip: tuple[str, ...] = ()) -> tuple[inline.Token, ...]:
+    out: list[inline.Token] = []
+    for node in nodes:
+        if isinstance(node, str):
+            out.append(inline.Token("text", re.sub(r"\s+", " ", node)))
+        elif node.tag == "br":
+            out.append(inline.Token("text", " "))
+        elif node.tag == "code" and node.text().strip():
+            out.append(inline.Token("code", _squeezed(node.text())))
+        elif node.tag == "a" and node.attrs.get("href", "").strip() and node.text().strip():
+            out.append(inline.Token("link", node.attrs["href"].strip(), _tokens(node.children, skip), node.attrs.get("title", "").replace('"', "'")))
+        elif node.tag in _INLINE and node.text().strip():
+            out.append(inline.Token(_INLINE[node.tag], "", _tokens(node.children, skip)))
+        elif node.tag not in skip:
+            out += _tokens(node.children, skip)
+    return tuple(out)
+
+
+def _marked(nodes: list, text: str, skip: tuple[str, ...] = ()) -> str | None:
+    """Inline Markdown of nodes whose plain text is ``text``, if it says more."""
+    source = re.sub(" {2,}", " ", inline.markdown(_tokens(nodes, skip))).strip()
+    return source if source != text else None
+
+
+def _with_marks(block: dict, nodes: list) -> dict:
+    marked = _marked(nodes, block["text"])
+    return block | {"marked": marked} if marked else block
+
+
+def _list_items(node: Node, depth: int, ordered: bool) -> list[tuple[str, int, str, str | None]]:
     out = []
     for li in node.find({"li"}, ("ul", "ol")):
-        out.append((_squeezed(li.text(("ul", "ol"))), depth, f"{len(out) + 1}." if ordered else "-"))
+        text = _squeezed(li.text(("ul", "ol")))
+        out.append((text, depth, f"{len(out) + 1}." if ordered else "-", _marked(li.children, text, ("ul", "ol"))))
         for nested in li.find({"ul", "ol"}):
             out += _list_items(nested, depth + 1, nested.tag == "ol")
     return out
@@ -227,11 +262,11 @@ def _list_items(node: Node, depth: int, ordered: bool) -> list[tuple[str, int, s
 
 def _html_blocks(nodes: list) -> list[dict]:
     out: list[dict] = []
-    prose: list[str] = []
+    prose: list[str | Node] = []
 
     def flush() -> None:
-        if text := _squeezed("".join(prose)):
-            out.append(m.paragraph(text))
+        if text := _squeezed("".join(x if isinstance(x, str) else x.text() for x in prose)):
+            out.append(_with_marks(m.paragraph(text), prose))
         prose.clear()
 
     for node in nodes:
@@ -256,8 +291,9 @@ def _html_blocks(nodes: list) -> list[dict]:
         elif tag in ("ul", "ol"):
             flush()
             if items := _list_items(node, 0, tag == "ol"):
-                texts, depths, markers = map(list, zip(*items, strict=True))
-                out.append(m.list_block(texts, tag == "ol", depths, markers))
+                texts, depths, markers, marked = map(list, zip(*items, strict=True))
+                block = m.list_block(texts, tag == "ol", depths, markers)
+                out.append(block | {"marked_items": [x or inline.markdown((inline.Token("text", t),)) for x, t in zip(marked, texts, strict=True)]} if any(marked) else block)
         elif tag == "table":
             flush()
             rows = [r.find({"th", "td"}) for r in node.find({"tr"}, ("table",))]
@@ -271,12 +307,13 @@ def _html_blocks(nodes: list) -> list[dict]:
         elif tag in _TEXTUAL:
             flush()
             if text := _squeezed(node.text()):
-                out.append(m.heading(int(tag[1]), text) if re.fullmatch("h[1-6]", tag) else m.quote(text) if tag == "blockquote" else m.paragraph(text))
+                block = m.heading(int(tag[1]), text) if re.fullmatch("h[1-6]", tag) else m.quote(text) if tag == "blockquote" else m.paragraph(text)
+                out.append(_with_marks(block, node.children))
         elif tag in _BOXES:
             flush()
             out += _html_blocks(node.children)
         elif tag not in _VOID:
-            prose.append(node.text())
+            prose.append(node)
     flush()
     return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..functions import inline
 from ..functions import text as tx
 from . import containers, parsers, writers
 
@@ -84,6 +85,27 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode("blocks").alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
 
 
+def links(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, href) of the links in documents as ``read`` gives them, in order."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def hrefs(tokens) -> Iterator[str]:
+        for t in tokens:
+            if t.kind == "link":
+                yield t.value
+            yield from hrefs(t.children)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[h for b in blocks or [] for s in (writers._sources(b) or [writers._source(b)]) for h in hrefs(inline.parse(s))] for blocks in batch.column("blocks").to_pylist()]
+            rows = [(k, at, h) for k, hs in enumerate(found) for at, h in enumerate(hs)]
+            if rows:
+                place, at, href = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(place, pa.int64())), pa.array(at, pa.int32()), pa.array(href, pa.string())], names=["doc_id", "pos", "href"])
+
+    return docs.select("doc_id", "blocks").mapInArrow(run, f"doc_id {kind}, pos int, href string")
+
+
 def read_text(docs: DataFrame, content: str = "content", id_col: str = "doc_id") -> DataFrame:
     """The plain-text reader in generated code: (doc_id, block_idx, type, text)."""
     parts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tx.paragraphs(F.col(content))).alias("block_idx", "text"))

@@ -43,10 +43,20 @@ def _first(b: dict, *fields: str) -> str:
     return next((b[f] for f in fields if b.get(f)), "")
 
 
-def _items(b: dict, inner, mark) -> str:
+def _source(b: dict) -> str:
+    """Inline Markdown of a block."""
+    return _first(b, "marked", "text")
+
+
+def _sources(b: dict) -> list[str]:
+    items = b.get("items") or []
+    return b["marked_items"] if len(b.get("marked_items") or []) == len(items) else items
+
+
+def _items(b: dict, texts: list[str], mark) -> str:
     """Items of a list, each with its mark, two blanks deeper for every level."""
-    depths = [_depth(b, k) for k in range(len(b.get("items") or []))]
-    return "\n".join(f"{'  ' * d}{mark(k, d, depths)} {inner(x)}" for k, (x, d) in enumerate(zip(b.get("items") or [], depths, strict=True)))
+    depths = [_depth(b, k) for k in range(len(texts))]
+    return "\n".join(f"{'  ' * d}{mark(k, d, depths)} {x}" for k, (x, d) in enumerate(zip(texts, depths, strict=True)))
 
 
 def _by_place(b: dict):
@@ -59,7 +69,7 @@ def _by_count(b: dict):
 
 #: How each kind of block is written as plain text.
 PLAIN = dict.fromkeys(("heading", "paragraph", "quote"), lambda b: _first(b, "text")) | {
-    "list": lambda b: _items(b, str, _by_place(b)),
+    "list": lambda b: _items(b, b.get("items") or [], _by_place(b)),
     "code": lambda b: _first(b, "code"),
     "table": lambda b: "\n".join(filter(None, map("\t".join, _cells(b)))),
     "image": lambda b: _first(b, "alt", "title", "src", "asset_id"),
@@ -119,10 +129,10 @@ def _md_raw(b: dict) -> str:
 
 #: How each kind of block is written as Markdown.
 MARKDOWN = {
-    "heading": lambda b: f"{'#' * b['level']} {_md(b.get('text'))}",
-    "paragraph": lambda b: _md(b.get("text")),
-    "quote": lambda b: f"> {_md(b.get('text'))}",
-    "list": lambda b: _items(b, _md, _by_count(b)),
+    "heading": lambda b: f"{'#' * b['level']} {_md(_source(b))}",
+    "paragraph": lambda b: _md(_source(b)),
+    "quote": lambda b: f"> {_md(_source(b))}",
+    "list": lambda b: _items(b, [*map(_md, _sources(b))], _by_count(b)),
     "code": lambda b: _fenced(_first(b, "code"), (_first(b, "language").split() or [""])[0].replace("`", "")),
     "table": _md_table,
     "image": lambda b: f"![{_escaped(_first(b, 'alt'), r'\[\]\\')}]({_escaped(_first(b, 'src'), r'()\\')})",
@@ -146,7 +156,7 @@ def to_markdown(title: str, blocks: list[dict], profile: str = "ai-ready", warni
 
 
 def _html_list(b: dict) -> str:
-    items = [(inline.to_html(inline.parse(t)), _depth(b, k)) for k, t in enumerate(b.get("items") or [])]
+    items = [(inline.to_html(inline.parse(t)), _depth(b, k)) for k, t in enumerate(_sources(b))]
 
     def level(at: int, depth: int, pad: int) -> tuple[list[str], int]:
         tag = "ol" if b.get("ordered") and depth == 0 else "ul"
@@ -190,9 +200,9 @@ def _html_raw(b: dict) -> str:
 
 #: How each kind of block is written as HTML.
 HTML = {
-    "heading": lambda b: f"<h{b['level']}>{_html(b.get('text'))}</h{b['level']}>",
-    "paragraph": lambda b: f"<p>{_html(b.get('text'))}</p>",
-    "quote": lambda b: f"<blockquote>{_html(b.get('text'))}</blockquote>",
+    "heading": lambda b: f"<h{b['level']}>{_html(_source(b))}</h{b['level']}>",
+    "paragraph": lambda b: f"<p>{_html(_source(b))}</p>",
+    "quote": lambda b: f"<blockquote>{_html(_source(b))}</blockquote>",
     "list": _html_list,
     "code": lambda b: _html_code(_first(b, "code"), _first(b, "language")),
     "table": _html_table,
@@ -276,10 +286,10 @@ def _xml_table(b: dict) -> str:
 
 #: How each kind of block is written as XML.
 XML = {
-    "heading": lambda b: _xml("heading", _xml_run(b.get("text")), level=str(b["level"])),
-    "paragraph": lambda b: _xml("paragraph", _xml_run(b.get("text"))),
-    "quote": lambda b: _xml("quote", _xml_run(b.get("text"))),
-    "list": lambda b: _xml("list", "".join(_xml("item", _xml_run(t), depth=str(_depth(b, k))) for k, t in enumerate(b.get("items") or [])), ordered=str(bool(b.get("ordered"))).lower()),
+    "heading": lambda b: _xml("heading", _xml_run(_source(b)), level=str(b["level"])),
+    "paragraph": lambda b: _xml("paragraph", _xml_run(_source(b))),
+    "quote": lambda b: _xml("quote", _xml_run(_source(b))),
+    "list": lambda b: _xml("list", "".join(_xml("item", _xml_run(t), depth=str(_depth(b, k))) for k, t in enumerate(_sources(b))), ordered=str(bool(b.get("ordered"))).lower()),
     "code": lambda b: _xml("code", _cdata(_first(b, "code")), language=_first(b, "language")),
     "table": _xml_table,
     "image": lambda b: _xml("image", src=_first(b, "src"), alt=_first(b, "alt")),
@@ -352,13 +362,13 @@ def to_docx(title: str, blocks: list[dict]) -> bytes:
     for b in blocks:
         kind = b["type"]
         if kind == "heading":
-            body.append(para(b.get("text") or "", f'<w:pStyle w:val="Heading{b["level"]}"/>'))
+            body.append(para(_source(b), f'<w:pStyle w:val="Heading{b["level"]}"/>'))
         elif kind == "paragraph":
-            body.append(para(b.get("text") or ""))
+            body.append(para(_source(b)))
         elif kind == "quote":
-            body.append(para(b.get("text") or "", '<w:pStyle w:val="Quote"/>'))
+            body.append(para(_source(b), '<w:pStyle w:val="Quote"/>'))
         elif kind == "list":
-            for k, item in enumerate(b.get("items") or []):
+            for k, item in enumerate(_sources(b)):
                 body.append(para(item, f'<w:numPr><w:ilvl w:val="{_depth(b, k)}"/><w:numId w:val="{2 if b.get("ordered") else 1}"/></w:numPr>'))
         elif kind == "code":
             body.append(bare(b.get("code") or "", '<w:pStyle w:val="Code"/>'))

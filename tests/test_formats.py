@@ -124,3 +124,17 @@ def test_sheet_names_and_wrap():
     assert w.wrap("aaa bbb ccc", 10, 40) == ["aaa bbb", "ccc"] and w.wrap("a" * 10, 10, 20) == ["aaaa", "aaaa", "aa"]
     assert len(w.paginate([("x", 12.0)] * 100)) == 3
     assert json.loads(w.to_json("t", BLOCKS))["blocks"][2]["itemMeta"][0] == {"depth": 0, "marker": "-"}
+
+
+def test_html_keeps_links_and_emphasis():
+    from quirework.sources import parsers, writers
+
+    html = '<h2>A <em>b</em></h2><p>see <a href="/x(1)" title="t">the <b>y</b></a>, <code>z*</code> and 2*3*4</p>in <i>the</i> open<ul><li>one <a href="/q">q</a><ul><li>plain *</li></ul></li></ul>'
+    blocks = parsers.parse_html(html, "t")[1]
+    assert [b.get("text") or b.get("items") for b in blocks] == ["A b", "see the y, z* and 2*3*4", "in the open", ["one q", "plain *"]]
+    md = writers.to_markdown("t", blocks)
+    assert md == '## A *b*\n\nsee [the **y**](/x\\(1\\) "t"), `z*` and 2\\*3\\*4\n\nin *the* open\n\n- one [q](/q)\n  - plain \\*\n'
+    out = writers.to_html("t", parsers.parse_markdown(md, "t")[1])
+    assert '<p>see <a href="/x(1)" title="t">the <strong>y</strong></a>, <code>z*</code> and 2*3*4</p>' in out and "<h2>A <em>b</em></h2>" in out
+    again = parsers.parse_html(writers.to_html("t", blocks), "t")[1]
+    assert again == blocks and writers.to_text("t", blocks).startswith("A b\n")
