@@ -204,14 +204,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pivots = ranked.filter(chosen | (F.pmod(F.xxhash64(F.lit(turn), "comp"), "k") < more) if more > 1 else chosen)
         pivots = pivots.select("bucket", F.col("comp").alias("c1"), F.col("size").alias("s1"))
         named = lambda c, x: one_text.select(F.col("node").alias(c), F.col("sketch").alias(x))
-        if last or more > 1:
-            met = ranked.select("bucket", "comp", "size").join(pivots, "bucket")
-        else:  # the one pivot of a bucket stands in each of its rows
-            met = ranked.select("bucket", "comp", "size", F.col("top.comp").alias("c1"), F.col("top.size").alias("s1"))
         # Of two pivots the larger is compared with the other.
         both = F.struct("s1", "c1") > F.struct("size", "comp") if last else F.col("c1") != F.col("comp")
-        met = met.filter(both).join(named("c1", "x"), "c1", "left").join(named("comp", "y"), "comp", "left")
-        met = met.filter((F.col("s1") > 1) | (F.col("size") > 1) | F.col("x").isNull() | F.col("y").isNull() | (_agree("x", "y") >= AGREE))
+        alike = (F.col("s1") > 1) | (F.col("size") > 1) | F.col("x").isNull() | F.col("y").isNull() | (_agree("x", "y") >= AGREE)
+        if last or more > 1:  # sketches are in the join, so that only pairs that may be linked come out of it
+            met = pivots.join(named("c1", "x"), "c1", "left").join(ranked.select("bucket", "comp", "size").join(named("comp", "y"), "comp", "left"), "bucket").filter(both & alike)
+        else:  # the one pivot of a bucket stands in each of its rows
+            met = ranked.select("bucket", "comp", "size", F.col("top.comp").alias("c1"), F.col("top.size").alias("s1")).filter(both)
+            met = met.join(named("c1", "x"), "c1", "left").join(named("comp", "y"), "comp", "left").filter(alike)
         pairs = met.select("c1", F.col("comp").alias("c2")).distinct()
         pairs = cut(pairs.select("c1", "c2"), "pairs")
         links = cut(_links(pairs, labels, texts), "links")
