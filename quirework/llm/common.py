@@ -6,7 +6,6 @@ import atexit
 import functools
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -57,19 +56,18 @@ def cut(df: DataFrame, hint: str = "cut") -> DataFrame:
     return out
 
 
-#: Seconds after which the driver collects its garbage anew when tables are dropped; its heap shrinks and Spark lets go of what finished plans held.
-SETTLED = 3
-_last_settled = [0.0]
-
-
 def drop(*cuts: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    """Delete tables that ``cut`` wrote and nothing reads any more.
+
+    The driver then collects its garbage: Spark lets go of broadcasts and shuffles of finished plans only when their
+    objects are gone, and there are many small plans in a row here, whose broadcasts would fill a small driver.
+    """
     for df in cuts:
         _remove(df.sparkSession, df._cut_path)
-    if cuts and time.monotonic() - _last_settled[0] > SETTLED:
+    if cuts:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         cuts[0].sparkSession.sparkContext._jvm.System.gc()
-        _last_settled[0] = time.monotonic()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
