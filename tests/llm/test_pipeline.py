@@ -84,3 +84,15 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.count() == 0
+
+
+def full_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_executors_collect_garbage_before_a_stage(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    before = full_collections(spark)
+    corpus_pipeline.encode(spark, docs, DIR)  # made, not run, so nothing else collects
+    assert full_collections(spark) > before
